@@ -33,7 +33,7 @@ RULES = [
     ("terraform-resource", "lh", block("resource")),
     ("terraform-variable", "lh", block("variable")),
     ("terraform-output", "lh", block("output")),
-    ("terraform-backend", "lh", block("backend")),
+    ("terraform-backend", "mh", block("backend")),
     ("terraform-sensitive-variable", "hh", setting(("sensitive",), ("true",))),
     *((f"terraform-provider-{name}", "lh", _provider(label)) for name, label in PROVIDERS.items()),
     ("terraform-module", "lh", block("module")),
