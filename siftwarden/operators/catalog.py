@@ -30,13 +30,17 @@ def collect_rules(rules) -> list:
 
 
 def merge_packs(*packs) -> DataFrame:
-    """Concatenate packs in the order given; the order becomes the ordinal."""
-    labelled = [p.withColumn("pack", F.lit(i)) for i, p in enumerate(packs)]
-    merged = labelled[0]
-    for p in labelled[1:]:
-        merged = merged.unionByName(p)
-    order = Window.orderBy("pack", "ordinal")
-    return merged.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int")).drop("pack")
+    """Concatenate packs in the order given; the order becomes the ordinal.
+
+    Each pack is shifted by the ordinals of the packs before it: one row per pack is ordered, not the rules.
+    """
+    merged = packs[0].withColumn("pack", F.lit(0))
+    for i, p in enumerate(packs[1:], 1):
+        merged = merged.unionByName(p.withColumn("pack", F.lit(i)))
+    sizes = merged.groupBy("pack").agg((F.max("ordinal") + 1).alias("size"))
+    shift = sizes.select("pack", (F.sum("size").over(Window.orderBy("pack")) - F.col("size")).cast("int").alias("shift"))
+    shifted = merged.join(F.broadcast(shift), "pack")
+    return shifted.withColumn("ordinal", F.col("ordinal") + F.col("shift")).drop("pack", "shift")
 
 
 def normalize(rules) -> DataFrame:
@@ -157,14 +161,17 @@ def statistics(rules) -> DataFrame:
 
 
 def bundle_metadata(rules, version=BUNDLE_VERSION) -> DataFrame:
-    """One row: version, rule count, checksum over the rules in ordinal order."""
-    line = F.to_json(F.struct(*[c for c in COLUMNS if c != "ordinal"]))
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    return rules.agg(
-        F.lit(version).alias("schema_version"),
-        F.count("*").alias("pattern_count"),
-        F.sha2(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n"), 256).alias("checksum"),
-    )
+    """One row: version, rule count, checksum.
+
+    The checksum adds up the SHA-256 of each serialized rule (its ordinal included), so it needs no
+    ordered collection.
+    """
+    fields = ["ordinal", "name", "category", "match", "enabled", "severity", "confidence", "description"]
+    digest = F.sha2(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in fields]), 256)
+    part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rules.agg(F.count("*").alias("n"), F.sum(part).alias("total")).select(
+        F.lit(version).alias("schema_version"), F.col("n").alias("pattern_count"),
+        F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("checksum"))
 
 
 def _text(value):

@@ -63,7 +63,6 @@ def blocks(files, min_tokens=BLOCK, with_lines=True) -> DataFrame:
                                           ).alias("tokens"))
     cut = (f"transform(sequence(0, size(tokens) - {BLOCK} - 1, {STRIDE}), i -> named_struct("
            f"'line', tokens[i].line, 'part', transform(slice(tokens, i + 1, {BLOCK}), x -> x.t)))")
-    # a string token may hold white space; the sets are over words, as the normalized text is split
     return found.select("id", F.posexplode(F.expr(cut)).alias("block", "b")).select(
         "id", "block", F.col("b.line").cast("int").alias("line"),
         F.array_join("b.part", " ").alias("normalized"),

@@ -82,6 +82,14 @@ def match_spans(content, rules, unicode=False, spread_input=True) -> DataFrame:
     return rows.drop("min_entropy")
 
 
+def category_hits(content, rules, unicode=False) -> DataFrame:
+    """(id, category) for which any rule of the category matches the row."""
+    index = _index(rules, unicode)
+    hit = candidates(spread(content.select("id", "text")), index).where(F.expr("text rlike pattern"))
+    owner = index.metadata(content.sparkSession).select("ordinal", "category")
+    return hit.select("id", "ordinal").join(F.broadcast(owner), "ordinal").select("id", "category").distinct()
+
+
 def _finish(rows, metadata, kind, extra=()):
     described = rows.join(F.broadcast(metadata), "ordinal")
     return described.select(

@@ -25,7 +25,7 @@ def is_binary(column="text"):
 
 
 def is_binary_bytes(column="content"):
-    return f"locate('00', regexp_replace(hex(substring({column}, 1, {BINARY_WINDOW})), '(..)', '$1 ')) > 0"
+    return f"instr(decode(substring({column}, 1, {BINARY_WINDOW}), 'ISO-8859-1'), char(0)) > 0"
 
 
 def filter_binary(content) -> DataFrame:

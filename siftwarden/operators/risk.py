@@ -229,16 +229,24 @@ def finding_density(rows, content) -> DataFrame:
     return total.withColumn("density", density).withColumn("band", F.expr(density_band("density")))
 
 
-def rank_findings(findings) -> DataFrame:
+def rank_findings(findings, span=65_536) -> DataFrame:
     """Rank in each id by severity, then position.
 
-    The window holds the findings of one id; its sort spills, nothing is collected.
+    A source with very many findings is not sorted in one task: findings are numbered inside
+    (severity, stretch of ``span`` bytes) buckets, and the sizes of the buckets before give the
+    offset.  Only the bucket sizes of a source meet in one window.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("id").orderBy(
-        F.expr(scalars.severity_weight("severity")).desc(), "start_byte", "end_byte", "rule")
-    return findings.withColumn("position", F.row_number().over(order))
+    weight = F.expr(scalars.severity_weight("severity"))
+    bucketed = findings.withColumns({"_w": -weight, "_b": F.floor(F.col("start_byte") / span)})
+    sizes = bucketed.groupBy("id", "_w", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("id").orderBy("_w", "_b")) - F.col("_n")
+    offsets = sizes.select("id", "_w", "_b", before.alias("_before"))
+    inside = Window.partitionBy("id", "_w", "_b").orderBy("start_byte", "end_byte", "rule")
+    numbered = bucketed.withColumn("_i", F.row_number().over(inside))
+    return numbered.join(offsets, ["id", "_w", "_b"]).select(
+        *findings.columns, (F.col("_before") + F.col("_i")).alias("position"))
 
 
 def top_risk_sources(risk, k=20) -> DataFrame:
