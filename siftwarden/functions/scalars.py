@@ -8,28 +8,45 @@ functions registered by ``register_functions``.
 from .. import schema
 
 
-def _chars(x):
-    return f"regexp_extract_all({x}, '(?s).', 0)"
+# Characters taken out one by one before the rest is counted by its distinct characters.
+PEELED = 64
 
 
-def _entropy_fold(x, log):
-    share = f"(cast(length(t) - length(replace(t, c, '')) as double) / octet_length(t))"
-    return (f"if({x} = '', 0D, transform(array({x}), t -> aggregate(array_sort(array_distinct({_chars('t')})), "
-            f"0D, (a, c) -> a - {share} * {log.format(p=share)}))[0])")
+def _peel(x, gain):
+    """Fold over the characters of a text: SQL of ``sum(gain(count of the character))``.
+
+    Each step removes all copies of the first character that is left, so frequent characters go
+    early and the text shrinks fast: no array with one element per character is built.
+    """
+    step = ("if(s.len = 0, s, transform(array(replace(s.rest, left(s.rest, 1), '')), r -> transform(array(length(r)), "
+            f"n -> named_struct('rest', r, 'len', n, 'sum', s.sum + {gain('(s.len - n)')}))[0])[0])")
+    start = "named_struct('rest', t, 'len', length(t), 'sum', 0D)"
+    tail = ("aggregate(if(s.len = 0, cast(array() as array<string>), array_distinct(regexp_extract_all(s.rest, '(?s).', 0))), "
+            f"s.sum, (a, c) -> a + transform(array(s.len - length(replace(s.rest, c, ''))), k -> {gain('k')})[0])")
+    return (f"transform(array({x}), t -> transform(array(octet_length(t)), bytes -> "
+            f"aggregate(sequence(1, {PEELED}), {start}, (s, i) -> {step}, s -> {tail}))[0])[0]")
+
+
+def _entropy(x, log):
+    def gain(count):
+        share = f"(cast({count} as double) / bytes)"
+        return f"transform(array({share}), p -> -p * {log.format(p='p')})[0]"
+    return f"if({x} = '', 0D, {_peel(x, gain)})"
 
 
 def shannon_entropy(x):
     """Bits per byte: character counts over the byte length."""
-    return _entropy_fold(x, "log2({p})")
+    return _entropy(x, "log2({p})")
 
 
 def entropy_base(x, base):
     """Entropy in another base, scaled once more by the natural log of the base."""
-    return f"({_entropy_fold(x, 'log(' + str(base) + ', {p})')} / ln({base}))"
+    return f"({_entropy(x, 'log(' + str(base) + ', {p})')} / ln({base}))"
 
 
 def information_density(x):
-    return f"if({x} = '', 0D, cast(size(array_distinct({_chars(x)})) as double) / octet_length({x}))"
+    """Distinct characters over the byte length."""
+    return f"if({x} = '', 0D, {_peel(x, lambda count: '1D')} / octet_length({x}))"
 
 
 def classify_entropy(x):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
+from ..session import spread
 
 BLOCK = 20
 STRIDE = 10
@@ -51,22 +52,22 @@ def blocks(files, min_tokens=BLOCK, with_lines=True) -> DataFrame:
     if min_tokens > BLOCK:
         return files.select("id", F.lit(0).alias("block"), F.lit(1).alias("line"), F.lit("").alias("normalized"),
                             F.array(F.lit("")).alias("token_set")).where("false")
-    pattern = F.lit(token_pattern())
-    found = files.select("id", "text", F.regexp_extract_all("text", pattern, F.lit(0)).alias("found")).where(
-        F.size("found") > BLOCK)
+    files = spread(files.select("id", "text").where("id is not null and text is not null"))
+    found = files.withColumn("found", F.regexp_extract_all("text", F.lit(token_pattern()), F.lit(0)))
     if with_lines:
-        found = found.withColumn("gaps", F.split("text", token_pattern(), -1)).select(
-            "id", F.expr(f"transform({text.spans('gaps', 'found')}, s -> named_struct("
-                         f"'t', {_folded('s.matched')}, 'line', s.line))").alias("tokens"))
+        found = found.withColumn("gaps", F.split("text", token_pattern(), -1))
+        tokens = (f"if(size(found) > {BLOCK}, transform({text.spans('gaps', 'found')}, s -> named_struct("
+                  f"'t', {_folded('s.matched')}, 'line', s.line)), array())")
     else:
-        found = found.select("id", F.expr(f"transform(found, t -> named_struct('t', {_folded('t')}, 'line', 0L))"
-                                          ).alias("tokens"))
-    cut = (f"transform(sequence(0, size(tokens) - {BLOCK} - 1, {STRIDE}), i -> named_struct("
-           f"'line', tokens[i].line, 'part', transform(slice(tokens, i + 1, {BLOCK}), x -> x.t)))")
-    return found.select("id", F.posexplode(F.expr(cut)).alias("block", "b")).select(
+        tokens = f"transform(found, t -> named_struct('t', {_folded('t')}, 'line', 0L))"
+    # a file without a block yields no row; a filter here would run the tokenizer a second time
+    cut = (f"if(size(tokens) > {BLOCK}, transform(sequence(0, size(tokens) - {BLOCK} - 1, {STRIDE}), i -> named_struct("
+           f"'line', tokens[i].line, 'part', transform(slice(tokens, i + 1, {BLOCK}), x -> x.t))), array())")
+    token_set = F.coalesce(F.sort_array(F.array_distinct("b.part")), F.array().cast("array<string>"))
+    return found.select("id", F.expr(tokens).alias("tokens")).select(
+        "id", F.posexplode(F.expr(cut)).alias("block", "b")).select(
         "id", "block", F.col("b.line").cast("int").alias("line"),
-        F.array_join("b.part", " ").alias("normalized"),
-        F.array_sort(F.array_distinct("b.part")).alias("token_set"))
+        F.array_join("b.part", " ").alias("normalized"), token_set.alias("token_set"))
 
 
 def _similar_sets(sets, keys, threshold) -> DataFrame:

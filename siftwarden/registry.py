@@ -15,6 +15,7 @@ from .plans import profiles, scan
 from .plans.patterns import to_re2
 from .rules import load_catalogue
 from .schema import LANGUAGES
+from .session import spread
 from .sources import sinks, tables
 from .streaming import streams
 
@@ -607,10 +608,10 @@ def _(spark, sf):
     return catalog.categories(part_rules(spark, sf))
 
 
-@query("catalog_search", f"SELECT name, category FROM ({_PART_SQL}) WHERE contains(lower(name), 'steel') "
-       "OR contains(lower(description), 'steel')")
+@query("catalog_search", f"SELECT name, category FROM ({_PART_SQL}) WHERE contains(lower(name), 'widget') "
+       "OR contains(lower(description), 'widget')")
 def _(spark, sf):
-    return catalog.search(part_rules(spark, sf), "STEEL").select("name", "category")
+    return catalog.search(part_rules(spark, sf), "WIDGET").select("name", "category")
 
 
 @query("catalog_stats", f"SELECT category, " + ", ".join(
@@ -638,12 +639,12 @@ def _(spark, sf):
 # --- scalar functions ---------------------------------------------------------------------------
 @query("fn_shannon_entropy", f"SELECT doc_id, round({O.entropy('text')}, 9) AS entropy FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(f"round({scalars.shannon_entropy('text')}, 9)").alias("entropy"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(f"round({scalars.shannon_entropy('text')}, 9)").alias("entropy"))
 
 
 @query("fn_entropy_base", f"SELECT doc_id, round({O.entropy('text', '10.0')} / ln(10.0), 9) AS entropy FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(f"round({scalars.entropy_base('text', '10D')}, 9)").alias("entropy"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(f"round({scalars.entropy_base('text', '10D')}, 9)").alias("entropy"))
 
 
 _DENSITY = "(CASE WHEN text = '' THEN 0 ELSE len(list_distinct(regexp_extract_all(text, '(?s).')))::DOUBLE / strlen(text) END)"
@@ -651,18 +652,18 @@ _DENSITY = "(CASE WHEN text = '' THEN 0 ELSE len(list_distinct(regexp_extract_al
 
 @query("fn_information_density", f"SELECT doc_id, round({_DENSITY}, 9) AS density FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(f"round({scalars.information_density('text')}, 9)").alias("density"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(f"round({scalars.information_density('text')}, 9)").alias("density"))
 
 
 @query("fn_guessability", f"SELECT doc_id, round({O.entropy('text')} / 8 * 70 + {_DENSITY} * 30, 9) AS score FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.expr(f"round({scalars.guessability('text')}, 9)").alias("score"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(f"round({scalars.guessability('text')}, 9)").alias("score"))
 
 
 @query("fn_classify_entropy", "SELECT doc_id, CASE WHEN e < 2 THEN 'very_low' WHEN e < 3 THEN 'low' WHEN e < 4 THEN 'medium' "
        f"WHEN e < 5 THEN 'high' ELSE 'very_high' END AS class FROM (SELECT doc_id, {O.entropy('text')} AS e FROM documents)")
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.expr(scalars.shannon_entropy("text")).alias("e"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.expr(scalars.shannon_entropy("text")).alias("e"))
     return rows.select("doc_id", F.expr(scalars.classify_entropy("e")).alias("class"))
 
 
