@@ -13,20 +13,22 @@ def directives(content, keyword=KEYWORD) -> DataFrame:
     """(id, line, rule, at_start) of every directive; a bare one has rule ``*``.
 
     A directive follows ``//``, ``#`` or ``/*`` and one blank.  ``/*`` has to close on its line.
-    Only rows that hold the keyword are split into lines.
+    The directives are matched in the text as it is; their lines come from the running totals.
     """
-    word = keyword.replace(":", r"[:]")
-    rule = "(?:[:][ \\t]*([^ \\t*]+))?"
-    pattern = rf"^(.*?)(?://|#|(/\*)) {word}[ \t]*{rule}[ \t]*(\*/)?[ \t]*$"
-    lined = text.line_rows(content.where(F.col("text").contains(keyword)).select("id", "text")).where(
-        F.col("line_text").contains(keyword) & F.col("line_text").rlike(pattern))
-    part = lambda k: F.regexp_extract("line_text", pattern, k)
-    closed = (part(2) == "") | (part(4) != "")
-    return lined.where(closed).select(
-        "id", "line",
-        F.when(part(3) == "", ALL_RULES).otherwise(part(3)).alias("rule"),
-        (F.trim(F.regexp_replace(part(1), r"\t", " ")) == "").alias("at_start"),
-    )
+    word = keyword.replace(":", "[:]")
+    rule = "(?:[:][ \\t]*([^ \\t*\\r\\n]+))?"
+    body = rf"^([^\n]*?)(?://|#|(/\*)) {word}[ \t]*{rule}[ \t]*(\*/)?[ \t]*"
+    pattern = F.lit(rf"(?dm){body}(?=\r?$)")
+    found = content.where(F.col("text").contains(keyword)).select(
+        "id", "text", F.regexp_extract_all("text", pattern, F.lit(0)).alias("found")).withColumn(
+        "gaps", F.split("text", rf"(?dm){body}(?=\r?$)", -1))
+    rows = found.select("id", F.inline(F.expr(f"if(size(found) > 0, {text.spans('gaps', 'found')}, array())")))
+    part = lambda k: F.regexp_extract("matched", rf"(?d){body}\z", k)
+    parts = rows.select("id", "line", part(1).alias("lead"), part(2).alias("opened"), part(3).alias("rule"),
+                        part(4).alias("closed")).where("opened = '' or closed <> ''")
+    return parts.select("id", F.col("line").cast("int").alias("line"),
+                        F.when(F.col("rule") == "", ALL_RULES).otherwise(F.col("rule")).alias("rule"),
+                        (F.trim(F.translate("lead", "\t", " ")) == "").alias("at_start"))
 
 
 def suppressions(content, scope="same_line", keyword=KEYWORD) -> DataFrame:
@@ -56,11 +58,11 @@ def suppression_list(content, keyword=KEYWORD) -> DataFrame:
 
 def suppress_inline(findings, content, scope="same_line", keyword=KEYWORD) -> DataFrame:
     """Drop findings on suppressed lines."""
-    taken = suppressions(content, scope, keyword)
-    named = findings.join(taken.where(F.col("rule") != ALL_RULES), ["id", "line", "rule"], "left_anti")
-    if scope == "same_line":
-        return named
-    return named.join(taken.where(F.col("rule") == ALL_RULES).select("id", "line"), ["id", "line"], "left_anti")
+    taken = suppressions(content, scope, keyword).select(
+        F.col("id").alias("s_id"), F.col("line").alias("s_line"), F.col("rule").alias("s_rule"))
+    here = (F.col("id") == F.col("s_id")) & (F.col("line") == F.col("s_line"))
+    named = (F.col("s_rule") == F.col("rule")) | (F.col("s_rule") == ALL_RULES)
+    return findings.join(taken, here & named, "left_anti")
 
 
 def suppress_baseline(findings, baseline) -> DataFrame:

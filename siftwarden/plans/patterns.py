@@ -14,6 +14,7 @@ from re import _parser as regex_parser
 # Literal sets beyond this size, or runs beyond this length, do not make a better gate.
 MAX_SET = 48
 MAX_LENGTH = 16
+MAX_CLASS = 8
 # Branches tried one by one at a node of the gate expression; measured best at 8.
 LEAF = 8
 
@@ -38,22 +39,38 @@ def _tokens(pattern):
         i += 1
 
 
+# A pattern element that is one word character, and what may be repeated at its end.
+_WORD_ITEM = r"(?:[A-Za-z0-9_]|\\[dw]|\[(?:0-9|a-z|A-Z|[a-f]-[a-f]|[A-Za-z0-9_])+\])"
+_WORD_NEXT = re.compile(_WORD_ITEM + r"(?![?*]|\{0)")
+_WORD_LAST = re.compile(r"(?<!\\)" + _WORD_ITEM + r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?\Z")
+
+
+def _boundary(before, after):
+    """ASCII word boundary; one-sided where the neighbour in the pattern is a word character."""
+    if _WORD_NEXT.match(after):
+        return r"(?<!\w)"
+    if _WORD_LAST.search(before) and not re.search(r"\\[^dwsbDWSB]\w*\Z", before):
+        return r"(?!\w)"
+    return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def to_java(pattern, unicode=False):
     """Pattern for Spark, with the line and boundary rules of the automaton dialects.
 
     ``(?d)`` keeps ``.`` from stopping at anything but a newline, ``$`` is the end of the
     content, and ``\\b`` is ASCII unless ``unicode`` is asked for.
     """
-    out = []
+    out, at = [], 0
     for token, in_class in _tokens(pattern):
         if token == "$" and not in_class:
             out.append(r"\z")
         elif token == r"\b" and not in_class and not unicode:
-            out.append(r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+            out.append(_boundary(pattern[:at], pattern[at + 2:]))
         elif token == "[" and in_class:
             out.append(r"\[")
         else:
             out.append(token)
+        at += len(token)
     folded = "(?u)" if not pattern.isascii() else ""
     return ("(?dU)" if unicode else "(?d)") + folded + "".join(out)
 
@@ -120,7 +137,7 @@ def _class_chars(items):
             chars.add("0")
         else:
             return None
-    return chars if len(chars) <= 4 else None
+    return chars if len(chars) <= MAX_CLASS else None
 
 
 def _product(left, right):

@@ -29,28 +29,35 @@ def kv_from_json(df, source, props) -> DataFrame:
     return df.select(F.col(source).cast("string").alias("source"), F.explode(parsed).alias("key", "value"))
 
 
+def _diff_sections():
+    """Array of (file, at, body) of a diff: one element per file header, without removed files."""
+    heads = "filter(transform(ls, (l, i) -> if(startswith(l, '+++ '), i, null)), i -> i is not null)"
+    body = "slice(ls, h + 2, coalesce(get(hs, k + 1), size(ls)) - h - 1)"
+    sections = (f"flatten(flatten(transform(array({text.lines('diff')}), ls -> transform(array({heads}), hs -> "
+                "transform(hs, (h, k) -> named_struct('file', regexp_replace(substring(ls[h], 5), '^[ab]/', ''), "
+                f"'at', h + 1, 'body', {body}))))))")
+    return f"filter({sections}, p -> p.file not in ('', '/dev/null'))"
+
+
 def diff_lines(diffs) -> DataFrame:
     """(diff_id, file, pos, line): lines added to each file, in order.
 
     ``diffs`` has (diff_id, diff).  A diff is one row, so the file in force at a line is found
     inside the row, section by section, without a window.
     """
-    heads = ("filter(transform(ls, (l, i) -> if(startswith(l, '+++ '), i, null)), i -> i is not null)")
-    body = "slice(ls, h + 2, coalesce(get(hs, k + 1), size(ls)) - h - 1)"
-    sections = (f"flatten(flatten(transform(array({text.lines('diff')}), ls -> transform(array({heads}), hs -> "
-                f"transform(hs, (h, k) -> named_struct('head', substring(ls[h], 5), 'at', h + 1, 'body', {body}))))))")
-    parts = diffs.select("diff_id", F.inline(F.expr(sections))).where("head not in ('', '/dev/null')")
     added = "filter(transform(body, (l, i) -> named_struct('pos', at + i, 'line', l)), x -> startswith(x.line, '+'))"
-    return parts.select("diff_id", F.regexp_replace("head", "^[ab]/", "").alias("file"), F.inline(F.expr(added))).select(
+    return diffs.select("diff_id", F.inline(F.expr(_diff_sections()))).select(
+        "diff_id", "file", F.inline(F.expr(added))).select(
         "diff_id", "file", "pos", F.expr("substring(line, 2)").alias("line"))
 
 
 def diff_files(diffs) -> DataFrame:
-    """(id, text): the added lines of each file of each diff, joined in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return diff_lines(diffs).groupBy("diff_id", "file").agg(ordered.alias("ls")).select(
-        "diff_id", F.col("file").alias("id"),
-        F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+    """(diff_id, id, text): the added lines of each file of each diff, joined in order; no shuffle."""
+    added = "transform(filter(p.body, l -> startswith(l, '+')), l -> substring(l, 2))"
+    whole = (f"flatten(transform(array({_diff_sections()}), ps -> transform(array_distinct(transform(ps, p -> p.file)), f -> "
+             f"named_struct('id', f, 'added', flatten(transform(filter(ps, p -> p.file = f), p -> {added}))))))")
+    rows = diffs.select("diff_id", F.inline(F.expr(whole))).where("size(added) > 0")
+    return rows.select("diff_id", "id", F.array_join("added", "\n").alias("text"))
 
 
 _PATTERN_FIELDS = ("name string, category string, match string, match_pattern string, enabled boolean, severity string, "
