@@ -149,6 +149,7 @@ KIND_OF_CATEGORY = {
     **dict.fromkeys(["compliance", "healthcare", "finance"], "compliance"),
     **dict.fromkeys(["devops", "infrastructure", "cloud-native", "kubernetes", "terraform", "container", "graphql",
                      "cloudformation", "arm"], "configuration"),
+    **dict.fromkeys(["ai-detection", "metadata"], "informational"),
 }
 
 

@@ -47,7 +47,7 @@ def test_yaml_lists(spark, tmp_path):
 def test_settings(spark):
     df = spark.createDataFrame([(1, '{"a": "x", "b": 2}'), (2, "{}"), (3, "not json")], "k int, props string")
     assert {tuple(r) for r in tables.kv_from_json(df, "k", "props").collect()} == {("1", "a", "x"), ("1", "b", "2")}
-    kv = spark.createDataFrame([("s", "TOKEN", "ghp_" + "a1B2" * 10), ("s", "MAIL", "a@b.org")],
+    kv = spark.createDataFrame([("s", "TOKEN", "ghp_" + "a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXyZ"), ("s", "MAIL", "a@b.org")],
                                "source string, key string, value string")
     found = scan.scan_kv(kv, load_catalogue()).collect()
     assert {(r.key, r.rule) for r in found} == {("TOKEN", "secrets-github-token")}
