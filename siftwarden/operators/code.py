@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
+from ..session import spread
 
 DEBUG_OUTPUT = ("console.log", "console.error", "System.out.println", "print(")
 LOCAL_HOSTS = ("localhost", "127.0.0.1")
@@ -59,7 +60,7 @@ def _lint(files, lints, words) -> DataFrame:
     per_line = (f"flatten(transform({text.lines('text')}, (l, i) -> transform(array({text.trimmed('l')}), t -> "
                 f"transform(filter(array({', '.join(lints)}), x -> x is not null), x -> named_struct("
                 "'line', i + 1, 'matched', l, 'lint', x)))[0]))")
-    found = files.where(any_of("text", words)).select("id", F.inline(F.expr(per_line)))
+    found = spread(files.where(any_of("text", words)).select("id", "text")).select("id", F.inline(F.expr(per_line)))
     return found.select("id", F.col("lint.rule").alias("rule"), F.lit("code").alias("category"),
                         F.col("lint.severity").alias("severity"), F.col("lint.confidence").alias("confidence"),
                         F.col("line").cast("int").alias("line"), "matched",
@@ -94,7 +95,7 @@ def code_complexity(files, language=None) -> DataFrame:
     """
     kept = (f"array_join(filter({text.lines('text')}, l -> not transform(array({text.trimmed('l')}), "
             f"t -> {RUST_COMMENT})[0]), '\\n')")
-    body = files.select("id", "text", F.expr(language or scalars.language("id")).alias("language")).withColumn(
+    body = spread(files.select("id", "text")).select("id", "text", F.expr(language or scalars.language("id")).alias("language")).withColumn(
         "body", F.when(F.col("language") == "rust", F.expr(kept)).otherwise(F.col("text")))
     counted = {tongue: " + ".join(text.occurrences("body", w) for w in words)
                for tongue, words in BRANCH_WORDS.items()}

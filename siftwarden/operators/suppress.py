@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import spread
 
 KEYWORD = "scan:ignore"
 ALL_RULES = "*"
@@ -19,7 +20,7 @@ def directives(content, keyword=KEYWORD) -> DataFrame:
     rule = "(?:[:][ \\t]*([^ \\t*\\r\\n]+))?"
     body = rf"^([^\n]*?)(?://|#|(/\*)) {word}[ \t]*{rule}[ \t]*(\*/)?[ \t]*"
     pattern = F.lit(rf"(?dm){body}(?=\r?$)")
-    found = content.where(F.col("text").contains(keyword)).select(
+    found = spread(content.where(F.col("text").contains(keyword)).select("id", "text")).select(
         "id", "text", F.regexp_extract_all("text", pattern, F.lit(0)).alias("found")).withColumn(
         "gaps", F.split("text", rf"(?dm){body}(?=\r?$)", -1))
     rows = found.select("id", F.inline(F.expr(f"if(size(found) > 0, {text.spans('gaps', 'found')}, array())")))

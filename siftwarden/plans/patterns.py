@@ -8,11 +8,12 @@ number of that shape, so digit rules are gated like the others.
 """
 
 import re
+from functools import lru_cache
 from re import _constants as K
 from re import _parser as regex_parser
 
 # Literal sets beyond this size, or runs beyond this length, do not make a better gate.
-MAX_SET = 48
+MAX_SET = 24
 MAX_LENGTH = 16
 MAX_CLASS = 8
 # Branches tried one by one at a node of the gate expression; measured best at 8.
@@ -54,6 +55,7 @@ def _boundary(before, after):
     return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+@lru_cache(maxsize=4096)
 def to_java(pattern, unicode=False):
     """Pattern for Spark, with the line and boundary rules of the automaton dialects.
 
@@ -80,6 +82,7 @@ def to_re2(pattern):
     return "".join(r"\z" if t == "$" and not c else t for t, c in _tokens(pattern))
 
 
+@lru_cache(maxsize=4096)
 def compile_error(pattern):
     """None for a usable pattern, else why it is refused."""
     if not pattern:
@@ -121,8 +124,13 @@ def _score(literals):
     return weakest - 0.02 * len(literals)
 
 
+def _usable(literals):
+    """A set worth asking for: not too many, none of them empty or a single letter."""
+    return len(literals) <= MAX_SET and all(len(lit) > 1 or (lit and not lit.isalpha()) for lit in literals)
+
+
 def _better(a, b):
-    usable = [s for s in (a, b) if s and min(map(_weight, s)) >= 1.0 and len(s) <= MAX_SET]
+    usable = [s for s in (a, b) if s and _usable(s)]
     return max(usable, key=_score) if usable else None
 
 
@@ -225,14 +233,15 @@ def _leads(repeat):
     return len(body) == 1 and body[0][0] in (K.LITERAL, K.IN)
 
 
+@lru_cache(maxsize=4096)
 def required_literals(pattern):
     """Folded literals of which every match holds at least one; empty when there are none."""
     _, best = _sequence(regex_parser.parse(pattern))
     if not best:
-        return []
+        return ()
     short = {lit[:MAX_LENGTH] for lit in best}
     # a literal that has another one as its prefix adds nothing
-    return sorted(s for s in short if not any(s != o and s.startswith(o) for o in short))
+    return tuple(sorted(s for s in short if not any(s != o and s.startswith(o) for o in short)))
 
 
 def _trie(literals):

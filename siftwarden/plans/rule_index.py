@@ -1,6 +1,8 @@
 """Compile a rule list into the gate pattern and the broadcast rule index."""
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,12 @@ class RuleIndex:
         return spark.createDataFrame(pa.table(columns))
 
 
+def _with_prefix(vocabulary, prefix):
+    """Members of the sorted vocabulary that begin with the prefix."""
+    start = bisect_left(vocabulary, prefix)
+    return takewhile(lambda v: v.startswith(prefix), islice(vocabulary, start, None))
+
+
 def build_index(rules, unicode=False) -> RuleIndex:
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the broadcast index holds at most {MAX_RULES}")
@@ -61,7 +69,7 @@ def build_index(rules, unicode=False) -> RuleIndex:
     for rule in rules:
         wanted = gates[rule["ordinal"]]
         # the gate reports the longest literal at a position, which implies its prefixes
-        keys = [v for v in vocabulary if any(v.startswith(w) for w in wanted)] if wanted else [""]
+        keys = sorted({v for w in wanted for v in _with_prefix(vocabulary, w)}) if wanted else [""]
         many = many or len(keys) > 1
         java = patterns.to_java(rule["match"], unicode)
         rows += [(key, tuple(keys), rule["ordinal"], java, rule["min_entropy"]) for key in keys]

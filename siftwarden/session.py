@@ -29,14 +29,27 @@ def checkpoint_dir(spark):
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+# An input with less than this per core comes in too few splits to keep the cores busy.
+SMALL_PER_CORE = 32 * 1024 * 1024
+
+
+def estimated_bytes(df):
+    """Size of an input as the optimizer knows it; nothing is run.  None when it is unknown."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df, factor=4):
-    """Use every core for per-row pattern work when the input arrives as a few partitions.
+    """Use every core for per-row pattern work when the input is small.
 
-    A large table already has far more input splits than cores, and is left as it is: no
-    shuffle of the text.  Only a small input (a single file is one task) is redistributed,
-    round-robin, so that a hot id cannot land in one task.
+    A large table has far more splits than cores and is left as it is: its text is never
+    shuffled.  A small one (a single file is one task) is redistributed round-robin, so that a hot
+    id cannot land in one task.
     """
     if df.isStreaming:
         return df
-    wanted = factor * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    return df if size is None or size > SMALL_PER_CORE * cores else df.repartition(factor * cores)

@@ -103,10 +103,14 @@ def test_hot_id_and_copies(spark, rule):
     assert found.count() == 600 and found.where("id = 'hot'").count() == 200
 
 
-def test_no_shuffle_of_text_when_input_is_spread(spark, rule):
-    df = spark.range(0, 1000, 1, 64).selectExpr("cast(id as string) id", "concat('x ', id) text")
-    plan = match_counts(df, [rule("r", r"x \d")])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan and "RoundRobin" not in plan
+def test_large_input_is_not_shuffled(spark, rule, monkeypatch):
+    from siftwarden import session
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) id", "text")
+    plan = lambda: match_counts(df, [rule("r", r"x \d")])._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" in plan()
+    monkeypatch.setattr(session, "SMALL_PER_CORE", 1)
+    assert "BroadcastHashJoin" in plan() and "Exchange hash" not in plan() and "RoundRobin" not in plan()
 
 
 def test_suppression_scopes(spark, content, rule):
