@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import materialize
 
 
 def graded(findings) -> DataFrame:
@@ -240,7 +241,7 @@ def rank_findings(findings, span=65_536) -> DataFrame:
     from pyspark.sql import Window
 
     weight = F.expr(scalars.severity_weight("severity"))
-    bucketed = findings.withColumns({"_w": -weight, "_b": F.floor(F.col("start_byte") / span)})
+    bucketed = materialize(findings.withColumns({"_w": -weight, "_b": F.floor(F.col("start_byte") / span)}))
     sizes = bucketed.groupBy("id", "_w", "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("id").orderBy("_w", "_b")) - F.col("_n")
     offsets = sizes.select("id", "_w", "_b", before.alias("_before"))

@@ -1,6 +1,7 @@
 """Session helper for local runs; a cluster brings its own session."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,9 +25,21 @@ def build_session(app="siftwarden", cpus=None):
     return spark
 
 
-def checkpoint_dir(spark):
-    """Shared folder for written intermediates, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def materialize(df):
+    """Write an intermediate that is read more than once to the checkpoint folder.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local session
+    without one gets its own; a cluster without one keeps the lineage and computes twice.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 # An input with less than this per core comes in too few splits to keep the cores busy.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import materialize
 from ..operators.catalog import BUNDLE_VERSION, COLUMNS
 
 TOOL_NAME = "siftwarden"
@@ -71,6 +72,7 @@ def sarif_documents(findings, per_document=RESULTS_PER_DOCUMENT) -> DataFrame:
 
     The parts come from a hash of the fingerprint, so no source has to fit into one group.
     """
+    findings = materialize(findings.select("id", "fingerprint", "rule", "severity", "line", "start_byte", "description"))
     results = sarif_results(findings)
     parts = findings.groupBy("id").agg(F.ceil(F.count("*") / per_document).alias("parts"))
     placed = results.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
