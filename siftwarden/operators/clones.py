@@ -41,10 +41,13 @@ def token_pattern(possessive=True):
 
 
 def _folded(t):
+    """Kind of a token by its first character; a pattern is only asked beyond ASCII."""
     keywords = ", ".join(f"'{k}'" for k in KEYWORDS)
-    return (f"case when {t} in ({keywords}) then {t} when {t} rlike '^[\\\\p{{L}}_]' then 'ID' "
-            f"when {t} rlike '^\\\\p{{N}}' then 'NUM' "
-            f"when substring({t}, 1, 1) in ('\"', '\\'') then 'STR' else {t} end")
+    return (f"case when {t} in ({keywords}) then {t} "
+            f"when ascii({t}) between 97 and 122 or ascii({t}) between 65 and 90 or ascii({t}) = 95 then 'ID' "
+            f"when ascii({t}) between 48 and 57 then 'NUM' when ascii({t}) in (34, 39) then 'STR' "
+            f"when ascii({t}) < 128 then {t} when {t} rlike '^\\\\p{{L}}' then 'ID' "
+            f"when {t} rlike '^\\\\p{{N}}' then 'NUM' else {t} end")
 
 
 def blocks(files, min_tokens=BLOCK, with_lines=True) -> DataFrame:
@@ -79,18 +82,16 @@ def _similar_sets(sets, keys, threshold) -> DataFrame:
     common = "array('{', '}', '[', ']', ':', '=', '\"', '-', ';', '(', ')', 'STR', 'NUM', '.', ',', 'ID')"
     ordered = f"concat(array_except(token_set, {common}), array_intersect({common}, token_set))"
     length = f"size(token_set) - cast(ceil({threshold} * size(token_set) - 1e-9) as int) + 1"
-    prefixed = sets.select(*keys, "token_set", "info", F.explode(F.expr(f"slice({ordered}, 1, {length})")).alias("token"))
-    left = prefixed.select(*keys, "token", F.col("token_set").alias("s1"), F.col("info").alias("i1"))
-    right = prefixed.select(*keys, "token", F.col("token_set").alias("s2"), F.col("info").alias("i2"))
-    shared = "size(array_intersect(s1, s2))"
-    similarity = F.expr(f"{shared} / cast(size(s1) + size(s2) - {shared} as double)")
-    first = F.expr(f"concat(array_except(array_intersect(s1, s2), {common}), "
-                   f"array_intersect({common}, array_intersect(s1, s2)))[0]")
+    prefixed = sets.withColumn("o", F.expr(ordered)).select(
+        *keys, "token_set", "o", "info", F.explode(F.expr(f"slice(o, 1, {length})")).alias("token"))
+    side = lambda k: prefixed.select(*keys, "token", F.col("token_set").alias(f"s{k}"), F.col("o").alias(f"o{k}"),
+                                     F.col("info").alias(f"i{k}"))
+    sizes = (f"least(size(s1), size(s2)) >= {threshold} * greatest(size(s1), size(s2)) - 1e-9")
+    shared = "array_intersect(o1, o2)"
+    similarity = f"size({shared}) / cast(size(s1) + size(s2) - size({shared}) as double)"
     # a pair meets at each shared prefix token; it is kept at the first one only
-    pairs = left.join(right, [*keys, "token"]).where(
-        (F.col("s1") < F.col("s2")) & (F.least(F.size("s1"), F.size("s2")) >= F.lit(threshold) * F.greatest(F.size("s1"), F.size("s2")) - 1e-9))
-    return pairs.where(F.col("token") == first).withColumn("similarity", similarity).where(
-        F.col("similarity") >= threshold).drop("token")
+    return side(1).join(side(2), [*keys, "token"]).where("s1 < s2").where(sizes).where(f"token = {shared}[0]").withColumn(
+        "similarity", F.expr(similarity)).where(F.col("similarity") >= threshold).drop("token", "o1", "o2")
 
 
 def clone_pairs(files, min_similarity=MIN_SIMILARITY, min_tokens=BLOCK, with_lines=True) -> DataFrame:

@@ -4,6 +4,8 @@
 whole tables and whole texts.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -15,7 +17,7 @@ from .plans import profiles, scan
 from .plans.patterns import to_re2
 from .rules import load_catalogue
 from .schema import LANGUAGES
-from .session import spread
+from .session import shared_folder, spread
 from .sources import sinks, tables
 from .streaming import streams
 
@@ -912,3 +914,41 @@ def _(spark, sf):
        f"category, count(*) AS findings, CAST(sum({O.hundredths('1')}) AS BIGINT) AS hundredths FROM k GROUP BY category, session")
 def _(spark, sf):
     return streams.risk_windows(detect(timed_events(spark, sf), PII), session_gap="5 minutes")
+
+
+# --- the streams themselves, run to the end of the table ---------------------------------------------
+def live_events(spark, sf):
+    """The events as a file stream: (id, text, ts)."""
+    d = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    return d.select(F.col("event_id").cast("string").alias("id"), F.expr(_EVENT_TEXT.replace("VARCHAR", "STRING")).alias("text"),
+                    F.col("ts").cast("timestamp").alias("ts"))
+
+
+def drain(live, start=streams.write_findings):
+    """Run a stream to the end of its input and read what it wrote."""
+    folder = f"{shared_folder(live.sparkSession)}/{uuid.uuid4()}"
+    start(live, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return live.sparkSession.read.parquet(f"{folder}/out")
+
+
+@query("stream_detect", f"{_EVENT_FINDINGS} SELECT {F_LIST} FROM f")
+def _(spark, sf):
+    return drain(streams.stream_detect(live_events(spark, sf), PII)).select(FINDING)
+
+
+@query("stream_dedup", f"{_EVENT_FINDINGS} SELECT DISTINCT rule || '/' || matched AS fingerprint FROM f")
+def _(spark, sf):
+    found = streams.stream_detect(live_events(spark, sf), PII).withColumn("fingerprint", F.concat_ws("/", "rule", "matched"))
+    return drain(streams.stream_dedup(found, "60 days")).select("fingerprint")
+
+
+@query("stream_baseline", f"{_EVENT_FINDINGS} SELECT id, rule, fingerprint FROM f WHERE NOT EXISTS (SELECT 1 FROM events e "
+       "WHERE f.id = CAST(e.event_id AS VARCHAR) AND e.event_type = 'error')")
+def _(spark, sf):
+    errors = table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"))
+
+    def known():
+        return suppress.create_baseline(detect(timed_events(spark, sf).join(errors, "id", "left_semi").drop("ts"), PII))
+
+    new = lambda live, path, log: streams.write_new_findings(live, known, path, log)
+    return drain(streams.stream_detect(live_events(spark, sf), PII), new).select("id", "rule", "fingerprint")

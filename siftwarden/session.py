@@ -25,17 +25,22 @@ def build_session(app="siftwarden", cpus=None):
     return spark
 
 
+def shared_folder(spark):
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session may make its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 def materialize(df):
     """Write an intermediate that is read more than once to the checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local session
-    without one gets its own; a cluster without one keeps the lineage and computes twice.
+    A cluster that names no folder keeps the lineage and computes twice.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-")
+        folder = shared_folder(df.sparkSession)
         if folder is None:
             return df
         context.setCheckpointDir(folder)
