@@ -107,6 +107,11 @@ def risk_by_category(rows, severity_weights=None, category_weights=None) -> Data
                       F.col("n").alias("finding_count"))
 
 
+def risk_by_source_category(rows) -> DataFrame:
+    """(id, category, score): the untruncated points."""
+    return _per_category(_weighted(rows), "id").select("id", "category", (F.col("units") / 100).alias("score"))
+
+
 def findings_by_severity(rows) -> DataFrame:
     return rows.groupBy("severity").agg(F.sum("n").alias("findings"))
 

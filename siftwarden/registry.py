@@ -9,10 +9,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions import scalars, text
+from .functions import scalars
 from .operators import catalog, clones, code, filters, risk, suppress
-from .operators.detect import (active_rules, attribute_first, build_index, capture_groups, category_hits,
-                               content_table, detect, match_counts, match_spans)
+from .operators.detect import (active_rules, build_index, capture_groups, category_hits, content_table, detect,
+                               match_counts, match_spans)
 from .plans import profiles, scan
 from .plans.patterns import to_re2
 from .rules import load_catalogue
@@ -414,9 +414,7 @@ _KINDS = risk.KIND_OF_CATEGORY
        "WHEN kind = 'compliance' THEN 'compliance_review' ELSE 'fix' END AS action, "
        "CASE level WHEN 'none' THEN 5 WHEN 'low' THEN 4 WHEN 'medium' THEN 3 WHEN 'high' THEN 2 ELSE 1 END AS priority FROM k")
 def _(spark, sf):
-    rows = counted(documents(spark, sf), TEXT)
-    per = risk._per_category(risk._weighted(rows), "id").select(
-        "id", "category", (F.col("units") / 100).alias("score"))
+    per = risk.risk_by_source_category(counted(documents(spark, sf), TEXT))
     return risk.risk_action(per).select("id", "category", "level", "kind", "action", "priority")
 
 
@@ -441,6 +439,20 @@ def _(spark, sf):
     return rows.select("id", "fingerprint", F.to_json("result").alias("result"))
 
 
+@query("findings_sink", f"{O.findings(PII, DOCS)} SELECT id, rule, category, line, start_byte, fingerprint FROM f")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    sinks.write_findings(detect(documents(spark, sf), PII), path)
+    return spark.read.parquet(path).select("id", "rule", "category", "line", "start_byte", "fingerprint")
+
+
+@query("file_tree_source")
+def _(spark, sf):
+    """The files of the data folder itself."""
+    files = tables.read_tree(spark, sf, size_limit=2**40, glob="*.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
 @query("sarif_documents")
 def _(spark, sf):
     return sinks.sarif_documents(detect(documents(spark, sf), PII))
@@ -700,6 +712,23 @@ def _(spark, sf):
                        F.expr(scalars.confidence_multiplier("confidence")).alias("multiplier"))
 
 
+@query("fn_confidence_multiplier", "SELECT name, " + O.case_of(
+    "confidence", {"high": "1.0", "medium": "0.7", "low": "0.4"}, "0.5") + f"::DOUBLE AS multiplier "
+       f"FROM (SELECT name, {_NORMAL_C} AS confidence FROM ({_PART_SQL}))")
+def _(spark, sf):
+    rows = catalog.normalize(part_rules(spark, sf))
+    return rows.select("name", F.expr(scalars.confidence_multiplier("confidence")).alias("multiplier"))
+
+
+@query("sql_functions", f"SELECT doc_id, round({O.entropy('text')}, 6) AS entropy, round({_DENSITY}, 6) AS density, "
+       f"{O.risk_level('n_chars')} AS level, 'r:' || doc_id || ':1:' || lang AS fingerprint FROM documents")
+def _(spark, sf):
+    scalars.register_functions(spark)
+    docs = spread(table(spark, sf, "documents"))
+    return spark.sql("select doc_id, round(sw_shannon_entropy(text), 6) entropy, round(sw_information_density(text), 6) density, "
+                     "sw_risk_level(n_chars) level, sw_fingerprint('r', string(doc_id), 1, lang) fingerprint from {docs}", docs=docs)
+
+
 _SCORED = "SELECT event_id, CAST(floor(value) AS BIGINT) - 5 AS score FROM events"
 
 

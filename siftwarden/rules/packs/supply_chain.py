@@ -1,6 +1,6 @@
 """Dependency declarations and audits, mostly names of well-known files."""
 
-from ..builders import file_name, phrases, terms
+from ..builders import file_name
 
 CATEGORY = "supply-chain"
 SUBJECT = "dependency declaration"

@@ -3,9 +3,8 @@ import re
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from siftwarden.operators import suppress
-from siftwarden.operators.detect import (attribute_first, capture_groups, category_hits, detect, match_counts, match_spans)
+from siftwarden.operators.detect import capture_groups, category_hits, detect, match_counts, match_spans
 from siftwarden.rules import load_catalogue
-from siftwarden.plans import patterns
 
 
 def expected(texts, rules):
