@@ -5,6 +5,7 @@ from ..builders import tag
 CATEGORY = "accessibility"
 SUBJECT = "accessibility check"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("missing-alt-text", "mh", tag("img")),
     ("missing-aria-label", "mm", tag("button")),

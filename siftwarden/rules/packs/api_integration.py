@@ -5,6 +5,7 @@ from ..builders import chain, either
 CATEGORY = "api_integration"
 SUBJECT = "interface call setting"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("api_versioning", "mh", either(
         chain("api", "version", "header"), chain("Accept", r"application/vnd\."), "/v[0-9]+/",

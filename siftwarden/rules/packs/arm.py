@@ -5,6 +5,7 @@ from ..builders import assigned, setting
 CATEGORY = "arm"
 SUBJECT = "template field"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("arm-azure-sql-no-firewall", "hh", assigned(
         ("startIpAddress",), r"0\.0\.0\.0[\"']", ignore_case=False)),

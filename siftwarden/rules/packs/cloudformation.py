@@ -3,6 +3,7 @@
 CATEGORY = "cloudformation"
 SUBJECT = "template field"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("cloudformation-iam-lambda-assume-role", "mh", r"Principal\s*:\s*\*|AWS\s*:\s*[\"']*\*[\"']*"),
     ("cloudformation-s3-no-encryption", "hh",

@@ -5,6 +5,7 @@ from ..builders import call, whole_words
 CATEGORY = "code-quality"
 SUBJECT = "code smell"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("console-log", "lh", call(r"console\.(?:log|debug|info|warn|error)", ignore_case=False)),
     ("todo-comment", "lh", whole_words("todo", "fixme", "hack", "xxx")),

@@ -5,6 +5,7 @@ from ..builders import terms
 CATEGORY = "compliance"
 SUBJECT = "regulation or audit term"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("gdpr-reference", "lm", terms("gdpr", r"general\s+data\s+protection")),
     ("gdpr-article-17", "lh", terms("article 17", "right to erasure")),

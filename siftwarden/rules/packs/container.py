@@ -3,6 +3,7 @@
 CATEGORY = "container"
 SUBJECT = "container privilege"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("dockerfile-cap-add-all", "hh", r"--cap-add\s*=\s*ALL|cap_add:\s*-\s*ALL"),
     ("dockerfile-exposed-socket", "ch", r"(-v|--mount)(?:=|\s+)/?var/run/docker\.sock"),

@@ -5,6 +5,7 @@ from ..builders import chain, either
 CATEGORY = "data_visualization"
 SUBJECT = "chart setting"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("chart-accessibility", "mh", either(
         "canvas[^>]*[^aria-]", chain("tooltip", "enabled", "false"), chain("legend", "display", "false"))),

@@ -5,6 +5,7 @@ from ..builders import file_name, then
 CATEGORY = "devops"
 SUBJECT = "delivery setting"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("ci-bypass", "hh", then(
         ("bypass", "skip", "disable", "ignore"), ("ci", "pipeline", "check", "test", "lint"))),

@@ -7,6 +7,7 @@ SUBJECT = "repository habit"
 
 TYPES = "feat|fix|docs|style|refactor|test|chore|perf|ci|build|revert"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("merge-conflict", "hh", "^<{7}|^={7}|^>{7}"),
     ("git-commit-signoff", "lh", "Signed-off-by:"),

@@ -5,6 +5,7 @@ SUBJECT = "risky repository command"
 
 PROTECTED = "(main|master|develop|release|prod)"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("git-ops-force-push-detected", "hh",
      r"(?i)git\s+push\s+--force|git\s+push\s+-f\s+origin|push\s+--force-with-lease|--force-with-lease"),

@@ -7,6 +7,7 @@ SUBJECT = "query server setting"
 
 TRUE = ("true", "True", "TRUE")
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("graphql-debug-mode", "hh", setting(
         ("debug", "DEBUG", "debugMode"), TRUE, sign="[:=]", ignore_case=False)),

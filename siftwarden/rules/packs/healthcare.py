@@ -5,6 +5,7 @@ from ..builders import code
 CATEGORY = "healthcare"
 SUBJECT = "health identifier"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("clinical-trial-id", "mh", code("NCT", 8, 8)),
     ("healthcare-code", "mh", code(("CPT", "HCPCS", "ICD-10"), 5, 8, body="[A-Z0-9]")),

@@ -29,6 +29,7 @@ def _provider(label):
     return rf'provider\s+"{label}"'
 
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("terraform-resource", "lh", block("resource")),
     ("terraform-variable", "lh", block("variable")),

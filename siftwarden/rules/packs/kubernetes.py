@@ -10,6 +10,7 @@ def nested(outer, inner, value):
     return rf"(?i){outer}:\s*\n\s*{inner}:\s*{value}"
 
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("k8s-allow-privilege-escalation", "hh", setting(
         ("allowPrivilegeEscalation",), ("true", "null"), sign=":", ignore_case=False)),

@@ -5,6 +5,7 @@ from ..builders import file_suffix
 CATEGORY = "metadata"
 SUBJECT = "left-over file"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("backup-file", "lh", file_suffix("bak", "old", "backup", "orig", "rpmorig", "dpkg-old", "dpkg-dist", '~"')),
     ("IDE-config-leak", "mh", file_suffix("idea", "vscode", "vscodium", "settings.json", "workspace.json")),

@@ -5,6 +5,7 @@ from ..builders import chain, either
 CATEGORY = "pwa"
 SUBJECT = "web app marker"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("caching-strategy", "mh", either(
         chain("cache", "first", "network"), chain("network", "first", "cache"),

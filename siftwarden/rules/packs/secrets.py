@@ -14,6 +14,7 @@ def token(prefix, size, body=WORD):
     return rf"\b{prefix}{body}{{{size}}}"
 
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("secrets-aws-access-key", "hh", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", {"entropy": 3.5}),
     ("secrets-aws-secret-key", "ch", assigned((r"aws[_.-]?secret[_.-]?(?:access[_.-]?)?key",), BASE64 + "{40}"),

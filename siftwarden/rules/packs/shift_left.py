@@ -5,6 +5,7 @@ from ..builders import file_name, terms
 CATEGORY = "shift-left"
 SUBJECT = "early-quality marker"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("precommit-marker", "lh", terms("pre-commit", "precommit", "commit-msg")),
     ("pr-review-marker", "lm", terms("pull.request", "code.review", "review.required")),

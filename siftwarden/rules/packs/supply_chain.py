@@ -5,6 +5,7 @@ from ..builders import file_name
 CATEGORY = "supply-chain"
 SUBJECT = "dependency declaration"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("unknown-npm-package", "ll",
      r"(?i)npm\s+(install|add)\s+([a-z0-9_-]+@\d+\.\d+\.\d+|[a-z0-9_-]+\.[a-z0-9_-]+)"),

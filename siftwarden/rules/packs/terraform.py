@@ -8,6 +8,7 @@ SUBJECT = "module setting"
 Q = "[\"']"
 KEYS = ("password", "secret", "api_key", "aws_access_key", "aws_secret_key")
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("db-public-access", "hh", setting(("publicly_accessible", "skip_final_snapshot"), ("true",))),
     ("tf-ecs-no-secrets", "mh", "aws_ecs_task_definition"),

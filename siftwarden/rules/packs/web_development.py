@@ -5,6 +5,7 @@ from ..builders import chain, either
 CATEGORY = "web_development"
 SUBJECT = "front-end habit"
 
+# Names, grades, entropy floors and patterns decide what is reported.
 RULES = [
     ("bundler-optimization", "lh", either(
         chain("import", r"\*", "from"), chain("require", "dynamic", "import"), chain("import", r"\(?", "await"))),
