@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, suffix
 
 QUERIES, SQL = {}, {}
 
@@ -25,3 +25,11 @@ def _(spark, sf):
     pieces = packing.pack(table(spark, sf, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
+
+
+@query("op10_suffix_dedup")
+def _(spark, sf):
+    out = suffix.remove_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
+                      .alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
