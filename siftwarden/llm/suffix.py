@@ -232,34 +232,30 @@ def rank_strings(batches):
 
 def keep_rest(batches):
     """Removes the bytes of each text that repeated strings cover."""
-    for batch in batches:
-        data, offsets = raw(batch.column("text"))
-        spans = batch.column("spans")
-        count = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = spans.flatten()
-        first, number = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-        row = np.repeat(np.arange(batch.num_rows), count)
-        edge = np.zeros(len(data[offsets[0]:offsets[-1]]) + 1, dtype=np.int32)
-        base = offsets[:-1][row] - offsets[0] + first
-        np.add.at(edge, base, 1)
-        np.add.at(edge, base + number + THRESHOLD - 1, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        kept, spot = [], []
-        for i in range(batch.num_rows):
-            a, b = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
-            text = data[offsets[i]:offsets[i + 1]]
-            if count[i]:
-                mask = gone[a:b]
-                jump = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                kept.append(text[~mask].tobytes())
-                spot.append([{"start": int(x), "end": int(y)} for x, y in zip(jump[::2], jump[1::2])])
-            else:
-                kept.append(text.tobytes())
-                spot.append([])
-        yield pa.record_batch({
-            "doc": batch.column("id"), "n_bytes": np.diff(offsets),
-            "removed": pa.array(spot, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            "kept": pa.array(kept, pa.binary())})
+    for whole in batches:
+        for a, b in ranges_of_rows(raw(whole.column("text"))[1], 4 * SLICE):
+            batch = whole.slice(a, b - a)
+            data, offsets = raw(batch.column("text"))
+            data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+            spans = batch.column("spans")
+            count = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = spans.flatten()
+            first, number = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            first = np.repeat(offsets[:-1], count) + first
+            edge = np.zeros(len(data) + 1, dtype=np.int32)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, first + number + THRESHOLD - 1, -1)
+            gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+            kept, runs = [], []
+            for i, (x, y) in enumerate(zip(offsets[:-1], offsets[1:])):
+                mask = gone[x:y] if count[i] else np.zeros(0, dtype=bool)
+                jump = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]))).tolist()
+                kept.append((data[x:y][~mask] if count[i] else data[x:y]).tobytes())
+                runs.append([{"start": p, "end": q} for p, q in zip(jump[::2], jump[1::2])])
+            yield pa.record_batch({
+                "doc": batch.column("id"), "n_bytes": np.diff(offsets),
+                "removed": pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "kept": pa.array(kept, pa.binary())})
 
 
 def remove_repeats(docs, id_col="doc_id", text_col="text"):
