@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, suffix
+from . import jaccard, langid, packing, suffix
 
 QUERIES, SQL = {}, {}
 
@@ -55,3 +55,11 @@ LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROU
 """)
 def _(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"), words=4, percent=85)
+
+
+@query("op2_language_id")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    profiles = langid.learn(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
