@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, suffix
+from . import jaccard, langid, packing, pii, suffix
 
 QUERIES, SQL = {}, {}
 
@@ -63,3 +63,19 @@ def _(spark, sf):
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     profiles = langid.learn(docs.filter("not held_out"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+@query("op7_pii")
+def _(spark, sf):
+    out = pii.sanitise(table(spark, sf, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts, base = map(count, pii.KINDS), F.filter("spans", lambda s: s.kind != "term")
+    return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+                      joined(F.col("spans")).alias("spans"))
