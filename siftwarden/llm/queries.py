@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, pii, suffix
+from . import decontam, jaccard, langid, packing, pii, suffix
 
 QUERIES, SQL = {}, {}
 
@@ -79,3 +79,8 @@ def _(spark, sf):
     counts, base = map(count, pii.KINDS), F.filter("spans", lambda s: s.kind != "term")
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_decontamination")
+def _(spark, sf):
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
