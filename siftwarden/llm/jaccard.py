@@ -87,16 +87,45 @@ def print_of(elements):
     return xxh3_128_digest(elements.tobytes())
 
 
+def sketch_of(elements):
+    """Parity of the elements in 2 to 4 buckets per element: as many parities differ as elements, at most."""
+    bits = 1 << max(6, int(2 * len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements ^ A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x, y):
+    """Number of parities that differ; the longer sketch is folded to the length of the shorter."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def measure(words):
-    """Size and 128-bit print of each set."""
+    """Size, 128-bit print and sketch of each set."""
     def run(batches):
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, sketches = [], [], []
             for _, sets in sets_of(batch, words):
                 sizes += [len(s) for s in sets]
                 prints += [print_of(s) if len(s) else None for s in sets]
+                sketches += [sketch_of(s) if len(s) else None for s in sets]
             yield pa.record_batch({"id": batch.column("id"), "n": pa.array(sizes, pa.int64()),
-                                   "print": pa.array(prints, pa.binary())})
+                                   "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+    return run
+
+
+def near_enough(percent):
+    """Pairs that may be similar by their sizes and sketches; no similar pair is left out."""
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            most = (n_a + n_b) * (100 - percent) // (100 + percent)
+            fit = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            for i in np.flatnonzero(fit):
+                fit[i] = apart(batch.column("sketch_a")[i].as_py(), batch.column("sketch_b")[i].as_py()) <= most[i]
+            yield pa.record_batch({c: batch.column(c).filter(pa.array(fit)) for c in ("a", "b")})
     return run
 
 
@@ -151,44 +180,51 @@ def similar_documents(docs, words=5, percent=80, id_col="doc_id", text_col="text
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
-    measured = stored(docs.mapInArrow(measure(words), "id bigint, n bigint, print binary"), "sets")
+    measured = stored(docs.mapInArrow(measure(words), "id bigint, n bigint, print binary, sketch binary"), "sets")
     full = measured.filter("n > 0 and id is not null")
-    first = stored(full.groupBy("print").agg(F.min("id").alias("first")), "first")
-    member = stored(full.join(first, "print").select("id", "first").distinct(), "members")
+    first = full.groupBy("print").agg(F.min("id").alias("first"))
+    member = stored(full.select("id", "print").join(first, "print").select("id", "first").distinct(), "members")
     links = member.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
 
     # buckets of documents that share a signature, equal sets standing as one
     signed = docs.filter("id is not null").mapInArrow(sign(words, percent), "signature bigint, id bigint")
     crowd = F.count(F.lit(1)).over(Window.partitionBy("signature"))
-    buckets = stored(signed.withColumn("crowd", crowd).filter("crowd > 1").drop("crowd"), "buckets")
+    buckets = signed.withColumn("crowd", crowd).filter("crowd > 1").drop("crowd")
     buckets = buckets.join(member, "id").select("signature", F.col("first").alias("id")).distinct()
     buckets = stored(buckets.withColumn("crowd", crowd).filter("crowd > 1"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("crowd").alias("degree"))
-    texts = stored(docs.join(degree.select("id").hint("shuffle_hash"), "id", "left_semi"), "texts")
-    buckets = stored(buckets.join(degree, "id").select("signature", "id", "degree"), "buckets")
+    sketches = stored(full.select("id", "n", "sketch").join(degree, "id"), "sketches")
+    buckets = buckets.join(degree, "id")
+
+    def likely(pairs):
+        x = sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        y = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        return stored(pairs.join(y, "b").join(x, "a").mapInArrow(near_enough(percent), "a bigint, b bigint"), "likely")
 
     def checked(pairs):
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(
+        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+        texts = stored(docs.join(ids.hint("shuffle_hash"), "id", "left_semi"), "texts")
+        x = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        y = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(
             verify(words, percent), "a bigint, b bigint")
 
-    # each member against one leader of its bucket: first the one that shares most signatures, then any
-    known = None
-    for order in (F.struct(F.col("degree"), -F.col("id")), F.struct(F.xxhash64("id"), F.col("id"))):
-        rows = buckets if known is None else several(buckets, known)
-        leader = rows.groupBy("signature").agg(F.max_by("id", order).alias("a"))
-        pairs = rows.join(leader, "signature").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-        links = stored(links.unionAll(checked(pairs)), "found")
-        known = components(links)
+    # each member against two leaders of its bucket: the one that shares most signatures, and any one
+    leaders = buckets.groupBy("signature").agg(
+        F.max_by("id", F.struct(F.col("degree"), -F.col("id"))).alias("x"), F.max_by("id", F.xxhash64("id")).alias("y"))
+    pairs = buckets.join(leaders, "signature").select(F.explode(F.array("x", "y")).alias("a"), F.col("id").alias("b"))
+    pairs = likely(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = stored(links.unionAll(checked(pairs)), "found")
+    known = components(links)
     # what is left: pairs of a bucket that are still in different components
-    rows = stored(several(buckets, known), "open")
+    rows = stored(several(buckets.select("signature", "id"), known), "open")
     other = rows.select("signature", F.col("id").alias("b"), F.col("component").alias("theirs"))
-    pairs = rows.join(other, "signature").filter("id < b and component <> theirs").select(F.col("id").alias("a"), "b")
-    last = stored(checked(pairs.distinct()), "found")
-    known = components(links.unionAll(last)) if not last.isEmpty() else known
+    rest = rows.join(other, "signature").filter("id < b and component <> theirs").select(F.col("id").alias("a"), "b")
+    rest = likely(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        known = components(links.unionAll(checked(rest)))
     known = known.select(F.col("node").alias("id"), "component")
-    return measured.join(known, "id", "left").select(
+    return measured.select("id", "n").join(known, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
