@@ -1,35 +1,55 @@
 """Language identification by rank-order profiles.
 
 A profile is a list of n-grams (1 to 5 characters, inside words padded by ``_``) from most to least
-frequent.  A document gets the language whose profile is least out of place: the sum, over the
+frequent, ties by code.  A document gets the language whose profile is least out of place: the sum, over the
 document's n-grams, of how far their ranks differ; an n-gram that a profile lacks counts as its length.
 """
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mix, slices
+from .fingerprints import A
 
 LONGEST = 5
 PROFILE = 400
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 200_000
-MEMO_GRAMS = 400_000
+CHUNK_WORDS = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams_of(word):
-    padded = f"_{word}_"
-    return [padded[i:i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1)]
+def gram_counts(words):
+    """(codes, counts) of the 1- to 5-grams of a list of words, each padded by ``_`` on either side."""
+    parts = []
+    for at in range(0, len(words), CHUNK_WORDS):
+        letters = np.frombuffer(f"_{'_'.join(words[at:at + CHUNK_WORDS])}_".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        pads = np.concatenate([[0], np.cumsum(letters == ord("_"))])
+        code, found = np.zeros(len(letters), dtype=np.uint64), []
+        for n in range(1, LONGEST + 1):
+            size = len(letters) - n + 1
+            if size < 1:
+                break
+            code = mix(code[:size] * A + letters[n - 1:] + np.uint64(1))
+            # a pad may only be the first or the last character
+            inside = pads[n - 1:n - 1 + size] - pads[1:1 + size] if n > 2 else np.zeros(size, dtype=np.int64)
+            found.append(code[(inside == 0) & (letters[:size] != ord("_"))] if n == 1 else code[inside == 0])
+        parts.append(np.unique(np.concatenate(found), return_counts=True))
+    if len(parts) == 1:
+        return parts[0]
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def ranked(counts, size):
-    """The most frequent n-grams; ties go to the smaller one."""
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+def ranked(codes, counts):
+    """The most frequent n-grams' codes, ties by code."""
+    if len(codes) > PROFILE:
+        least = np.partition(counts, -PROFILE)[-PROFILE]
+        codes, counts = codes[counts >= least], counts[counts >= least]
+    return codes[np.lexsort((codes, -counts))][:PROFILE]
 
 
 def learn(docs, lang_col="lang", text_col="text", id_col="doc_id", sample_docs=SAMPLE_DOCS):
@@ -47,83 +67,41 @@ def learn(docs, lang_col="lang", text_col="text", id_col="doc_id", sample_docs=S
     rows = rows.join(share, "lang").filter(F.col("order") <= F.col("below")).dropDuplicates(["lang", "order"])
 
     def count(group):
-        words, left = Counter(), SAMPLE_WORDS
+        words = []
         for text in group.sort_by("order").column("text"):
-            if left <= 0:
+            if len(words) >= SAMPLE_WORDS:
                 break
-            found = LETTERS.findall(text.as_py().lower())[:left]
-            left -= len(found)
-            words.update(found)
-        grams = Counter()
-        for word, n in words.items():
-            for g in grams_of(word):
-                grams[g] += n
-        return pa.table({"lang": group.column("lang").slice(0, 1),
-                         "grams": pa.array([ranked(grams, PROFILE)], pa.list_(pa.string()))})
-
-    profiles = rows.select("lang", "order", "text").groupBy("lang").applyInArrow(count, "lang string, grams array<string>")
+            words += LETTERS.findall(text.as_py().lower())
+        words = words[:SAMPLE_WORDS]
+        best = ranked(*gram_counts(words)).view(np.int64).tolist() if words else []
+        return pa.table({"lang": group.column("lang").slice(0, 1), "grams": pa.array([best], pa.list_(pa.int64()))})
+
+    profiles = rows.select("lang", "order", "text").groupBy("lang").applyInArrow(count, "lang string, grams array<bigint>")
     return {r.lang: r.grams for r in profiles.collect() if r.grams}
 
 
 class Identifier:
-    """Scores whole texts against the profiles; n-grams of words met before are kept, up to a bound."""
+    """Scores whole texts against the profiles."""
 
     def __init__(self, profiles):
         self.languages = sorted(profiles)
-        self.profiles = [{g: i for i, g in enumerate(profiles[name])} for name in self.languages]
-        self.forget()
-
-    def forget(self):
-        self.number, self.grams, self.words = {}, [], {}
-        self.places = np.zeros((0, len(self.languages)), dtype=np.int32)
-
-    def numbers(self, word):
-        """Numbers of a word's n-grams, new ones included."""
-        out = []
-        for g in grams_of(word):
-            at = self.number.get(g)
-            if at is None:
-                at = self.number[g] = len(self.grams)
-                self.grams.append(g)
-            out.append(at)
-        return np.array(out, dtype=np.int64)
-
-    def rank(self, text):
-        """The text's n-grams (numbers) from most frequent to least."""
-        counts = Counter(LETTERS.findall(text.lower()))
-        if not counts:
-            return None
-        if len(self.grams) > MEMO_GRAMS:
-            self.forget()
-        parts = []
-        for word in counts:
-            got = self.words.get(word)
-            if got is None:
-                got = self.numbers(word)
-                if len(word) < 32:
-                    self.words[word] = got
-            parts.append(got)
-        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) for p in parts])
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(at, weights=weight).astype(np.int64)
-        if len(total) > PROFILE:
-            least = np.partition(total, -PROFILE)[-PROFILE]
-            grams, total = grams[total >= least], total[total >= least]
-        order = sorted(range(len(grams)), key=lambda i: (-total[i], self.grams[grams[i]]))[:PROFILE]
-        return grams[order]
+        ranks = [np.array(profiles[name], dtype=np.int64).view(np.uint64) for name in self.languages]
+        self.codes = np.unique(np.concatenate(ranks)) if ranks else np.zeros(0, np.uint64)
+        self.places = np.full((len(self.codes) + 1, len(ranks)), -1, dtype=np.int64)
+        for i, codes in enumerate(ranks):
+            self.places[np.searchsorted(self.codes, codes), i] = np.arange(len(codes))
 
     def score(self, text):
         """Language and a score from 0 to 1: how much nearer the best profile is than the farthest possible."""
-        best = self.rank(text) if text and self.languages else None
-        if best is None:
+        words = LETTERS.findall(text.lower()) if text and self.languages else []
+        if not words:
             return "und", 0.0
-        if len(self.places) < len(self.grams):
-            more = [[p.get(g, -1) for p in self.profiles] for g in self.grams[len(self.places):]]
-            self.places = np.concatenate([self.places, np.array(more, dtype=np.int32).reshape(len(more), -1)])
-        place = self.places[best]
+        best = ranked(*gram_counts(words))
+        at = np.minimum(np.searchsorted(self.codes, best), len(self.codes) - 1)
+        place = self.places[np.where(self.codes[at] == best, at, -1)]
         apart = np.where(place < 0, PROFILE, np.abs(place - np.arange(len(best))[:, None])).sum(axis=0)
-        at = int(np.argmin(apart))
-        return self.languages[at], float(1 - apart[at] / (PROFILE * len(best)))
+        winner = int(np.argmin(apart))
+        return self.languages[winner], float(1 - apart[winner] / (PROFILE * len(best)))
 
 
 def identify(docs, profiles, text_col="text"):
