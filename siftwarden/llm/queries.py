@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, packing, pii, suffix
+from . import ann, chat, decontam, jaccard, langid, packing, pii, sharding, suffix
 
 QUERIES, SQL = {}, {}
 
@@ -114,3 +114,15 @@ def _(spark, sf):
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op6_sharding")
+def _(spark, sf):
+    out = sharding.place(table(spark, sf, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_nearest")
+def _(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
