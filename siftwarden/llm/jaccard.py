@@ -32,7 +32,7 @@ def shingle_set(text, words):
         return np.zeros(0, np.uint64)
     out = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
     if len(found) < words:
-        return mix(np.array([xxh3_64_intdigest(b" ".join(found))], dtype=np.uint64) + np.uint64(len(found)) * C)
+        return mix(pair(np.array([xxh3_64_intdigest(b" ".join(found))], dtype=np.uint64), np.array([len(found)], np.uint64)))
     gram = out[:len(out) - words + 1]
     for i in range(1, words):
         gram = pair(gram, out[i:len(out) - words + 1 + i])

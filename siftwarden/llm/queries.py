@@ -1,8 +1,11 @@
 """Queries of the training-data operators over the given tables; ``SQL`` holds the DuckDB twins."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, packing, pii, sharding, suffix
+from . import ann, chat, decontam, jaccard, langid, packing, pii, rollup, sharding, suffix
+from .common import shared_dir, stored
 
 QUERIES, SQL = {}, {}
 
@@ -126,3 +129,27 @@ def _(spark, sf):
 @query("op1_nearest")
 def _(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+WHITE = "\\x20\\x09-\\x0D"
+
+
+@query("op5_token_rollup")
+def _(spark, sf):
+    """Load all documents with a count of words, revise it to BPE tokens, delete copies, and repeat the load."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    counted = rollup.count_tokens(docs).withColumn("copy_of", F.xxhash64("text")).withColumn(
+        "words", F.size(F.filter(F.split("text", f"[{WHITE}]+"), lambda w: w != "")).cast("long"))
+    counted = stored(counted.select("doc_id", "source", "lang", "tokenizer", "tokens", "words", "copy_of"), "counted")
+    first = counted.groupBy("copy_of").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "copy_of").filter("doc_id <> first")
+    words = F.lit("words").alias("tokenizer")
+    load = counted.select(F.lit("insert").alias("op"), "source", "lang", words, F.col("words").alias("tokens"))
+    recount = counted.select(
+        F.lit("revise").alias("op"), "source", "lang", "tokenizer", "tokens", F.col("source").alias("old_source"),
+        F.col("lang").alias("old_lang"), words.alias("old_tokenizer"), F.col("words").alias("old_tokens"))
+    drop = copies.select(F.lit("delete").alias("op"), "source", "lang", "tokenizer", "tokens")
+    totals = rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for name, changes in (("load", load), ("recount", recount), ("load", load), ("dedup", drop)):
+        totals.commit(name, changes)
+    return totals.totals()
