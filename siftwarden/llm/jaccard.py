@@ -18,6 +18,8 @@ from .fingerprints import A, B, C, pair
 from .suffix import ranges_of_rows, raw
 
 SLICE = 1 << 20
+SMALL = 12
+BLOCK = 512
 
 
 def shingle_set(text, words):
@@ -129,6 +131,57 @@ def near_enough(percent):
     return run
 
 
+def compare_blocks(percent):
+    """Likely pairs between two blocks of a bucket (or inside one), over rows sorted by bucket and blocks.
+
+    Pairs are compared here and not listed: only those that may be similar leave the task.
+    """
+    def likely_of(rows):
+        block, ids, n, component = (rows.column(c).to_numpy() for c in ("block", "id", "n", "component"))
+        sketches = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        size = min(map(len, sketches))
+        table = np.array([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in sketches])
+        inside = block[0] == block[-1]
+        border = len(block) if inside else np.searchsorted(block, block[-1])
+        for i in range(border - inside):
+            other = slice(i + 1 if inside else border, None)
+            most = (n[i] + n[other]) * (100 - percent) // (100 + percent)
+            fit = (component[other] != component[i]) & (np.abs(n[other] - n[i]) <= most)
+            near = np.flatnonzero(fit)
+            differ = np.bitwise_count(table[other][near] ^ table[i]).sum(axis=1, dtype=np.int64)
+            for x in ids[other][near[differ <= most[near]]].tolist():
+                yield (min(int(ids[i]), x), max(int(ids[i]), x))
+
+    def run(batches):
+        seen, held = set(), None
+        def take(rows):
+            new = set(likely_of(rows)) - seen
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(new)
+            return new
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            key = [table.column(c).to_numpy() for c in ("signature", "low", "high")]
+            new = np.zeros(len(key[0]) - 1, dtype=bool)
+            for k in key:
+                new |= k[1:] != k[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            pairs = set()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                pairs |= take(table.slice(a, b - a).combine_chunks())
+            held = table.slice(cuts[-1])
+            yield pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+        if held is not None:
+            pairs = take(held.combine_chunks())
+            yield pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+    return run
+
+
 def sign(words, percent):
     """Signatures; of equal sets in a batch only the first is signed."""
     def run(batches):
@@ -216,11 +269,22 @@ def similar_documents(docs, words=5, percent=80, id_col="doc_id", text_col="text
     pairs = likely(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stored(links.unionAll(checked(pairs)), "found")
     known = components(links)
-    # what is left: pairs of a bucket that are still in different components
-    rows = stored(several(buckets.select("signature", "id"), known), "open")
-    other = rows.select("signature", F.col("id").alias("b"), F.col("component").alias("theirs"))
-    rest = rows.join(other, "signature").filter("id < b and component <> theirs").select(F.col("id").alias("a"), "b")
+    # what is left: pairs of a bucket that are still in different components; those of large buckets are
+    # compared inside tasks, block against block
+    rows = stored(several(buckets.select("signature", "id"), known).withColumn(
+        "crowd", F.count(F.lit(1)).over(Window.partitionBy("signature"))), "open")
+    small = rows.filter(F.col("crowd") <= SMALL)
+    other = small.select("signature", F.col("id").alias("b"), F.col("component").alias("theirs"))
+    rest = small.join(other, "signature").filter("id < b and component <> theirs").select(F.col("id").alias("a"), "b")
     rest = likely(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
+    blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    large = rows.filter(F.col("crowd") > SMALL).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "signature", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id", "component")
+    key = ["signature", "low", "high"]
+    large = large.join(sketches.select("id", "n", "sketch"), "id").repartition(*key).sortWithinPartitions(*key, "block")
+    large = large.mapInArrow(compare_blocks(percent), "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = stored(rest.unionAll(large).distinct(), "likely")
     if not rest.isEmpty():
         known = components(links.unionAll(checked(rest)))
     known = known.select(F.col("node").alias("id"), "component")
