@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, slices, stored
 from .fingerprints import A
 
 LONGEST = 5
 PROFILE = 400
 SAMPLE_DOCS = 2000
+LANGUAGES = 10_000
 SAMPLE_WORDS = 200_000
 CHUNK_WORDS = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,7 +65,10 @@ def learn(docs, lang_col="lang", text_col="text", id_col="doc_id", sample_docs=S
     # the hash is even over the 64-bit numbers, so a share of them is that share of the documents
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
         "lang", (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(sample_docs) / F.col("n"))).alias("below"))
-    rows = rows.join(share, "lang").filter(F.col("order") <= F.col("below")).dropDuplicates(["lang", "order"])
+    share = stored(share, "languages")
+    if share.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang_col}")
+    rows = rows.join(F.broadcast(share), "lang").filter(F.col("order") <= F.col("below")).dropDuplicates(["lang", "order"])
 
     def count(group):
         words = []
