@@ -12,10 +12,6 @@ PACK_ORDER = [
     "web_development",
 ]
 
-_SEVERITY = {"c": "critical", "h": "high", "m": "medium", "l": "low"}
-_CONFIDENCE = {"h": "high", "m": "medium", "l": "low"}
-
-
 def _pack_module(name):
     return importlib.import_module(f"{__name__}.packs.{name.replace('-', '_')}")
 
@@ -24,7 +20,7 @@ def load_pack(name):
     """Rules of one pack, in order, without ordinals."""
     module = _pack_module(name)
     rules = []
-    for rule_name, grade, pattern, *rest in module.RULES:
+    for rule_name, severity, confidence, pattern, *rest in module.RULES:
         options = rest[0] if rest else {}
         words = rule_name.replace("-", " ").replace("_", " ")
         rules.append({
@@ -32,8 +28,8 @@ def load_pack(name):
             "category": module.CATEGORY,
             "match": pattern,
             "enabled": True,
-            "severity": _SEVERITY[grade[0]],
-            "confidence": _CONFIDENCE[grade[1]],
+            "severity": severity,
+            "confidence": confidence,
             "min_entropy": options.get("entropy"),
             "description": f"{module.SUBJECT}: {words}",
             "reference": options.get("reference"),

@@ -1,33 +1,20 @@
 """How code calls remote interfaces."""
 
-from ..builders import chain, either
-
 CATEGORY = "api_integration"
 SUBJECT = "interface call setting"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("api_versioning", "mh", either(
-        chain("api", "version", "header"), chain("Accept", r"application/vnd\."), "/v[0-9]+/",
-        chain("versioning", "strategy"))),
-    ("insecure_api_authentication", "mh", either(
-        chain("Authorization", "Bearer", "token"), chain("apiKey", "header"),
-        chain("auth", "basic", "credentials"))),
-    ("error_handling", "mh", either(
-        chain("try", "fetch", "catch", r"console\.log"), chain(r"response\.ok", "throw"),
-        chain("fetch", "catch", "null"))),
-    ("graphql", "mh", either(
-        chain("query", r"\{", r"\{", r"\{", r"\}"), chain("useQuery", r"\[\]", "staleTime", "0"),
-        chain("mutation", "refetchQueries"))),
-    ("pagination", "mh", either(
-        chain("limit", r"100\+"), chain("page", "size", "large"), chain("offset", "pagination"),
-        chain("cursor", "pagination"))),
-    ("rate_limiting", "mh", either(
-        chain("setInterval", "fetch", "1000"), chain("for", "fetch", "break"),
-        chain("while", "fetch", "condition"))),
-    ("rest", "mh", either(
-        chain("fetch", r"\.then", r"\.then", r"\.catch"), chain(r"await\s+fetch", r"await\s+fetch"))),
-    ("timeout", "mh", either(
-        chain("timeout", "0"), chain("fetch", "timeout", "10000"), chain("axios", "timeout", "5000"))),
-    ("versioning", "mh", either("/api/v[12]", chain("header", "version"), chain("Accept", "version"))),
+    ("api_versioning", "medium", "high",
+     r"api.*version.*header|Accept.*application/vnd\.|\/v[0-9]+\/|versioning.*strategy"),
+    ("insecure_api_authentication", "medium", "high",
+     r"Authorization.*Bearer.*token|apiKey.*header|auth.*basic.*credentials"),
+    ("error_handling", "medium", "high", r"try.*fetch.*catch.*console\.log|response\.ok.*throw|fetch.*catch.*null"),
+    ("graphql", "medium", "high", r"query.*\{.*\{.*\{.*\}|useQuery.*\[\].*staleTime.*0|mutation.*refetchQueries"),
+    ("pagination", "medium", "high", r"limit.*100\+|page.*size.*large|offset.*pagination|cursor.*pagination"),
+    ("rate_limiting", "medium", "high", r"setInterval.*fetch.*1000|for.*fetch.*break|while.*fetch.*condition"),
+    ("rest", "medium", "high", r"fetch.*\.then.*\.then.*\.catch|await\s+fetch.*await\s+fetch"),
+    ("timeout", "medium", "high", r"timeout.*0|timeout.*30000|fetch.*timeout.*10000|axios.*timeout.*5000"),
+    ("versioning", "medium", "high", r"\/api\/v1|\/api\/v2|header.*version|Accept.*version"),
 ]

@@ -1,14 +1,11 @@
 """Risky fields of resource-manager templates."""
 
-from ..builders import assigned, setting
-
 CATEGORY = "arm"
 SUBJECT = "template field"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("arm-azure-sql-no-firewall", "hh", assigned(
-        ("startIpAddress",), r"0\.0\.0\.0[\"']", ignore_case=False)),
-    ("arm-azure-storage-enable-https", "hh", setting(
-        ("enableHttpsTrafficOnly",), ("false", "0", "no"), sign="[:=]", ignore_case=False)),
+    ("arm-azure-sql-no-firewall", "high", "high", r'startIpAddress\s*[:=]\s*["\x27]0\.0\.0\.0["\x27]'),
+    ("arm-azure-storage-enable-https", "high", "high", r"enableHttpsTrafficOnly\s*[:=]\s*(?:false|0|no)"),
 ]

@@ -3,11 +3,12 @@
 CATEGORY = "cloudformation"
 SUBJECT = "template field"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("cloudformation-iam-lambda-assume-role", "mh", r"Principal\s*:\s*\*|AWS\s*:\s*[\"']*\*[\"']*"),
-    ("cloudformation-s3-no-encryption", "hh",
+    ("cloudformation-iam-lambda-assume-role", "medium", "high", r'(Principal\s*:\s*\*|AWS\s*:\s*["\x27]*\*["\x27]*)'),
+    ("cloudformation-s3-no-encryption", "high", "high",
      r"ServerSideEncryptionByDefault\s*:\s*(?:NOT\s*DEFINED|false|null)"),
-    ("cloudformation-s3-public-access", "ch",
-     r"(?:PublicAccessBlockConfiguration|BucketPublicAccessBlock)\s*:\s*(?:false|~\s*-\s*true)"),
+    ("cloudformation-s3-public-access", "critical", "high",
+     r"(PublicAccessBlockConfiguration|BucketPublicAccessBlock)\s*:\s*(?:false|~\s*-\s*true)"),
 ]

@@ -1,24 +1,15 @@
 """Chart code."""
 
-from ..builders import chain, either
-
 CATEGORY = "data_visualization"
 SUBJECT = "chart setting"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("chart-accessibility", "mh", either(
-        "canvas[^>]*[^aria-]", chain("tooltip", "enabled", "false"), chain("legend", "display", "false"))),
-    ("chart-config", "mh", either(
-        chain(r"Chart\.js", "type", "bar", "data", r"1000\+"), chain("options", "responsive", "false"),
-        chain("scale", "ticks", "display", "false"))),
-    ("chart-types", "mh", either(
-        chain("type", "bar", "data", r"1000\+"), chain("type", "line", "categories", r"10\+"),
-        chain("type", "pie", "slices", r"20\+"))),
-    ("color-schemes", "mh", either(
-        chain("backgroundColor", "#[fF]{6}"), chain("borderColor", "#[0F]{6}"),
-        chain("color", "palette", "contrast"))),
-    ("mobile-optimization", "mh", either(
-        chain("responsive", "false"), chain("width", "100%", "height", "100%"),
-        chain("chart", "mobile", "breakpoint"))),
+    ("chart-accessibility", "medium", "high", r"canvas[^>]*[^aria-]|tooltip.*enabled.*false|legend.*display.*false"),
+    ("chart-config", "medium", "high",
+     r"Chart\.js.*type.*bar.*data.*1000\+|options.*responsive.*false|scale.*ticks.*display.*false"),
+    ("chart-types", "medium", "high", r"type.*bar.*data.*1000\+|type.*line.*categories.*10\+|type.*pie.*slices.*20\+"),
+    ("color-schemes", "medium", "high", r"backgroundColor.*#[fF]{6}|borderColor.*#[0F]{6}|color.*palette.*contrast"),
+    ("mobile-optimization", "medium", "high", r"responsive.*false|width.*100%.*height.*100%|chart.*mobile.*breakpoint"),
 ]

@@ -1,27 +1,25 @@
 """Continuous-integration and deployment settings."""
 
-from ..builders import file_name, then
-
 CATEGORY = "devops"
 SUBJECT = "delivery setting"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("ci-bypass", "hh", then(
-        ("bypass", "skip", "disable", "ignore"), ("ci", "pipeline", "check", "test", "lint"))),
-    ("hardcoded-ip", "mm", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
-    ("debug-endpoint", "lm", then(("debug", "test", "dev", "staging"), ("endpoint", "api", "route"))),
-    ("docker-socket", "hh", r"(?:/var)?/run/docker\.sock"),
-    ("kubeconfig-reference", "mh", r"\.kube/config|kubeconfig"),
-    ("env-file-in-git", "hh", r"\.env(\.\w+)?"),
-    ("terraform-state", "hh", file_name("terraform.tfstate")),
-    ("ansible-vault", "mh", r"\$ANSIBLE_VAULT"),
-    ("ci-secret-hardcoded", "ch",
-     r"(?i)(gh_token|github_token|circle_token|jenkins_api).*['\"][a-z0-9]{10,}", {"entropy": 3.5}),
-    ("dockerignore-missing", "lm", r"^\.dockerignore"),
-    ("privileged-container", "hh", "(?i)(?:--)?privileged"),
-    ("root-user", "mh", r"(?i)user\s+root|run\s+.*chmod.*0777"),
-    ("secrets-in-dockerfile", "hm", "(?i)(arg|env).*secret|key|token|password"),
-    ("exposed-port", "lh", r"EXPOSE\s+\d{2,5}"),
-    ("latest-tag", "mh", ":latest"),
+    ("ci-bypass", "high", "high", r"(?i)(bypass|skip|disable|ignore).*(ci|pipeline|check|test|lint)"),
+    ("hardcoded-ip", "medium", "medium", r"(?i)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
+    ("debug-endpoint", "low", "medium", r"(?i)(debug|test|dev|staging).*(endpoint|api|route)"),
+    ("docker-socket", "high", "high", r"(/var/run/docker\.sock|/run/docker\.sock)"),
+    ("kubeconfig-reference", "medium", "high", r"(\.kube/config|kubeconfig)"),
+    ("env-file-in-git", "high", "high", r"\.env(\.\w+)?"),
+    ("terraform-state", "high", "high", r"terraform\.tfstate"),
+    ("ansible-vault", "medium", "high", r"\$ANSIBLE_VAULT"),
+    ("ci-secret-hardcoded", "critical", "high",
+     r"""(?i)(gh_token|github_token|circle_token|jenkins_api).*['"][a-zA-Z0-9]{10,}""", {"entropy": 3.5}),
+    ("dockerignore-missing", "low", "medium", r"^\.dockerignore"),
+    ("privileged-container", "high", "high", r"(?i)(privileged|--privileged)"),
+    ("root-user", "medium", "high", r"(?i)(USER\s+root|RUN\s+.*chmod.*0777)"),
+    ("secrets-in-dockerfile", "high", "medium", r"(?i)(ARG|ENV).*SECRET|KEY|TOKEN|PASSWORD"),
+    ("exposed-port", "low", "high", r"EXPOSE\s+\d{2,5}"),
+    ("latest-tag", "medium", "high", r":latest"),
 ]

@@ -1,37 +1,38 @@
 """Commit text, branch names and repository housekeeping."""
 
-from ..builders import branch, file_name
-
 CATEGORY = "git-hygiene"
 SUBJECT = "repository habit"
 
-TYPES = "feat|fix|docs|style|refactor|test|chore|perf|ci|build|revert"
-
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("merge-conflict", "hh", "^<{7}|^={7}|^>{7}"),
-    ("git-commit-signoff", "lh", "Signed-off-by:"),
-    ("git-commit-verify", "lh", r"gpg.sign\s*=\s*true"),
-    *((f"{name}-entry", grade, rf"^\.{name}$") for name, grade in (
-        ("gitignore", "lh"), ("gitattributes", "lh"), ("gitmodules", "mh"))),
-    ("commit-message-conventional", "lm", rf"(?i)^({TYPES})\([^)]+\):"),
-    *((f"branch-naming-{name}", "lh", branch(name)) for name in ("feature", "bugfix", "hotfix")),
-    ("branch-naming-release", "lh", branch("release", "[a-z0-9._-]+")),
-    ("commit-sha-reference", "lh", r"\b[0-9a-f]{40}\b"),
-    ("merge-commit", "lh", "^Merge branch"),
-    ("tag-reference", "lh", r"^refs/tags/v?\d+\.\d+"),
-    ("git-hygiene-github-actions-workflow", "lh", r"\.github/workflows/[^/]+\.ya?ml"),
-    ("git-hygiene-dependabot-config", "lh", file_name("dependabot.yml")),
-    ("git-hygiene-renovate-config", "lh", file_name("renovate.json")),
-    ("commitizen-config", "lh", r"\.(czrc|cz.json|commitizen)"),
-    ("semantic-release-config", "lh", r"\.releaserc|semantic-release"),
-    ("git-flow-model", "lh", "(?i)git.?flow"),
-    ("github-issue-reference", "lh", r"(?i)(fixes|closes|resolves)\s+#\d+"),
-    ("git-hooks-husky", "lh", r"\.husky/"),
-    ("pre-commit-config", "lh", r"\.pre-commit-config\.ya?ml"),
-    ("git-worktree", "lh", r"git\s+worktree"),
-    ("git-stash", "lh", r"git\s+stash"),
-    ("git-lfs", "lh", r"git\s+lfs|\.gitattributes.*lfs"),
-    ("force-push-detected", "mh", r"(?i)git\s+push\s+(?:--force|-f)"),
-    ("commit-ampersand", "ll", r"\bamp\b"),
+    ("merge-conflict", "high", "high", r"^<{7}|^={7}|^>{7}"),
+    ("git-commit-signoff", "low", "high", r"Signed-off-by:"),
+    ("git-commit-verify", "low", "high", r"gpg.sign\s*=\s*true"),
+    ("gitignore-entry", "low", "high", r"^\.gitignore$"),
+    ("gitattributes-entry", "low", "high", r"^\.gitattributes$"),
+    ("gitmodules-entry", "medium", "high", r"^\.gitmodules$"),
+    ("commit-message-conventional", "low", "medium",
+     r"(?i)^(feat|fix|docs|style|refactor|test|chore|perf|ci|build|revert)\([^)]+\):"),
+    ("branch-naming-feature", "low", "high", r"^feature/[a-z0-9-_]+$"),
+    ("branch-naming-bugfix", "low", "high", r"^bugfix/[a-z0-9-_]+$"),
+    ("branch-naming-hotfix", "low", "high", r"^hotfix/[a-z0-9-_]+$"),
+    ("branch-naming-release", "low", "high", r"^release/[a-z0-9._-]+$"),
+    ("commit-sha-reference", "low", "high", r"\b[0-9a-f]{40}\b"),
+    ("merge-commit", "low", "high", r"^Merge branch"),
+    ("tag-reference", "low", "high", r"^refs/tags/v?\d+\.\d+"),
+    ("git-hygiene-github-actions-workflow", "low", "high", r"\.github/workflows/[^/]+\.ya?ml"),
+    ("git-hygiene-dependabot-config", "low", "high", r"dependabot\.yml"),
+    ("git-hygiene-renovate-config", "low", "high", r"renovate\.json"),
+    ("commitizen-config", "low", "high", r"\.(czrc|cz.json|commitizen)"),
+    ("semantic-release-config", "low", "high", r"\.releaserc|semantic-release"),
+    ("git-flow-model", "low", "high", r"(?i)git.flow|gitflow"),
+    ("github-issue-reference", "low", "high", r"(?i)(fixes|closes|resolves)\s+#\d+"),
+    ("git-hooks-husky", "low", "high", r"\.husky/"),
+    ("pre-commit-config", "low", "high", r"\.pre-commit-config\.ya?ml"),
+    ("git-worktree", "low", "high", r"git\s+worktree"),
+    ("git-stash", "low", "high", r"git\s+stash"),
+    ("git-lfs", "low", "high", r"git\s+lfs|\.gitattributes.*lfs"),
+    ("force-push-detected", "medium", "high", r"(?i)git\s+push\s+--force|git\s+push\s+-f"),
+    ("commit-ampersand", "low", "low", r"\bamp\b"),
 ]

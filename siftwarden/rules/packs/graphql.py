@@ -1,22 +1,15 @@
 """Settings of GraphQL servers."""
 
-from ..builders import setting
-
 CATEGORY = "graphql"
 SUBJECT = "query server setting"
 
-TRUE = ("true", "True", "TRUE")
-
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("graphql-debug-mode", "hh", setting(
-        ("debug", "DEBUG", "debugMode"), TRUE, sign="[:=]", ignore_case=False)),
-    ("graphql-field-cost-undefined", "mh", setting(
-        ("complexity", "fieldCost", "costAnalysis"), ("false", "disabled", "none"), sign="[:=]",
-        ignore_case=False)),
-    ("graphql-introspection-enabled", "mh", setting(
-        ("introspection",), TRUE, sign="[:=]", ignore_case=False)),
-    ("graphql-query-depth-unlimited", "hh", setting(
-        ("maxDepth", "defaultMaxDepth", "queryDepth"), ("0", "null", "undefined", "false"), sign="[:=]",
-        ignore_case=False)),
+    ("graphql-debug-mode", "high", "high", r"(?:debug|DEBUG|debugMode)\s*[:=]\s*(?:true|True|TRUE)"),
+    ("graphql-field-cost-undefined", "medium", "high",
+     r"(?:complexity|fieldCost|costAnalysis)\s*[:=]\s*(?:false|disabled|none)"),
+    ("graphql-introspection-enabled", "medium", "high", r"introspection\s*[:=]\s*(?:true|True|TRUE)"),
+    ("graphql-query-depth-unlimited", "high", "high",
+     r"(?:maxDepth|defaultMaxDepth|queryDepth)\s*[:=]\s*(?:0|null|undefined|false)"),
 ]

@@ -1,17 +1,16 @@
 """Identifiers used in health care."""
 
-from ..builders import code
-
 CATEGORY = "healthcare"
 SUBJECT = "health identifier"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("clinical-trial-id", "mh", code("NCT", 8, 8)),
-    ("healthcare-code", "mh", code(("CPT", "HCPCS", "ICD-10"), 5, 8, body="[A-Z0-9]")),
-    ("insurance-number", "mh", code(("INS", "INSURANCE"), 9, 11)),
-    ("medical-license-number", "mh", code(("MD", "DO", "RN", "LPN", "PA", "NP"), 8, 12)),
-    ("healthcare-medical-record-number", "mh", code("MRN", 8, 12)),
-    ("patient-id", "mh", code(("PATIENT", "PT"), 8, 12)),
-    ("healthcare-prescription-number", "mh", code("RX", 7, 10)),
+    ("clinical-trial-id", "medium", "high", r"\bNCT[0-9]{8}\b"),
+    ("healthcare-code", "medium", "high", r"\b(?:CPT|HCPCS|ICD-10)[A-Z0-9]{5,8}\b"),
+    ("insurance-number", "medium", "high", r"\b(?:INS|INSURANCE)[0-9]{9,11}\b"),
+    ("medical-license-number", "medium", "high", r"\b(?:MD|DO|RN|LPN|PA|NP)[0-9]{8,12}\b"),
+    ("healthcare-medical-record-number", "medium", "high", r"\bMRN[0-9]{8,12}\b"),
+    ("patient-id", "medium", "high", r"\b(?:PATIENT|PT)[0-9]{8,12}\b"),
+    ("healthcare-prescription-number", "medium", "high", r"\bRX[0-9]{7,10}\b"),
 ]

@@ -1,31 +1,22 @@
 """Risky fields of cluster manifests."""
 
-from ..builders import setting
-
 CATEGORY = "kubernetes"
 SUBJECT = "manifest field"
 
-
-def nested(outer, inner, value):
-    return rf"(?i){outer}:\s*\n\s*{inner}:\s*{value}"
-
-
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("k8s-allow-privilege-escalation", "hh", setting(
-        ("allowPrivilegeEscalation",), ("true", "null"), sign=":", ignore_case=False)),
-    ("k8s-empty-dir-memory-backed", "mh", r"emptyDir:\s*\n\s*medium:\s*Memory"),
-    ("hostnetwork", "hh", nested("securitycontext", "hostnetwork", "true")),
-    ("hostpid", "hh", nested("securitycontext", "hostpid", "true")),
-    ("kubernetes-latest-tag", "mh", r"(?i)image:\s*[^:\n]+:latest"),
-    ("k8s-missing-capability-drop", "mm", "securityContext"),
-    ("k8s-no-network-policy", "mh", r"[nN]etworkPolicy.*:\s*\|?\s*-\s*\{"),
-    ("no-resource-limits", "mh",
+    ("k8s-allow-privilege-escalation", "high", "high", r"allowPrivilegeEscalation:\s*(true|null)"),
+    ("k8s-empty-dir-memory-backed", "medium", "high", r"emptyDir:\s*\n\s*medium:\s*Memory"),
+    ("hostnetwork", "high", "high", r"(?i)securityContext:\s*\n\s*hostNetwork:\s*true"),
+    ("hostpid", "high", "high", r"(?i)securityContext:\s*\n\s*hostPID:\s*true"),
+    ("kubernetes-latest-tag", "medium", "high", r"(?i)image:\s*[^:\n]+:latest"),
+    ("k8s-missing-capability-drop", "medium", "medium", r"securityContext"),
+    ("k8s-no-network-policy", "medium", "high", r"(NetworkPolicy|networkPolicy).*:\s*\|?\s*-\s*\{"),
+    ("no-resource-limits", "medium", "high",
      r"(?i)(containers:|-\s+name:).*?(image:|containers:)|resources:\s*\n\s*limits:"),
-    ("kubernetes-privileged-container", "ch", nested("securitycontext", "privileged", "true")),
-    ("k8s-run-as-non-root", "hh", setting(
-        ("runAsNonRoot", "runAsRoot"), ("true", "false"), sign=":", ignore_case=False)),
-    ("secrets-in-manifest", "hh",
-     r"(?i)(apiversion:\s*v1\s*\n\s*kind:\s*secret|secretkeyref|"
-     r"data:\s*\n\s*  [a-z_]+:\s*['\"][^'\"]+['\"])"),
+    ("kubernetes-privileged-container", "critical", "high", r"(?i)securityContext:\s*\n\s*privileged:\s*true"),
+    ("k8s-run-as-non-root", "high", "high", r"(runAsNonRoot|runAsRoot):\s*(true|false)"),
+    ("secrets-in-manifest", "high", "high",
+     r"""(?i)(apiVersion:\s*v1\s*\n\s*kind:\s*Secret|secretKeyRef|data:\s*\n\s*  [a-zA-Z_]+:\s*['\"][^'\"]+['\"])"""),
 ]

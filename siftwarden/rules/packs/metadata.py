@@ -1,14 +1,13 @@
 """Names of backup, editor, system and temporary files."""
 
-from ..builders import file_suffix
-
 CATEGORY = "metadata"
 SUBJECT = "left-over file"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("backup-file", "lh", file_suffix("bak", "old", "backup", "orig", "rpmorig", "dpkg-old", "dpkg-dist", '~"')),
-    ("IDE-config-leak", "mh", file_suffix("idea", "vscode", "vscodium", "settings.json", "workspace.json")),
-    ("os-cache-file", "lh", file_suffix("DS_Store", "Thumbs.db", "desktop.ini", ".AppleDouble", ".LSOverride")),
-    ("temporary-file", "lh", file_suffix("tmp", "temp", "cache", "swp", "swo")),
+    ("backup-file", "low", "high", r'\.(bak|old|backup|orig|rpmorig|dpkg-(?:old|dist)|~\")$'),
+    ("IDE-config-leak", "medium", "high", r"\.(idea|vscode|vscodium|settings\.json|workspace\.json)$"),
+    ("os-cache-file", "low", "high", r"\.(DS_Store|Thumbs\.db|desktop\.ini|\.AppleDouble|\.LSOverride)$"),
+    ("temporary-file", "low", "high", r"\.(tmp|temp|cache|swp|swo)$"),
 ]

@@ -1,26 +1,16 @@
 """Manifest and service-worker markers."""
 
-from ..builders import chain, either
-
 CATEGORY = "pwa"
 SUBJECT = "web app marker"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("caching-strategy", "mh", either(
-        chain("cache", "first", "network"), chain("network", "first", "cache"),
-        chain("stale", "while", "revalidate"))),
-    ("manifest", "mh", either(
-        chain("manifest", "name", "short_name", "different"),
-        chain("display", "standalone", "theme_color", "different"), chain("icons", "192", "512"))),
-    ("offline-support", "mh", either(
-        chain("offline", "html", "503"), chain(r"navigator\.onLine", "false"),
-        chain("fallback", "page", "offline"))),
-    ("service-worker", "mh", either(
-        chain("cache", "addAll", "urls", r"100\+"),
-        chain("fetch", "respondWith", "cache", "match", "network"),
-        chain(r"skipWaiting\(\)", r"clients\.claim"))),
-    ("shortcuts", "mh", either(
-        chain("shortcuts", "name", "url"), chain("icons", "shortcuts", "manifest"),
-        chain("app", "shortcuts", "home", "screen"))),
+    ("caching-strategy", "medium", "high", r"cache.*first.*network|network.*first.*cache|stale.*while.*revalidate"),
+    ("manifest", "medium", "high",
+     r"manifest.*name.*short_name.*different|display.*standalone.*theme_color.*different|icons.*192.*512"),
+    ("offline-support", "medium", "high", r"offline.*html.*503|navigator\.onLine.*false|fallback.*page.*offline"),
+    ("service-worker", "medium", "high",
+     r"cache.*addAll.*urls.*100\+|fetch.*respondWith.*cache.*match.*network|skipWaiting\(\).*clients\.claim"),
+    ("shortcuts", "medium", "high", r"shortcuts.*name.*url|icons.*shortcuts.*manifest|app.*shortcuts.*home.*screen"),
 ]

@@ -1,23 +1,19 @@
 """Risky settings of infrastructure modules."""
 
-from ..builders import setting
-
 CATEGORY = "terraform"
 SUBJECT = "module setting"
 
-Q = "[\"']"
-KEYS = ("password", "secret", "api_key", "aws_access_key", "aws_secret_key")
-
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("db-public-access", "hh", setting(("publicly_accessible", "skip_final_snapshot"), ("true",))),
-    ("tf-ecs-no-secrets", "mh", "aws_ecs_task_definition"),
-    ("tf-ecs-privileged", "ch", r"aws_ecs_task_definition[^{]*\{[^}]*privileged\s*=\s*true"),
-    ("hardcoded-tf-secrets", "ch", rf"(?i)(?:{'|'.join(KEYS)})\s*=\s*{Q}[^\"']{{8,}}{Q}"),
-    ("s3-public-access", "hh",
-     rf"(?i)acl\s*=\s*{Q}(?:public-read|public-read-write|aws-auth){Q}|block_public_(?:acls|policy)\s*=\s*false"),
-    ("tf-s3-unencrypted", "hh",
-     r"aws_s3_bucket[^{]*\{[^}]*server_side_encryption_configuration\s*=\s*null"),
-    ("unencrypted-storage", "hh",
-     r"(?i)(?:encrypted|encryption)\s*=\s*false|server_side_encryption_configuration\s*=\s*null"),
+    ("db-public-access", "high", "high", r"(?i)publicly_accessible\s*=\s*true|skip_final_snapshot\s*=\s*true"),
+    ("tf-ecs-no-secrets", "medium", "high", r"aws_ecs_task_definition"),
+    ("tf-ecs-privileged", "critical", "high", r"aws_ecs_task_definition[^{]*\{[^}]*privileged\s*=\s*true"),
+    ("hardcoded-tf-secrets", "critical", "high",
+     r"""(?i)(password\s*=\s*["'][^"']{8,}["']|secret\s*=\s*["'][^"']{8,}["']|api_key\s*=\s*["'][^"']{8,}["']|aws_access_key\s*=\s*["'][^"']{8,}["']|aws_secret_key\s*=\s*["'][^"']{8,}["'])"""),
+    ("s3-public-access", "high", "high",
+     r"""(?i)acl\s*=\s*["']public-read["']|acl\s*=\s*["']public-read-write["']|acl\s*=\s*["']aws-auth["']|block_public_acls\s*=\s*false|block_public_policy\s*=\s*false"""),
+    ("tf-s3-unencrypted", "high", "high", r"aws_s3_bucket[^{]*\{[^}]*server_side_encryption_configuration\s*=\s*null"),
+    ("unencrypted-storage", "high", "high",
+     r"(?i)encrypted\s*=\s*false|encryption\s*=\s*false|server_side_encryption_configuration\s*=\s*null"),
 ]

@@ -1,40 +1,26 @@
 """Page metadata and front-end habits."""
 
-from ..builders import chain, either
-
 CATEGORY = "web_development"
 SUBJECT = "front-end habit"
 
-# Names, grades, entropy floors and patterns decide what is reported.
+# Name, severity, confidence and pattern of each rule, with entropy floor and scope, decide what is
+# reported.  They stand as published, in their order.
 RULES = [
-    ("bundler-optimization", "lh", either(
-        chain("import", r"\*", "from"), chain("require", "dynamic", "import"), chain("import", r"\(?", "await"))),
-    ("error-boundaries", "lh", either(
-        "componentDidCatch", "getDerivedStateFromError", chain("class", "ErrorBoundary"))),
-    ("form-validation", "lh", either(
-        chain("form", "onSubmit", "preventDefault"), chain("input", "required", "false"),
-        chain("pattern", "validation"))),
-    ("incorrect-semantic-html", "mh", either(
-        r'<div\s+class=".*container.*"><div\s+class=".*row.*"><div\s+class=".*col.*"',
-        r'<div\s+role="navigation"', r'<div\s+role="main"')),
-    ("inefficient-css", "lh", either(
-        chain("@import", "css"), chain("style", "attribute", "important"),
-        chain(r"\*", r"\{", "display", "none"), chain("animation", "no", "hardware"))),
-    ("missing-prop-validation", "mh", either(
-        "PropsTypes", chain("propTypes", "isRequired"), chain(r"React\.PropTypes", r"\.isRequired"))),
-    ("nextjs", "lh", either(
-        chain("useEffect", r"\[\]", "fetch"), chain("export default", "function", "props"),
-        chain("getStaticPaths", "fallback", "false"))),
-    ("poor-error-boundary", "hh", either(
-        chain("componentDidCatch", r"console\.log"), chain("ErrorBoundary", "return", "null"),
-        chain("catch", "error", "render", "null"))),
-    ("react-optimization", "lh", either(
-        chain("useCallback", r"\[\]"), chain("useMemo", r"\[\]"), chain(r"React\.memo", "props", "object"))),
-    ("seo-meta-tags", "lh", either(
-        "<!DOCTYPE html>", '<meta name="description"', '<meta property="og:',
-        '<link rel="canonical"', '<meta name="keywords"')),
-    ("state-management", "lh", either(
-        chain("useState", "useEffect", "useState"), chain("setState", "prevState"),
-        chain("dispatch", "action", "type"))),
-    ("typescript-any", "lh", r":\s*any\b|as\s+any\b"),
+    ("bundler-optimization", "low", "high", r"import.*\*.*from|require.*dynamic.*import|import.*\(?.*await"),
+    ("error-boundaries", "low", "high", r"componentDidCatch|getDerivedStateFromError|class.*ErrorBoundary"),
+    ("form-validation", "low", "high", r"form.*onSubmit.*preventDefault|input.*required.*false|pattern.*validation"),
+    ("incorrect-semantic-html", "medium", "high",
+     r'<div\s+class=".*container.*"><div\s+class=".*row.*"><div\s+class=".*col.*"|<div\s+role="navigation"|<div\s+role="main"'),
+    ("inefficient-css", "low", "high",
+     r"@import.*css|style.*attribute.*important|\*.*\{.*display.*none|animation.*no.*hardware"),
+    ("missing-prop-validation", "medium", "high", r"PropsTypes|propTypes.*isRequired|React\.PropTypes.*\.isRequired"),
+    ("nextjs", "low", "high",
+     r"useEffect.*\[\].*fetch|export default.*function.*props|getStaticPaths.*fallback.*false"),
+    ("poor-error-boundary", "high", "high",
+     r"componentDidCatch.*console\.log|ErrorBoundary.*return.*null|catch.*error.*render.*null"),
+    ("react-optimization", "low", "high", r"useCallback.*\[\]|useMemo.*\[\]|React\.memo.*props.*object"),
+    ("seo-meta-tags", "low", "high",
+     r'<!DOCTYPE html>|<meta name="description"|<meta property="og:|<link rel="canonical"|<meta name="keywords"'),
+    ("state-management", "low", "high", r"useState.*useEffect.*useState|setState.*prevState|dispatch.*action.*type"),
+    ("typescript-any", "low", "high", r":\s*any\b|as\s+any\b"),
 ]
