@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..plans.patterns import to_java
+from ..plans.patterns import FOLD_FROM, FOLD_TO, to_java
 from ..plans.rule_index import RuleIndex, build_index
 from ..session import spread
 
@@ -32,7 +32,7 @@ def _gate_keys(index):
     """Distinct required literals found in ``text``; '' stands for rules without a literal."""
     if index.gate is None:
         return F.array(F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(index.gate), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(F.translate("text", FOLD_FROM, FOLD_TO), F.lit(index.gate), F.lit(1)))
     folded = F.array_distinct(F.transform(found, lambda k: F.translate(k, "123456789", "0" * 9)))
     return F.array_append(folded, F.lit("")) if index.has_always else folded
 
@@ -62,7 +62,9 @@ def match_counts(content, rules, unicode=False, spread_input=True) -> DataFrame:
     if index.has_entropy:
         kept = f"filter({found}, m -> {scalars.shannon_entropy('m')} >= min_entropy)"
         count = f"if(min_entropy is null, {count}, size({kept}))"
-    return candidates(content, index).select("id", "ordinal", F.expr(count).alias("matches")).where("matches > 0")
+    # in a generator, so that a pattern runs once: a filter would be moved into the join and repeat it
+    some = F.filter(F.array(F.expr(count)), lambda n: n > 0)
+    return candidates(content, index).select("id", "ordinal", F.explode(some).alias("matches"))
 
 
 def match_spans(content, rules, unicode=False, spread_input=True) -> DataFrame:
@@ -72,8 +74,7 @@ def match_spans(content, rules, unicode=False, spread_input=True) -> DataFrame:
     content = spread(content) if spread_input else content
     hits = (
         candidates(content, index)
-        .withColumn("found", F.expr("regexp_extract_all(text, pattern, 0)"))
-        .where(F.size("found") > 0)
+        .select("*", F.explode(F.expr("filter(array(regexp_extract_all(text, pattern, 0)), m -> size(m) > 0)")).alias("found"))
         .withColumn("gaps", F.expr("split(text, pattern, -1)"))
     )
     rows = hits.select(*keep, "ordinal", "min_entropy", F.inline(F.expr(text.spans("gaps", "found"))))

@@ -4,10 +4,14 @@ A rule is only worth running on a row that holds one of the literals its match c
 without.  ``required_literals`` finds them from the pattern; ``gate_pattern`` joins the
 literals of a whole catalogue into one prefix-shared expression, so one pass over a row tells
 which rules can match at all.  Digits are folded: the literal ``000-00-0000`` stands for any
-number of that shape, so digit rules are gated like the others.
+number of that shape, so digit rules are gated like the others.  Texts and literals are folded
+alike, letter by letter, so a literal that a match holds is found in the folded text.
+
+Limits on literal sets only make the gate weaker: a rule without usable literals runs on all rows.
 """
 
 import re
+import warnings
 from functools import lru_cache
 from re import _constants as K
 from re import _parser as regex_parser
@@ -55,6 +59,44 @@ def _boundary(before, after):
     return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+# Names of the POSIX classes, as Java spells them.
+POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct",
+         "graph": "Graph", "print": "Print", "blank": "Blank", "cntrl": "Cntrl", "xdigit": "XDigit", "space": "Space"}
+_POSIX = re.compile(r"\[:(\^?)(\w+):\]")
+_NAMED = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<(?![=!])\w+>")
+
+
+def _common(pattern):
+    """Named groups as plain ones and POSIX classes as properties, which Java and Python spell differently."""
+    pattern = _NAMED.sub(r"\1(", pattern)
+    return _POSIX.sub(lambda m: rf"\{'P' if m[1] else 'p'}{{{POSIX[m[2]]}}}" if m[2] in POSIX else m[0], pattern)
+
+
+def _parsed(pattern):
+    """Syntax tree, or None for a pattern that only the other engine reads (classes by property, flags inside)."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            return regex_parser.parse(_common(pattern))
+    except (re.error, RecursionError, OverflowError, Warning):
+        return None
+
+
+def _java_error(pattern):
+    """What Spark's engine says about a pattern; None if it takes it."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return "cannot be checked without a session"
+    try:
+        session.range(1).select(F.lit("").rlike(to_java(pattern))).collect()
+    except PySparkException as error:
+        return str(error).splitlines()[0]
+
+
 @lru_cache(maxsize=4096)
 def to_java(pattern, unicode=False):
     """Pattern for Spark, with the line and boundary rules of the automaton dialects.
@@ -62,6 +104,7 @@ def to_java(pattern, unicode=False):
     ``(?d)`` keeps ``.`` from stopping at anything but a newline, ``$`` is the end of the
     content, and ``\\b`` is ASCII unless ``unicode`` is asked for.
     """
+    pattern = _common(pattern)
     out, at = [], 0
     for token, in_class in _tokens(pattern):
         if token == "$" and not in_class:
@@ -87,21 +130,26 @@ def compile_error(pattern):
     """None for a usable pattern, else why it is refused."""
     if not pattern:
         return "empty"
-    try:
-        low, _ = regex_parser.parse(pattern).getwidth()
-    except (re.error, RecursionError, OverflowError) as error:
-        return str(error)
-    return None if low else "matches the empty string"
+    tree = _parsed(pattern)
+    if tree is None:
+        return _java_error(pattern)
+    return None if tree.getwidth()[0] else "matches the empty string"
 
 
 def longest_match(pattern):
     """Upper bound of a match in characters."""
-    return regex_parser.parse(pattern).getwidth()[1]
+    tree = _parsed(pattern)
+    return 2**32 if tree is None else tree.getwidth()[1]
+
+
+# Letters that case-blind patterns take for each other: A-Z, the long s, the Kelvin sign, dotted and dotless i.
+FOLD_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u017f\u212a\u0130\u0131"
+FOLD_TO = "abcdefghijklmnopqrstuvwxyzskii"
+_FOLD = str.maketrans(FOLD_FROM + "123456789", FOLD_TO + "0" * 9)
 
 
 def _fold(ch):
-    ch = ch.lower()
-    return "0" if ch.isascii() and ch.isdigit() else ch
+    return ch.translate(_FOLD)
 
 
 def _weight(literal):
@@ -234,11 +282,18 @@ def _leads(repeat):
 
 
 @lru_cache(maxsize=4096)
-def required_literals(pattern):
-    """Folded literals of which every match holds at least one; empty when there are none."""
-    _, best = _sequence(regex_parser.parse(pattern))
+def required_literals(pattern, unicode=False):
+    """Folded literals of which every match holds at least one; empty when there are none.
+
+    Where case is ignored beyond ASCII, a literal with such a letter has other spellings, and is no gate.
+    """
+    tree = _parsed(pattern.replace(r"\d", r"\w") if unicode else pattern)
+    best = None if tree is None else _sequence(tree)[1]
     if not best:
         return ()
+    blind = re.search(r"\(\?[a-zA-Z]*i", pattern)
+    if blind and not all(lit.isascii() for lit in best):
+        return ()
     short = {lit[:MAX_LENGTH] for lit in best}
     # a literal that has another one as its prefix adds nothing
     return tuple(sorted(s for s in short if not any(s != o and s.startswith(o) for o in short)))

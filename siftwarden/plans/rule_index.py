@@ -63,7 +63,7 @@ def build_index(rules, unicode=False) -> RuleIndex:
         problem = patterns.compile_error(rule["match"])
         if problem:
             raise ValueError(f"rule {rule['name']!r}: {problem}")
-        gates[rule["ordinal"]] = [] if unicode else patterns.required_literals(rule["match"])
+        gates[rule["ordinal"]] = patterns.required_literals(rule["match"], unicode)
     vocabulary = sorted({lit for lits in gates.values() for lit in lits})
     rows, many = [], False
     for rule in rules:
