@@ -1,7 +1,6 @@
 """The rule catalogue as a table: merge, validate, normalize, filter, list.
 
-Catalogues are small tables; detection collects one to the driver in one bounded step
-(``collect_rules``), everything else here is plain DataFrame work.
+Detection compiles a catalogue on the driver (``collect_rules``), everything else here is plain DataFrame work.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..plans import patterns
-from ..plans.rule_index import MAX_RULES
 from ..schema import RULE_SCHEMA
 
 BUNDLE_VERSION = 2
@@ -22,11 +20,8 @@ def rules_frame(spark, rules) -> DataFrame:
 
 
 def collect_rules(rules) -> list:
-    """Rule table as dictionaries, for the detection plan; refuses an unbounded table."""
-    rows = rules.select(*COLUMNS).orderBy("ordinal").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules in one catalogue")
-    return [{**r.asDict(), "tags": list(r["tags"] or [])} for r in rows]
+    """Rule table as dictionaries, for the detection plan: the catalogue is what has to fit on the driver."""
+    return [{**r.asDict(), "tags": list(r["tags"] or [])} for r in rules.select(*COLUMNS).orderBy("ordinal").toLocalIterator()]
 
 
 def merge_packs(*packs) -> DataFrame:
@@ -160,18 +155,16 @@ def statistics(rules) -> DataFrame:
     return counts.withColumn("total", sum(F.col(g) for g in grades))
 
 
-def bundle_metadata(rules, version=BUNDLE_VERSION) -> DataFrame:
-    """One row: version, rule count, checksum.
+def bundle_metadata(rules, version=BUNDLE_VERSION, created_at=None) -> DataFrame:
+    """One row: version, time, rule count, and SHA-256 over all fields of the rules in their order.
 
-    The checksum adds up the SHA-256 of each serialized rule (its ordinal included), so it needs no
-    ordered collection.
+    The rules meet in one row, as they do in a bundle; that bounds this to catalogues.
     """
-    fields = ["ordinal", "name", "category", "match", "enabled", "severity", "confidence", "description"]
-    digest = F.sha2(F.concat_ws("\u001f", *[F.col(c).cast("string") for c in fields]), 256)
-    part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
-    return rules.agg(F.count("*").alias("n"), F.sum(part).alias("total")).select(
-        F.lit(version).alias("schema_version"), F.col("n").alias("pattern_count"),
-        F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("checksum"))
+    plain = [F.coalesce(F.col(c).cast("string") if c != "tags" else F.array_join("tags", ","), F.lit("")) for c in COLUMNS]
+    lines = F.array_sort(F.collect_list(F.struct("ordinal", "name", F.concat_ws("\u001f", *plain).alias("line"))))
+    return rules.agg(F.count("*").alias("pattern_count"), lines.alias("lines")).select(
+        F.lit(version).alias("schema_version"), F.lit(created_at).cast("string").alias("created_at"), "pattern_count",
+        F.sha2(F.array_join(F.transform("lines", lambda r: r.line), "\n"), 256).alias("checksum"))
 
 
 def _text(value):

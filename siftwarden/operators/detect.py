@@ -1,8 +1,9 @@
 """Detection: a content table against a rule catalogue.
 
 The plan is a hash join, not a nested loop.  One pass of the gate expression over a row finds
-which required literals it holds; these keys are joined (broadcast) with the rule index, and
-only the rules that come out of the join run on the row.  There is no shuffle of the text.
+which required literals it holds; these keys are joined with the rule index, and only the rules
+that come out of the join run on the row.  Spark broadcasts an index of the usual size, so there
+is no shuffle of the text.
 """
 
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ def candidates(content, index) -> DataFrame:
     bound = F.flatten(F.transform(F.array(_gate_keys(index)), lambda keys: F.transform(
         keys, lambda key: F.struct(key.alias("gate_key"), keys.alias("keys")))))
     keyed = content.where(F.col("text").isNotNull()).select(*columns, F.inline(bound))
-    joined = keyed.join(F.broadcast(index.frame(content.sparkSession)), "gate_key")
+    joined = keyed.join(index.frame(content.sparkSession), "gate_key")
     if index.has_many_keys:
         # a rule with several literals in the row is taken once
         joined = joined.where(
@@ -92,7 +93,7 @@ def category_hits(content, rules, unicode=False) -> DataFrame:
 
 
 def _finish(rows, metadata, kind, extra=()):
-    described = rows.join(F.broadcast(metadata), "ordinal")
+    described = rows.join(metadata, "ordinal")
     return described.select(
         "id", "rule", "category", "severity", "confidence",
         F.col("line").cast("int").alias("line"), "start_byte", "end_byte", "matched",

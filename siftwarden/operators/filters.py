@@ -64,9 +64,8 @@ def filter_ignored(files, globs, path="path") -> DataFrame:
     """Keep paths that no glob and no fixed directory excludes."""
     parts = F.split(F.col(path), "/")
     kept = files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRECTORIES))))
-    for glob in globs:
-        kept = kept.where(~F.col(path).rlike(glob_to_regex(glob)))
-    return kept
+    any_glob = "|".join(f"(?:{glob_to_regex(glob)})" for glob in globs)
+    return kept.where(~F.col(path).rlike(any_glob)) if globs else kept
 
 
 def gate_passes(findings, threshold="low", sources=None) -> DataFrame:

@@ -58,9 +58,13 @@ def _weighted(rows, severity_weights=None, category_weights=None):
     return rows.select("id", "category", "severity", "n", "weight", units.alias("units"))
 
 
+GRADES = ["critical", "high", "medium", "low"]
+
+
 def _per_category(weighted, *keys):
+    of_grade = [F.coalesce(F.sum(F.when(F.col("severity") == g, F.col("n"))), F.lit(0)).alias(f"n_{g}") for g in GRADES]
     return weighted.groupBy(*keys, "category").agg(
-        F.sum("units").alias("units"), F.sum("n").alias("n"),
+        F.sum("units").alias("units"), F.sum("n").alias("n"), *of_grade,
         F.max(F.struct("weight", "severity")).alias("top"))
 
 
@@ -72,17 +76,20 @@ def _summary(per_category, *keys):
         F.max("top").alias("top"),
         F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct(
             "category", (F.col("units") / 100).cast("double").alias("score"), "n")))).alias("parts"),
+        *[F.coalesce(F.sum(f"n_{g}"), F.lit(0)).alias(f"n_{g}") for g in GRADES],
     )
+    by_severity = F.create_map(*[x for g in GRADES for x in (F.lit(g), F.col(f"n_{g}"))])
     return total.select(
         *keys, "score", F.expr(scalars.risk_level("score")).alias("level"), "finding_count",
         F.when(F.col("finding_count") > 0, F.col("top.severity")).alias("highest_severity"),
         F.map_from_entries(F.transform("parts", lambda p: F.struct(
             p["category"], F.struct(p["score"].alias("score"), p["n"].alias("n"))))).alias("by_category"),
+        F.map_filter(by_severity, lambda _, n: n > 0).alias("by_severity"),
     )
 
 
 def risk_score(rows, severity_weights=None, category_weights=None) -> DataFrame:
-    """One row for the whole table: score, level, counts, highest severity, breakdown."""
+    """One row for the whole table: score, level, counts, highest severity, breakdowns by category and severity."""
     return _summary(_per_category(_weighted(rows, severity_weights, category_weights)))
 
 

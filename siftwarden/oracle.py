@@ -126,3 +126,15 @@ def risk_rows(keys="id"):
             f"max(struct_pack(w := {severity_weight('severity')}, s := severity)).w AS w, "
             f"max(struct_pack(w := {severity_weight('severity')}, s := severity)).s AS severity "
             f"FROM g0 GROUP BY {keys}, category) GROUP BY {keys})")
+
+
+def breakdown(key=None):
+    """SELECT of by_category and by_severity, as text, over graded rows ``g0``, for each key."""
+    keys, group = (f"{key}, ", f"{key}, ") if key else ("", "")
+    using = f"a LEFT JOIN s USING ({key})" if key else "a CROSS JOIN s"
+    by = f" GROUP BY {key}" if key else ""
+    return (f"WITH a AS (SELECT {keys}string_agg(category || '=' || u || '/' || n, ',' ORDER BY category) AS by_category FROM ("
+            f"SELECT {keys}category, CAST(sum({hundredths()}) AS BIGINT) AS u, CAST(sum(n) AS BIGINT) AS n FROM g0 GROUP BY {group}category){by}), "
+            f"s AS (SELECT {keys}string_agg(severity || '=' || n, ',' ORDER BY severity) AS by_severity FROM ("
+            f"SELECT {keys}severity, CAST(sum(n) AS BIGINT) AS n FROM g0 GROUP BY {group}severity){by}) "
+            f"SELECT {keys}by_category, by_severity FROM {using}")

@@ -1,4 +1,4 @@
-"""Compile a rule list into the gate pattern and the broadcast rule index."""
+"""Compile a rule list into the gate pattern and the rule index, which Spark joins as its size allows."""
 
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame
 
 from . import patterns
 
-# The index is broadcast, so the catalogue has a stated size limit.
-MAX_RULES = 20_000
-
 INDEX_SCHEMA = ("gate_key string, gate_keys array<string>, ordinal int, pattern string, "
                 "min_entropy double")
 
@@ -56,8 +53,6 @@ def _with_prefix(vocabulary, prefix):
 
 
 def build_index(rules, unicode=False) -> RuleIndex:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the broadcast index holds at most {MAX_RULES}")
     gates = {}
     for rule in rules:
         problem = patterns.compile_error(rule["match"])

@@ -8,7 +8,7 @@ from ..operators import filters, risk
 from ..operators.catalog import collect_rules
 from ..operators.detect import active_rules, candidates, detect, match_counts
 from ..operators.suppress import suppress_baseline, suppress_inline
-from ..plans.rule_index import MAX_RULES, build_index
+from ..plans.rule_index import build_index
 from ..sources.tables import diff_files, read_tree
 
 
@@ -23,18 +23,8 @@ def scan_table(content, rules, profile=None, baseline=None, scope=None, **option
 
 
 def scan_rule_table(content, rules, **options) -> DataFrame:
-    """Findings for a rule *table*.
-
-    The plan needs the rules on the driver.  A table beyond the size limit of the broadcast index is
-    taken in slices, each a scan of its own, and the slices are united.
-    """
-    total = rules.count()
-    if total <= MAX_RULES:
-        return detect(content, collect_rules(rules), **options)
-    slices = -(-total // MAX_RULES) * 2
-    parts = [detect(content, collect_rules(rules.where(F.pmod(F.xxhash64("name"), F.lit(slices)) == k)), **options)
-             for k in range(slices)]
-    return risk.findings_union(*parts)
+    """Findings for a rule *table*, whatever its size, in one pass over the content."""
+    return detect(content, collect_rules(rules), **options)
 
 
 def scan_files(spark, path, rules, size_limit=filters.DEFAULT_SIZE_LIMIT, globs=(), skip_binary=True,

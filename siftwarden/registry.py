@@ -198,7 +198,7 @@ def _(spark, sf):
        f"r AS ({O.risk_rows()}) SELECT c.id, coalesce(score, 0) AS score, coalesce(level, 'none') AS level, "
        "coalesce(finding_count, 0) AS finding_count, highest_severity FROM (SELECT DISTINCT id FROM c) c LEFT JOIN r ON c.id = r.id")
 def _(spark, sf):
-    return scan.scan_requests(conversations(spark, sf), CHAT).drop("by_category")
+    return scan.scan_requests(conversations(spark, sf), CHAT).drop("by_category", "by_severity")
 
 
 @query("content_table_source", f"{DOCS} UNION ALL SELECT 'p' || page_id, html FROM pages UNION ALL {CHATS} "
@@ -294,28 +294,38 @@ def _(spark, sf):
 
 
 # --- risk and statistics -----------------------------------------------------------------------
+def broken_down(rows):
+    """The breakdowns as text: category=hundredths/findings and severity=findings, in order of their names."""
+    by_category = F.transform(F.array_sort(F.map_entries("by_category")), lambda e: F.concat(
+        e.key, F.lit("="), F.round(e.value.score * 100).cast("bigint").cast("string"), F.lit("/"), e.value.n.cast("string")))
+    by_severity = F.transform(F.array_sort(F.map_entries("by_severity")), lambda e: F.concat(
+        e.key, F.lit("="), e.value.cast("string")))
+    return rows.withColumns({"by_category": F.array_join(by_category, ","), "by_severity": F.array_join(by_severity, ",")})
+
+
 _TEXT_GRADED = f"{O.counts(TEXT, DOCS)}, g0 AS (SELECT id, category, severity, confidence, n FROM graded)"
 
 
 @query("risk_score", f"{_TEXT_GRADED}, z AS (SELECT 1 AS one, category, severity, confidence, n FROM g0) "
-       + "SELECT score, level, finding_count, highest_severity FROM ("
-       + O.risk_rows("one").replace("FROM g0", "FROM z") + ")")
+       + f"SELECT score, level, finding_count, highest_severity, by_category, by_severity FROM ("
+       + O.risk_rows("one").replace("FROM g0", "FROM z") + ") CROSS JOIN (" + O.breakdown() + ")")
 def _(spark, sf):
-    return risk.risk_score(counted(documents(spark, sf), TEXT)).drop("by_category")
+    return broken_down(risk.risk_score(counted(documents(spark, sf), TEXT)))
 
 
 @query("risk_by_source", f"{_TEXT_GRADED}, r AS ({O.risk_rows()}) SELECT c.id, coalesce(score, 0) AS score, "
-       "coalesce(level, 'none') AS level, coalesce(finding_count, 0) AS finding_count, highest_severity "
-       "FROM c LEFT JOIN r ON c.id = r.id")
+       "coalesce(level, 'none') AS level, coalesce(finding_count, 0) AS finding_count, highest_severity, "
+       "coalesce(by_category, '') AS by_category, coalesce(by_severity, '') AS by_severity "
+       f"FROM c LEFT JOIN r ON c.id = r.id LEFT JOIN ({O.breakdown('id')}) b ON c.id = b.id")
 def _(spark, sf):
     content = documents(spark, sf)
-    return risk.risk_by_source(counted(content, TEXT), content).drop("by_category")
+    return broken_down(risk.risk_by_source(counted(content, TEXT), content))
 
 
 @query("top_risk_sources", f"{O.counts(FIRST, DOCS)}, g0 AS (SELECT * FROM graded) "
        f"SELECT * FROM ({O.risk_rows()}) ORDER BY score DESC, id LIMIT 20")
 def top_risk(spark, sf):
-    return risk.top_risk_sources(risk.risk_by_source(counted(documents(spark, sf), FIRST)).drop("by_category"), 20)
+    return risk.top_risk_sources(risk.risk_by_source(counted(documents(spark, sf), FIRST)).drop("by_category", "by_severity"), 20)
 
 
 @query("risk_by_category", f"{_TEXT_GRADED} SELECT category, round(sum({O.hundredths()}) / 100.0, 6) AS score, "
@@ -604,11 +614,13 @@ def _(spark, sf):
     return catalog.merge_packs(suppliers, part_rules(spark, sf).select("ordinal", "name")).select("name", "ordinal")
 
 
-@query("bundle_metadata", "WITH h AS (SELECT ('0x' || substr(sha256(concat_ws(chr(31), CAST(ordinal AS VARCHAR), name, category, "
-       f"pattern, CAST(enabled AS VARCHAR), severity, confidence, description)), 1, 15))::HUGEINT AS v FROM ({_PART_SQL})) "
-       "SELECT 2 AS schema_version, count(*) AS pattern_count, sha256(count(*) || ':' || CAST(sum(v) AS VARCHAR)) AS checksum FROM h")
+_FIELDS = "CAST(ordinal AS VARCHAR), name, category, pattern, CAST(enabled AS VARCHAR), severity, confidence, '', description, '', '', 'false', 'false'"
+
+
+@query("bundle_metadata", f"SELECT 2 AS schema_version, '2024-01-01' AS created_at, count(*) AS pattern_count, sha256(string_agg("
+       f"concat_ws(chr(31), {_FIELDS}), chr(10) ORDER BY ordinal, name)) AS checksum FROM ({_PART_SQL})")
 def _(spark, sf):
-    return catalog.bundle_metadata(part_rules(spark, sf))
+    return catalog.bundle_metadata(part_rules(spark, sf), created_at="2024-01-01")
 
 
 @query("catalog_listing", f"SELECT name, category, severity, confidence, enabled, description FROM ({_PART_SQL}) "
@@ -976,8 +988,8 @@ def _(spark, sf):
 def _(spark, sf):
     errors = table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"))
 
-    def known():
-        return suppress.create_baseline(detect(timed_events(spark, sf).join(errors, "id", "left_semi").drop("ts"), PII))
-
-    new = lambda live, path, log: streams.write_new_findings(live, known, path, log)
+    baseline = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    found = detect(timed_events(spark, sf).join(errors, "id", "left_semi").drop("ts"), PII)
+    suppress.create_baseline(found).write.parquet(baseline)
+    new = lambda live, path, log: streams.write_new_findings(live, lambda: spark.read.parquet(baseline), path, log)
     return drain(streams.stream_detect(live_events(spark, sf), PII), new).select("id", "rule", "fingerprint")

@@ -26,24 +26,20 @@ def build_session(app="siftwarden", cpus=None):
 
 
 def shared_folder(spark):
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local session may make its own."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session may make its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     return folder
 
 
 def materialize(df):
-    """Write an intermediate that is read more than once to the checkpoint folder.
-
-    A cluster that names no folder keeps the lineage and computes twice.
-    """
+    """Write an intermediate that is read more than once to the checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

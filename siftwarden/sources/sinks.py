@@ -31,11 +31,10 @@ def write_bundle(rules, path, created_at=None):
 def write_findings(findings, path, mode="overwrite"):
     """Findings as Parquet, one directory per category.
 
-    Rows are spread by category and a hash of the fingerprint, so that a category with most of the
-    findings is still written by many tasks.
+    Rows are gathered by category, and partitions are split and joined by size at run time, so a
+    category with most of the findings is written by as many tasks as its size asks for.
     """
-    salted = findings.repartition("category", F.pmod(F.xxhash64("fingerprint"), F.lit(32)))
-    salted.write.mode(mode).partitionBy("category").parquet(path)
+    findings.hint("rebalance", "category").write.mode(mode).partitionBy("category").parquet(path)
 
 
 def findings_json(findings) -> DataFrame:

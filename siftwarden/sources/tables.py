@@ -103,10 +103,12 @@ def _struct():
 def read_rule_lists(spark, path) -> DataFrame:
     """Rules from YAML lists, one list per file (flat ``key: value`` items).
 
-    Rule files are small and read on the driver; a list whose items nest deeper needs the JSON form.
+    Files are taken in the order of their paths and read on the driver, where the catalogue lives, a
+    partition at a time; a list whose items nest deeper needs the JSON form.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.y*ml").limit(10_000).collect()
-    rules = [rule for row in files for rule in _yaml_items(row[0])]
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.y*ml").withColumn("path", F.input_file_name())
+    lists = sorted((row["path"], _yaml_items(row["value"])) for row in files.toLocalIterator())
+    rules = [rule for _, items in lists for rule in items]
     return _rules_from(spark.createDataFrame(
         [(i, *(_typed(k, rule.get(k)) for k in _fields())) for i, rule in enumerate(rules)],
         f"ordinal int, {_PATTERN_FIELDS}"))

@@ -114,11 +114,11 @@ def test_requests(spark, content):
     assert got["d0"] == (0, "none") and got["d1"][0] > 0
 
 
-def test_rule_table_in_slices(spark, content, monkeypatch, rule):
-    rules = catalog.rules_frame(spark, [rule(f"r{i}", f"w{i}x", i) for i in range(40)])
-    rows = content(" ".join(f"w{i}x" for i in range(40)))
-    monkeypatch.setattr(scan, "MAX_RULES", 15)
-    assert {r.rule for r in scan.scan_rule_table(rows, rules).collect()} == {f"r{i}" for i in range(40)}
+def test_large_rule_table(spark, content, rule):
+    rules = catalog.rules_frame(spark, [rule("same", f"w{i}x", i) for i in range(3000)])
+    rows = content(" ".join(f"w{i}x" for i in range(0, 3000, 7)))
+    found = scan.scan_rule_table(rows, rules)
+    assert sorted(r.matched for r in found.collect()) == sorted(f"w{i}x" for i in range(0, 3000, 7))
 
 
 def test_scan_table(spark, content):
