@@ -34,7 +34,8 @@ def shingle_set(text, words):
         return np.zeros(0, np.uint64)
     out = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
     if len(found) < words:
-        return mix(pair(np.array([xxh3_64_intdigest(b" ".join(found))], dtype=np.uint64), np.array([len(found)], np.uint64)))
+        whole = np.array([xxh3_64_intdigest(b" ".join(found)), len(found)], dtype=np.uint64)
+        return mix(pair(whole[:1], whole[1:]))
     gram = out[:len(out) - words + 1]
     for i in range(1, words):
         gram = pair(gram, out[i:len(out) - words + 1 + i])
@@ -154,6 +155,11 @@ def compare_blocks(percent):
 
     def run(batches):
         seen, held = set(), None
+
+        def out(pairs):
+            return pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()),
+                                    "b": pa.array([y for _, y in pairs], pa.int64())})
+
         def take(rows):
             new = set(likely_of(rows)) - seen
             if len(seen) > 200_000:
@@ -175,10 +181,9 @@ def compare_blocks(percent):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 pairs |= take(table.slice(a, b - a).combine_chunks())
             held = table.slice(cuts[-1])
-            yield pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+            yield out(pairs)
         if held is not None:
-            pairs = take(held.combine_chunks())
-            yield pa.record_batch({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+            yield out(take(held.combine_chunks()))
     return run
 
 

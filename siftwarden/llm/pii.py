@@ -140,14 +140,15 @@ def sanitise(docs, id_col="doc_id", text_col="text", generalise=GENERALISE, remo
     rows = docs.filter(may)
 
     pairs = stored(rows.select("__key", text_col).mapInArrow(pairs_of, "key bigint, value string, term string"), "pairs")
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("total")))  # one row
+    total = float(docs.count())
     both = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both"))
     values = both.filter("term = ''").select("value", F.col("both").alias("df_value"))
     wanted = both.filter("term <> ''")
     terms = (docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(terms_of, "term string, n bigint")
              .groupBy("term").agg(F.sum("n").alias("df_term")))
-    share = F.log(F.col("both") * F.col("total") / (F.col("df_value") * F.col("df_term"))) / F.log(F.col("total") / F.col("df_value"))
-    telling = wanted.join(terms, "term").join(values, "value").crossJoin(total).filter("df_value < total").select(
+    disclosed = F.log(F.col("both") * total / (F.col("df_value") * F.col("df_term")))
+    share = disclosed / F.log(F.lit(total) / F.col("df_value"))
+    telling = wanted.join(terms, "term").join(values, "value").filter(F.col("df_value") < total).select(
         "value", "term", share.alias("share")).filter(F.col("share") >= generalise)
     told = pairs.join(telling, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("key").agg(F.collect_list(F.struct(
@@ -167,11 +168,13 @@ def sanitise(docs, id_col="doc_id", text_col="text", generalise=GENERALISE, remo
                     spans.sort(key=lambda s: (s[1], (*KINDS, "term").index(s[0])))
                 found.append([dict(zip(("kind", "start", "end", "action"), s)) for s in spans])
                 texts.append(cleaned(text, spans))
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], pa.array(found, kind), pa.array(texts, pa.string())],
-                                             names=[*kept, "spans", "clean_text"])
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+                                       ("action", pa.string())]))
+            columns = [*part.columns[:len(kept)], pa.array(found, kind), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "spans", "clean_text"])
 
-    schema = StructType([*docs.select(*kept).schema.fields, StructField("spans", SPAN), StructField("clean_text", StringType())])
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("spans", SPAN),
+                         StructField("clean_text", StringType())])
     looked = rows.join(told.withColumnRenamed("key", "__key").hint("shuffle_hash"), "__key", "left").select(
         *kept, "__told").mapInArrow(run, schema)
     plain = docs.filter(~may).select(*kept, F.lit(None).cast(SPAN).alias("spans"), F.col(text_col).alias("clean_text"))
