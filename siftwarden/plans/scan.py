@@ -39,18 +39,17 @@ def scan_files(spark, path, rules, size_limit=filters.DEFAULT_SIZE_LIMIT, globs=
     binary = F.expr(filters.is_binary_bytes("content"))
     readable = small.where(~binary) if skip_binary else small
     content = readable.select(F.col("path").alias("id"), F.expr("decode(content, 'UTF-8')").alias("text"))
-    counters = [
-        listing.select(F.lit("files_total").alias("metric"), F.lit("").alias("key"), F.lit(1).alias("n")),
-        small.select(F.when(binary, "skipped_binary").otherwise("files_scanned").alias("metric") if skip_binary
-                     else F.lit("files_scanned").alias("metric"), F.lit("").alias("key"), F.lit(1).alias("n")),
-        kept.where(F.col("length") > size_limit).select(
-            F.lit("skipped_size").alias("metric"), F.lit("").alias("key"), F.lit(1).alias("n")),
-        readable.select(F.lit("files_by_extension").alias("metric"), F.lower(
-            F.regexp_extract("path", r"\.([^./]+)\z", 1)).alias("key"), F.lit(1).alias("n")),
-    ]
-    stats = counters[0]
-    for c in counters[1:]:
-        stats = stats.unionByName(c)
+    # the listing alone for totals and sizes, one look into the content for the rest
+    one = lambda metric: (F.lit(metric).alias("metric"), F.lit("").alias("key"), F.lit(1).cast("long").alias("n"))
+    scanned = ~binary if skip_binary else F.lit(True)
+    seen = small.groupBy(scanned.alias("scanned"), F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1)).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"))
+    told = F.when(F.col("scanned"), F.array(
+        F.struct(F.lit("files_scanned").alias("metric"), F.lit("").alias("key"), "n"),
+        F.struct(F.lit("files_by_extension").alias("metric"), "key", "n"))).otherwise(F.array(
+            F.struct(F.lit("skipped_binary").alias("metric"), F.lit("").alias("key"), "n")))
+    stats = listing.select(*one("files_total")).unionByName(
+        kept.where(F.col("length") > size_limit).select(*one("skipped_size"))).unionByName(seen.select(F.inline(told)))
     return detect(content, rules, **options), stats.groupBy("metric", "key").agg(F.sum("n").alias("value"))
 
 

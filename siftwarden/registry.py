@@ -456,11 +456,30 @@ def _(spark, sf):
     return spark.read.parquet(path).select("id", "rule", "category", "line", "start_byte", "fingerprint")
 
 
-@query("file_tree_source")
+def document_files(spark, sf):
+    """Folder with one file per document; a file ends in a line break."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    table(spark, sf, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("file_tree_source", "SELECT CAST(strlen(text) + 1 AS BIGINT) AS length, sha256(text || chr(10)) AS digest FROM documents")
 def _(spark, sf):
-    """The files of the data folder itself."""
-    files = tables.read_tree(spark, sf, size_limit=2**40, glob="*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    files = tables.read_tree(spark, document_files(spark, sf), size_limit=2**40, glob="*.txt")
+    return files.select("length", F.sha2("content", 256).alias("digest"))
+
+
+@query("detect_files", f"{O.findings(PII, 'SELECT CAST(doc_id AS VARCHAR) AS id, text || chr(10) AS text FROM documents')} "
+       "SELECT rule, line, start_byte, end_byte, matched, count(*) AS files FROM f GROUP BY ALL")
+def _(spark, sf):
+    findings, _ = scan.scan_files(spark, document_files(spark, sf), PII)
+    return findings.groupBy("rule", "line", "start_byte", "end_byte", "matched").agg(F.count("*").alias("files"))
+
+
+@query("detect_files_stats", "SELECT unnest(['files_total', 'files_scanned', 'files_by_extension']) AS metric, "
+       "unnest(['', '', 'txt']) AS key, count(*) AS value FROM documents")
+def _(spark, sf):
+    return scan.scan_files(spark, document_files(spark, sf), PII)[1]
 
 
 @query("sarif_documents")
@@ -623,6 +642,15 @@ def _(spark, sf):
     return catalog.bundle_metadata(part_rules(spark, sf), created_at="2024-01-01")
 
 
+@query("rules_bundle_round_trip", f"SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, name, category, pattern AS match, "
+       f"enabled, severity, confidence, description FROM ({_PART_SQL})")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    sinks.write_bundle(part_rules(spark, sf), path, created_at="2024-01-01")
+    return tables.read_rules(spark, path).select(
+        "ordinal", "name", "category", "match", "enabled", "severity", "confidence", "description")
+
+
 @query("catalog_listing", f"SELECT name, category, severity, confidence, enabled, description FROM ({_PART_SQL}) "
        "WHERE enabled AND category = 'Brand#1'")
 def _(spark, sf):
