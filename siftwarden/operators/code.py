@@ -3,7 +3,7 @@
 Each file is one row, and its lines are an array inside the row: nothing here shuffles.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
@@ -178,21 +178,22 @@ def resource_pairs(files) -> DataFrame:
     """(id, name, acquire_line, release_line): one stack per file across kinds.
 
     A closing word releases whatever is on top of the stack; what stays open has no release line.
+    No stack is built: the height of the stack after each event is a running sum that never falls
+    below zero, and what opens at a height is released by the next event at that height.
     """
-    entry = "struct<name:string,line:int>"
-    done = "struct<name:string,acquire_line:int,release_line:int>"
-    start = f"named_struct('stack', cast(array() as array<{entry}>), 'out', cast(array() as array<{done}>))"
-    top = "element_at(s.stack, -1)"
-    step = (
-        "case when e.op = 'open' then named_struct('stack', array_append(s.stack, "
-        "named_struct('name', e.name, 'line', e.line)), 'out', s.out) "
-        "when size(s.stack) = 0 then s else named_struct('stack', slice(s.stack, 1, size(s.stack) - 1), "
-        f"'out', array_append(s.out, named_struct('name', {top}.name, 'acquire_line', {top}.line, "
-        "'release_line', e.line))) end")
-    rest = ("transform(s.stack, x -> named_struct('name', x.name, 'acquire_line', x.line, "
-            "'release_line', cast(null as int)))")
-    fold = f"aggregate({_events()}, {start}, (s, e) -> {step}, s -> concat(s.out, {rest}))"
-    return files.where(any_of("text", RESOURCE_WORDS)).select("id", F.inline(F.expr(fold)))
+    events = files.where(any_of("text", RESOURCE_WORDS)).select("id", F.posexplode(F.expr(_events())).alias("pos", "e"))
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select("id", "pos", "e.*").withColumn("opens", F.col("op") == "open").withColumn(
+        "sum", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(so_far))
+    # closing words that find the stack empty only lower the running minimum
+    lowest = F.least(F.lit(0), F.min("sum").over(so_far))
+    level = summed.withColumn("lowest", lowest).withColumn(
+        "idle", ~F.col("opens") & (F.col("sum") == F.col("lowest")) & (F.coalesce(
+            F.lag("lowest").over(Window.partitionBy("id").orderBy("pos")), F.lit(0)) > F.col("lowest")))
+    level = level.where("not idle").withColumn("level", F.expr("sum - lowest + if(opens, 0, 1)"))
+    after = F.lead("line").over(Window.partitionBy("id", "level").orderBy("pos"))
+    return level.withColumn("release_line", after).where("opens").select(
+        "id", "name", F.col("line").alias("acquire_line"), "release_line")
 
 
 def flow_issues(files) -> DataFrame:

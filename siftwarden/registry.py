@@ -895,7 +895,30 @@ def _(spark, sf):
     return code.flow_edges(code_rows(spark, sf))
 
 
-@query("resource_pairs")
+def _resource_sql():
+    kinds = ((1, "file", code.OPEN_FILE, code.CLOSE_FILE), (2, "mutex", code.OPEN_LOCK, code.CLOSE_LOCK),
+             (3, "transaction", code.OPEN_WORK, code.CLOSE_WORK))
+    holds = lambda words: " OR ".join(f"contains(l, {O.q(w)})" for w in words)
+    events = " UNION ALL ".join(
+        f"SELECT id, line, {k} AS k, '{name}' AS name, CASE WHEN {holds(opens)} THEN 1 WHEN {holds(closes)} THEN -1 END AS step FROM l"
+        for k, name, opens, closes in kinds)
+    return (
+        "WITH RECURSIVE c AS (SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace(replace(html, '<ul>', chr(10) || 'fopen(' || chr(10) "
+        "|| 'BEGIN' || chr(10)), '</ul>|</p>', chr(10) || 'close(' || chr(10), 'g') AS text FROM pages), "
+        "l AS (SELECT id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM c), "
+        f"e AS MATERIALIZED (SELECT id, name, line, step, row_number() OVER (PARTITION BY id ORDER BY line, k) AS pos FROM ({events}) "
+        "WHERE step IS NOT NULL), "
+        # the stack itself, event by event
+        "r AS (SELECT id, 0::BIGINT AS pos, []::STRUCT(name VARCHAR, line BIGINT)[] AS stack, NULL::STRUCT(name VARCHAR, line BIGINT) AS top, "
+        "NULL::BIGINT AS release FROM c UNION ALL SELECT r.id, e.pos, CASE WHEN step = 1 THEN list_append(stack, "
+        "{'name': e.name, 'line': e.line::BIGINT}) ELSE stack[:-2] END, CASE WHEN step = -1 THEN stack[-1] END, e.line::BIGINT "
+        "FROM r JOIN e ON r.id = e.id AND e.pos = r.pos + 1) "
+        "SELECT id, top.name AS name, CAST(top.line AS INTEGER) AS acquire_line, CAST(release AS INTEGER) AS release_line FROM r "
+        "WHERE top IS NOT NULL UNION ALL SELECT id, x.name, CAST(x.line AS INTEGER), NULL FROM ("
+        "SELECT id, unnest(stack) AS x FROM (SELECT id, arg_max(stack, pos) AS stack FROM r GROUP BY id))")
+
+
+@query("resource_pairs", _resource_sql())
 def _(spark, sf):
     opened = F.regexp_replace(F.regexp_replace("html", "<ul>", "\nfopen(\nBEGIN\n"), "</ul>|</p>", "\nclose(\n")
     rows = content_table(table(spark, sf, "pages").withColumn("html", opened), "page_id", "html")

@@ -167,3 +167,23 @@ def test_clones_across(spark):
     df = files(spark, a=text, b=text.replace("a", "b"), c="x y z")
     groups = clones.clone_groups_across(df).collect()
     assert groups and all(r.files == 2 and r.first_id == "a" for r in groups)
+
+
+def test_resource_pairs_are_those_of_a_stack(content):
+    import random
+    rng, texts = random.Random(6), []
+    for n in (0, 1, 5, 40, 3000):
+        texts.append("\n".join(rng.choice(["fopen(", "fclose(", "Mutex::new", "unlock(", "BEGIN", "COMMIT", "x"]) for _ in range(n)))
+    want = []
+    for i, t in enumerate(texts):
+        stack = []
+        for line, word in enumerate(t.split("\n"), 1):
+            kind = {"fopen(": "file", "Mutex::new": "mutex", "BEGIN": "transaction"}.get(word)
+            if kind:
+                stack.append((kind, line))
+            elif word in ("fclose(", "unlock(", "COMMIT") and stack:
+                name, at = stack.pop()
+                want.append((f"d{i}", name, at, line))
+        want += [(f"d{i}", name, at, None) for name, at in stack]
+    got = [tuple(r) for r in code.resource_pairs(content(*texts)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
