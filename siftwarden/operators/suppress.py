@@ -76,15 +76,21 @@ def create_baseline(findings) -> DataFrame:
 
 
 def read_baseline(spark, path) -> DataFrame:
-    """Baseline from JSON: an array of strings, an array of findings, or JSON lines of either."""
-    text_rows = spark.read.text(path, wholetext=True)
-    as_strings = F.from_json("value", "array<string>")
-    item = F.explode(as_strings).alias("item")
-    arrays = text_rows.where(F.trim("value").startswith("[")).select(item)
-    lines = text_rows.where(~F.trim("value").startswith("[")).select(F.explode(F.split("value", r"\r?\n")).alias("item"))
-    named = F.get_json_object("item", "$.fingerprint")
-    bare = F.when(~F.trim("item").startswith("{"), F.regexp_replace(F.trim("item"), r'^"|"$', ""))
-    rows = arrays.unionByName(lines).select(F.coalesce(named, bare).alias("fingerprint"))
+    """Baseline from JSON: an array of strings, an array of findings, or lines of either, or bare lines.
+
+    Read line by line, so a large baseline is split like any text; an array may stand on one line, or
+    have its items, or the fields of its items, on lines of their own.
+    """
+    line = F.trim("value")
+    listed = F.from_json(line, "array<string>")
+    items = F.when(line.startswith("[") & line.endswith("]"), listed).otherwise(
+        F.array(F.trim(F.regexp_replace(line, r"^\[|\s*[,\]]\s*$", ""))))
+    item = F.col("item")
+    field = F.regexp_extract("item", r'^"fingerprint"\s*:\s*(".*")$', 1)
+    quoted = F.from_json(F.concat(F.lit("["), F.when(field != "", field).otherwise(item), F.lit("]")), "array<string>")
+    found = F.when(item.startswith("{"), F.get_json_object("item", "$.fingerprint")).when(
+        item.startswith('"'), quoted[0]).when(~item.rlike(r"^[\[\]{}]"), item)
+    rows = spark.read.text(path).select(F.explode(items).alias("item")).select(found.alias("fingerprint"))
     return rows.where("fingerprint <> ''").distinct()
 
 

@@ -52,12 +52,17 @@ def diff_lines(diffs) -> DataFrame:
 
 
 def diff_files(diffs) -> DataFrame:
-    """(diff_id, id, text): the added lines of each file of each diff, joined in order; no shuffle."""
-    added = "transform(filter(p.body, l -> startswith(l, '+')), l -> substring(l, 2))"
-    whole = (f"flatten(transform(array({_diff_sections()}), ps -> transform(array_distinct(transform(ps, p -> p.file)), f -> "
-             f"named_struct('id', f, 'added', flatten(transform(filter(ps, p -> p.file = f), p -> {added}))))))")
-    rows = diffs.select("diff_id", F.inline(F.expr(whole))).where("size(added) > 0")
-    return rows.select("diff_id", "id", F.array_join("added", "\n").alias("text"))
+    """(diff_id, id, text): the added lines of each file of each diff, joined in order.
+
+    A file may have several sections; they meet by row and file, so a diff of many files stays linear.
+    """
+    added = F.expr("transform(filter(p.body, l -> startswith(l, '+')), l -> substring(l, 2))")
+    numbered = diffs.withColumn("row", F.monotonically_increasing_id())
+    sections = numbered.select("row", "diff_id", F.posexplode(F.expr(_diff_sections())).alias("pos", "p"))
+    sections = sections.select("row", "diff_id", F.col("p.file").alias("id"), F.struct("pos", added.alias("added")).alias("part"))
+    whole = sections.groupBy("row", "diff_id", "id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    rows = whole.select("diff_id", "id", F.flatten(F.transform("parts", lambda p: p.added)).alias("added"))
+    return rows.where("size(added) > 0").select("diff_id", "id", F.array_join("added", "\n").alias("text"))
 
 
 _PATTERN_FIELDS = ("name string, category string, match string, match_pattern string, enabled boolean, severity string, "
