@@ -7,8 +7,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+BITS = 24
 
 
 def shared_dir(spark):
@@ -56,3 +58,20 @@ def mix(x):
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+def bit_table(rows, column):
+    """A table of 2^24 bits with those of a long column's values set, broadcast.
+
+    Its size does not depend on the number of values; with very many it only lets more pass.
+    """
+    low = rows.select(F.col(column).bitwiseAND((1 << BITS) - 1).cast("int").alias("bit")).distinct()
+    table = np.zeros(1 << BITS, dtype=bool)
+    table[[r.bit for r in low.toLocalIterator()]] = True
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+
+def tested(values, bits):
+    """Places of the values (unsigned) whose bit is set in the table."""
+    at = (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)

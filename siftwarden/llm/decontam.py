@@ -6,14 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored
+from .common import bit_table, mix, slices, stored, tested
 from .fingerprints import pair
 
 WORD = re.compile(r"\w+")
 SEED_WORDS = 3
 RARE = 16
 SCORE = 0.5
-BITS = 24
 HIT = "array<struct<gram: bigint, at: int>>"
 
 
@@ -34,19 +33,6 @@ def grams_of(words, n):
     return mix(gram)
 
 
-def bit_table(grams):
-    """A table of 2^24 bits with those of the grams set; its size does not depend on their number."""
-    low = grams.select(F.col("gram").bitwiseAND((1 << BITS) - 1).cast("int").alias("bit")).distinct()
-    table = np.zeros(1 << BITS, dtype=bool)
-    table[[r.bit for r in low.toLocalIterator()]] = True
-    return grams.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-
-def tested(grams, bits):
-    at = (grams & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-
-
 def item_grams(n):
     def run(batches):
         for batch in batches:
@@ -170,14 +156,14 @@ def contaminated(docs, benchmark, n=SEED_WORDS, rare=RARE, least=SCORE, id_col="
     kind, item_kind = (d.schema[0].dataType.simpleString() for d in (docs.select("id"), items.select("item")))
 
     grams = stored(items.mapInArrow(item_grams(n), f"item {item_kind}, gram bigint, spot int"), "grams")
-    bits = bit_table(grams)
+    bits = bit_table(grams, "gram")
     counts = docs.select("text").mapInArrow(count_grams(n, bits), "gram bigint, n bigint")
     counts = grams.select("gram").distinct().join(counts, "gram").groupBy("gram").agg(F.sum("n").alias("df"))
     known = stored(grams.join(counts, "gram"), "counted")
     middle = known.groupBy("item").agg(F.percentile("df", 0.5).alias("middle"))
     seeds = stored(known.join(middle, "item").filter(F.col("df") <= F.greatest(F.lit(float(rare)), "middle"))
                    .select("gram", "item", "spot"), "seeds")
-    seed_bits = bit_table(seeds)
+    seed_bits = bit_table(seeds, "gram")
 
     texts = stored(docs.mapInArrow(find_seeds(n, seed_bits), f"key bigint, id {kind}, text string, hits {HIT}"), "texts")
     hits = texts.select("key", F.explode("hits").alias("hit")).select("key", "hit.gram", "hit.at")

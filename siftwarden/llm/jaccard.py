@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import bit_table, mix, stored, tested
 from .components import components
 from .fingerprints import A, B, C, pair
 from .suffix import ranges_of_rows, raw
@@ -204,6 +204,15 @@ def sign(words, percent):
     return run
 
 
+def only_in(bits):
+    """Documents whose id may be in a table of bits."""
+    def run(batches):
+        for batch in batches:
+            keep = tested(batch.column("hash").to_numpy().view(np.uint64), bits.value)
+            yield batch.select(["id", "text"]).take(pa.array(keep))
+    return run
+
+
 def verify(words, percent):
     """Pairs whose sets are similar enough; sets met again in a batch are kept."""
     def run(batches):
@@ -260,8 +269,12 @@ def similar_documents(docs, words=5, percent=80, id_col="doc_id", text_col="text
         return stored(pairs.join(y, "b").join(x, "a").mapInArrow(near_enough(percent), "a bigint, b bigint"), "likely")
 
     def checked(pairs):
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-        texts = stored(docs.join(ids.hint("shuffle_hash"), "id", "left_semi"), "texts")
+        ids = stored(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+        # most other texts are told apart by a bit table of fixed size, before the exact join shuffles them
+        hashed = F.xxhash64("id")
+        likely_texts = docs.filter("id is not null").withColumn("hash", hashed).mapInArrow(
+            only_in(bit_table(ids.select(hashed.alias("hash")), "hash")), "id bigint, text binary")
+        texts = stored(likely_texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), "texts")
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         y = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInArrow(
