@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman alignment scores them."""
 
 import re
 
@@ -6,73 +6,79 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import bit_table, mix, slices, stored, tested
+from .common import mix, slices, stored
 from .fingerprints import pair
 
 WORD = re.compile(r"\w+")
 SEED_WORDS = 3
-RARE = 16
 SCORE = 0.5
-HIT = "array<struct<gram: bigint, at: int>>"
+BLOCK_WORDS = 1 << 20
+HITS = 1 << 20
 
 
 def words_of(text):
     return WORD.findall(text.lower())
 
 
-def grams_of(words, n):
-    """Fingerprint of the n-gram at each word."""
+def hashed(text):
+    """A fingerprint for each word."""
     from xxhash import xxh3_64_intdigest
 
+    return np.array([xxh3_64_intdigest(w) for w in words_of(text)], dtype=np.uint64)
+
+
+def grams_of(words, n):
+    """Fingerprint of the n-gram at each word (fingerprints)."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    one = np.array([xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    gram = one[:len(one) - n + 1]
+    gram = words[:len(words) - n + 1]
     for i in range(1, n):
-        gram = pair(gram, one[i:len(one) - n + 1 + i])
+        gram = pair(gram, words[i:len(words) - n + 1 + i])
     return mix(gram)
 
 
-def item_grams(n):
-    def run(batches):
-        for batch in batches:
-            for item, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                gram = grams_of(words_of(text), n)
-                if len(gram):
-                    yield pa.record_batch({"item": pa.array([item.as_py()] * len(gram), item.type),
-                                           "gram": gram.view(np.int64), "spot": np.arange(len(gram), dtype=np.int32)})
-    return run
-
-
-def count_grams(n, bits):
-    """How many documents of a batch hold each gram that may be a benchmark's."""
-    def run(batches):
-        for part in slices(batches, 0, 16 << 20):
-            found = []
-            for text in part.column(0).to_pylist():
-                gram = grams_of(words_of(text), n)
-                found.append(np.unique(gram[tested(gram, bits.value)]))
-            gram, number = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.record_batch({"gram": gram.view(np.int64), "n": number.astype(np.int64)})
-    return run
-
-
-def find_seeds(n, bits):
-    """Texts that hold a seed, with the seeds' places."""
-    def run(batches):
-        for part in slices(batches, 2):
-            keep, hits = [], []
-            for i, text in enumerate(part.column(2).to_pylist()):
-                gram = grams_of(words_of(text), n)
-                at = tested(gram, bits.value)
-                if len(at):
-                    keep.append(i)
-                    hits.append([{"gram": g, "at": a} for g, a in zip(gram[at].view(np.int64).tolist(), at.tolist())])
-            if keep:
-                rows = part.take(pa.array(keep))
-                kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, kind)], names=["key", "id", "text", "hits"])
-    return run
+def item_words(batches):
+    for batch in batches:
+        for part in slices([batch], 1):
+            found = [hashed(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["item", "words"])
+
+
+class Items:
+    """All n-grams of a block of items, by fingerprint, with their item and place."""
+
+    def __init__(self, table, n):
+        table = table.combine_chunks()
+        self.names, self.n = table.column("item").combine_chunks(), n
+        self.words = [np.asarray(w, dtype=np.int64).view(np.uint64) for w in table.column("words").to_pylist()]
+        grams = [grams_of(w, n) for w in self.words]
+        sizes = np.array([len(g) for g in grams], dtype=np.int64)
+        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+        owner = np.repeat(np.arange(len(grams)), sizes)
+        spot = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.owner, self.spot = gram[order], owner[order], spot[order]
+        self.longest = max(map(len, self.words), default=0)
+
+    def leads(self, words):
+        """(item, places where it would start by the n-grams it shares with the text) of each item that shares any."""
+        gram = grams_of(words, self.n)
+        first = np.searchsorted(self.gram, gram, "left")
+        number = np.searchsorted(self.gram, gram, "right") - first
+        at = np.flatnonzero(number)
+        if not len(at):
+            return
+        width, codes = len(words) + self.longest + 1, np.zeros(0, np.int64)
+        ends = np.cumsum(number[at])
+        group = ends // HITS
+        for part in np.split(at, np.flatnonzero(np.diff(group)) + 1):
+            count = number[part]
+            hit = np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            lead = np.repeat(part, count) - self.spot[hit] + self.longest
+            codes = np.union1d(codes, self.owner[hit] * width + lead)
+        item = codes // width
+        for part in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(item)) + 1):
+            yield int(item[part[0]]), codes[part] % width - self.longest
 
 
 def local_scores(item, passage):
@@ -90,26 +96,19 @@ def local_scores(item, passage):
 def align(item, words, leads, least):
     """Score as a share of the item's words, and the aligned words of the text; None below ``least``.
 
-    ``leads`` are the places where the item would start by its seeds; each is looked at with half an
-    item's length to either side.
+    ``leads`` are the places, in order, where the item would start by its n-grams; each is looked at
+    with half an item's length to either side: an alignment that scores half cannot reach beyond.
     """
     size, margin = len(item), len(item) // 2 + 1
-    item = np.array(item, dtype=object)
+    kinds, x = np.unique(item, return_inverse=True)
     top = None
-    low = None
-    leads = sorted(set(leads))
-    while leads:
-        low = high = leads.pop(0)
-        while leads and leads[0] - high <= margin:
-            high = leads.pop(0)
-        a, b = max(0, low - margin), min(len(words), high + size + margin)
-        passage = np.array(words[a:b], dtype=object)
-        # a score is at most the number of words in common
-        if np.isin(passage, item).sum() < least * size:
+    for group in np.split(leads, np.flatnonzero(np.diff(leads) > margin) + 1):
+        a, b = max(0, int(group[0]) - margin), min(len(words), int(group[-1]) + size + margin)
+        place = np.minimum(np.searchsorted(kinds, words[a:b]), len(kinds) - 1)
+        y = np.where(kinds[place] == words[a:b], place, -1)
+        # a score is at most the number of words in common, of the passage and of the item
+        if (y >= 0).sum() < least * size or np.isin(x, y).sum() < least * size:
             continue
-        number = {w: i for i, w in enumerate(dict.fromkeys(item))}
-        x = np.array([number[w] for w in item])
-        y = np.array([number.get(w, -1) for w in passage])
         ends = local_scores(x, y)
         end = int(np.argmax(ends))
         if ends[end] >= least * size and (top is None or ends[end] > top[0]):
@@ -118,58 +117,52 @@ def align(item, words, leads, least):
     return top and (top[0] / size, top[1], top[2])
 
 
-def score_pairs(least):
+def find_items(items, least):
+    """The pairs of texts (second column) and items that score ``least`` or more."""
     def run(batches):
-        for batch in batches:
-            out = []
-            last = None
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in ("key", "id", "item")}
-                key = row["key"].as_py()
-                if last is None or last[0] != key:
-                    last = (key, words_of(batch.column("text")[i].as_py()))
-                found = align(words_of(batch.column("item_text")[i].as_py()), last[1], batch.column("leads")[i].as_py(), least)
-                if found:
-                    out.append((row["id"].as_py(), row["item"].as_py(), *found))
-            columns = list(zip(*out)) or [[]] * 5
+        block = items.value
+        for part in slices(batches, 1):
+            rows, found = [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                words = hashed(text)
+                for item, leads in block.leads(words):
+                    if score := align(block.words[item], words, leads, least):
+                        rows.append(i)
+                        found.append((item, *score))
+            item, score, first, end = list(zip(*found)) or [[]] * 4
             yield pa.record_batch({
-                "id": pa.array(columns[0], batch.column("id").type), "item": pa.array(columns[1], batch.column("item").type),
-                "score": pa.array(columns[2], pa.float64()), "first_word": pa.array(columns[3], pa.int64()),
-                "end_word": pa.array(columns[4], pa.int64())})
+                "id": part.column(0).take(pa.array(rows, pa.int64())), "item": block.names.take(pa.array(item, pa.int64())),
+                "score": pa.array(score, pa.float64()), "first_word": pa.array(first, pa.int64()),
+                "end_word": pa.array(end, pa.int64())})
     return run
 
 
-def contaminated(docs, benchmark, n=SEED_WORDS, rare=RARE, least=SCORE, id_col="doc_id", text_col="text",
+def contaminated(docs, benchmark, n=SEED_WORDS, least=SCORE, id_col="doc_id", text_col="text",
                  item_col="item_id", item_text_col="text"):
     """(id, item, score, first_word, end_word) for documents that hold at least a share ``least`` of an item.
 
-    Words are runs of letters and digits, lower-cased.  A seed is an n-gram of an item that few documents
-    hold: at most ``rare``, or at most as many as half of the item's n-grams, so that an item that was
-    copied often keeps seeds.  Document counts are over all documents.  Null texts hold nothing; items
-    of fewer than n words have no seeds and are found nowhere; items of equal text are found each.
-    Repeated rows give one row per id and item, that of the best score.  Other columns are ignored.
+    Words are runs of letters and digits, lower-cased, compared by 64-bit fingerprints.  Every document is
+    matched with every n-gram of the items, however many documents hold it, and each item that shares an
+    n-gram is aligned inside the task, unless it has too few words in common to reach ``least``.  A passage
+    that shares no n words in a row with the item is not found.  Null texts hold nothing; items of fewer
+    than n words are found nowhere; items of equal text are found each.  Repeated rows give one row per id
+    and item, that of the best score.  Other columns are ignored.
+
+    The items are broadcast, in blocks of about ``BLOCK_WORDS`` words; the documents are read once a block.
     """
-    docs = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("key"), F.col(id_col).alias("id"),
-                       F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("item_text")).filter(
         "item_text is not null").distinct()
     kind, item_kind = (d.schema[0].dataType.simpleString() for d in (docs.select("id"), items.select("item")))
 
-    grams = stored(items.mapInArrow(item_grams(n), f"item {item_kind}, gram bigint, spot int"), "grams")
-    bits = bit_table(grams, "gram")
-    counts = docs.select("text").mapInArrow(count_grams(n, bits), "gram bigint, n bigint")
-    counts = grams.select("gram").distinct().join(counts, "gram").groupBy("gram").agg(F.sum("n").alias("df"))
-    known = stored(grams.join(counts, "gram"), "counted")
-    middle = known.groupBy("item").agg(F.percentile("df", 0.5).alias("middle"))
-    seeds = stored(known.join(middle, "item").filter(F.col("df") <= F.greatest(F.lit(float(rare)), "middle"))
-                   .select("gram", "item", "spot"), "seeds")
-    seed_bits = bit_table(seeds, "gram")
-
-    texts = stored(docs.mapInArrow(find_seeds(n, seed_bits), f"key bigint, id {kind}, text string, hits {HIT}"), "texts")
-    hits = texts.select("key", F.explode("hits").alias("hit")).select("key", "hit.gram", "hit.at")
-    leads = hits.join(seeds, "gram").groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("spot")).alias("leads"))
-    pairs = leads.join(texts.drop("hits"), "key").join(items, "item")
-    found = pairs.select("key", "id", "item", "text", "item_text", "leads").mapInArrow(
-        score_pairs(least), f"id {kind}, item {item_kind}, score double, first_word bigint, end_word bigint")
+    items = stored(items.mapInArrow(item_words, f"item {item_kind}, words array<bigint>").filter(F.size("words") >= n), "items")
+    blocks = 1 + (items.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS
+    found = None
+    for i in range(blocks):
+        block = Items(items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i).toArrow(), n)
+        part = docs.mapInArrow(find_items(spark.sparkContext.broadcast(block), least),
+                               f"id {kind}, item {item_kind}, score double, first_word bigint, end_word bigint")
+        found = part if found is None else found.unionAll(part)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("best")
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(best).select(id_col, item_col, "best.*")

@@ -324,6 +324,21 @@ def test_leaks_against_full_alignment(spark, docs, words):
     assert decontam.contaminated(docs(texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_that_many_documents_hold_edited(spark, docs, words, monkeypatch):
+    item, other = words(40, 1, 3000), words(40, 2, 3000)
+    fifth = " ".join("z" + w if i % 5 == 4 else w for i, w in enumerate(item.split()))
+    half = " ".join(other.split()[:20])
+    fill = [words(50, 100 + i).replace("w", "f") for i in range(90)]
+    texts = [item] + [f"{f} {fifth} {f}" for f in fill[:40]] + [f"{f} {half}" for f in fill[40:80]] + fill[81:] + [other]
+    bench = spark.createDataFrame([(0, item), (1, other), (2, item)], "item_id long, text string")
+    # seven changes inside the aligned words, the eighth stands behind them
+    want = {(d, i, 25 / 40 if d else 1.0) for d in range(41) for i in (0, 2)} | {(d, 1, 0.5) for d in range(41, 81)} | {(90, 1, 1.0)}
+    for size in (decontam.BLOCK_WORDS, 40):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", size)
+        got = decontam.contaminated(docs(texts), bench).collect()
+        assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 def test_pipeline_against_plain_loops(spark, library_tokens):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
