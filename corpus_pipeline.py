@@ -16,10 +16,16 @@ MIN_SCORE = 0.1
 def identify_language(spark, docs, sf_dir):
     """Documents without letters, or far from every profile, go; ``lang`` is what was identified.
 
-    Profiles are learnt from the labelled documents; without labels there is no model, and all go.
+    Profiles, and the least score of each language, are learnt from the labelled documents; without labels
+    there is no model, and all go.  ``MIN_SCORE`` is the floor, and stands alone for a language with too few
+    documents to learn from.
     """
     found = langid.identify(docs, langid.learn(docs))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    # stored first, as a broadcast has a time limit
+    least = stored(langid.least_scores(docs), "least").select(F.col("lang_pred").alias("__of"), "least")
+    found = found.join(F.broadcast(least), F.col("lang_pred") == F.col("__of"), "left")
+    limit = F.greatest(F.lit(MIN_SCORE), F.coalesce("least", F.lit(MIN_SCORE)))
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= limit))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

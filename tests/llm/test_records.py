@@ -108,6 +108,22 @@ def test_gram_counts_of_long_texts(monkeypatch):
     assert sorted(c for c in counts.values() if c) == sorted(whole[1].tolist())
 
 
+def test_other_languages_and_noise_are_rejected(spark, docs):
+    rng = random.Random(4)
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza",
+        "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência"]
+    other += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(n)) for n in (10, 40, 400, 4000)]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    first = 10**9
+    for label in (F.lit(None).cast("string"), F.lit("en")):
+        planted = docs(other, first).select("doc_id", label.alias("lang"), "text")
+        kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, real.unionAll(planted), SF).select("doc_id").collect()}
+        assert kept == {r.doc_id for r in real.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+
+
 # --- similar documents -------------------------------------------------------------------------
 def brute_components(rows, words, percent):
     sets = []
