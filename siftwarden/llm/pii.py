@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and terms that give protected values away by how they occur with them.
 
-A protected value (an address, a number) carries ``-log(df / N)`` of information.  A term near it
-discloses ``log(both * N / (df_value * df_term))`` of that.  Where the share reaches a threshold the
-term is generalised in the documents that hold the value, and above a higher one it is removed, as
-otherwise it would still point to what was taken out.
+A protected value (an address, a number) carries ``-log(df / N)`` of information.  A term in the same
+documents, at any distance, discloses ``log(both * N / (df_value * df_term))`` of that; all three are
+numbers of documents.  Where the share reaches a threshold the term is generalised in all documents that
+hold the value, and above a higher one it is removed, as otherwise it would still point to what was
+taken out.  Terms are words of three letters or more.
 """
 
 import re
@@ -16,7 +17,6 @@ from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, Str
 from .common import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR_WORDS = 6
 LEAST_LENGTH = 3
 GENERALISE, REMOVE = 0.9, 0.97
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -68,39 +68,39 @@ def base_spans(text):
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def near(text, spans):
-    """(value, term) for the words within ``NEAR_WORDS`` of each protected value, other values left out."""
-    words = [m for m in WORD.finditer(text) if len(m[0]) >= LEAST_LENGTH]
+def held(text, spans):
+    """The protected values of a text, and its words outside them."""
     covered = sorted((a, b) for _, a, b in spans)
-    free, i = [], 0
-    for m in words:
+    terms, i = set(), 0
+    for m in WORD.finditer(text):
         while i < len(covered) and covered[i][1] <= m.start():
             i += 1
-        if i == len(covered) or m.end() <= covered[i][0]:
-            free.append(m)
-    from bisect import bisect_left
-    starts, out = [m.start() for m in free], set()
+        if len(m[0]) >= LEAST_LENGTH and (i == len(covered) or m.end() <= covered[i][0]):
+            terms.add(m[0].lower())
+    values = set()
     for kind, a, b in spans:
         value = text[a:b].lower() if kind in ("email", "ip") else NOT_DIGIT.sub("", text[a:b])
-        out.add((f"{kind}:{value}", ""))
-        at, after = bisect_left(starts, a), bisect_left(starts, b)
-        for m in free[max(0, at - NEAR_WORDS):at] + free[after:after + NEAR_WORDS]:
-            out.add((f"{kind}:{value}", m[0].lower()))
-    return out
+        values.add(f"{kind}:{value}")
+    return values, terms
+
+
+def near(text, spans):
+    """(value, term) for each value and each word of a text; the empty term stands for the value itself."""
+    values, terms = held(text, spans)
+    return {(v, t) for v in values for t in (*terms, "")}
 
 
-def pairs_of(batches):
-    """One row per document, value and near term; the empty term stands for the value itself."""
+def held_of(batches):
+    """Values and terms of each document that has values."""
     for part in slices(batches, 1):
         keys, values, terms = [], [], []
         for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            spans = base_spans(text)
-            for value, term in near(text, spans) if spans else ():
+            if spans := base_spans(text):
                 keys.append(key)
-                values.append(value)
-                terms.append(term)
-        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "value": pa.array(values, pa.string()),
-                               "term": pa.array(terms, pa.string())})
+                for out, found in zip((values, terms), held(text, spans)):
+                    out.append(sorted(found))
+        kind = pa.list_(pa.string())
+        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "values": pa.array(values, kind), "terms": pa.array(terms, kind)})
 
 
 def terms_of(batches):
@@ -139,18 +139,30 @@ def sanitise(docs, id_col="doc_id", text_col="text", generalise=GENERALISE, remo
     may = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
     rows = docs.filter(may)
 
-    pairs = stored(rows.select("__key", text_col).mapInArrow(pairs_of, "key bigint, value string, term string"), "pairs")
+    texts = rows.select("__key", text_col).mapInArrow(held_of, "key bigint, values array<string>, terms array<string>")
+    # rows of one key have one text
+    texts = stored(texts.groupBy("key").agg(F.any_value("values").alias("values"), F.any_value("terms").alias("terms"),
+                                            F.count(F.lit(1)).alias("n")), "held")
     total = float(docs.count())
-    both = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both"))
-    values = both.filter("term = ''").select("value", F.col("both").alias("df_value"))
-    wanted = both.filter("term <> ''")
+    values = texts.select("key", "n", F.explode("values").alias("value"))
+    counts = values.groupBy("value").agg(F.sum("n").alias("df_value")).filter(F.col("df_value") < total)
+    values = values.join(counts, "value")
+    # no term of more documents can reach the share, as it cannot be with the value in more than its own
+    values = stored(values.withColumn("most", F.pow("df_value", F.lit(generalise)) * total ** (1 - generalise) * (1 + 1e-9)), "values")
+    most = values.agg(F.max("most")).first()[0] or 0.0
     terms = (docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(terms_of, "term string, n bigint")
-             .groupBy("term").agg(F.sum("n").alias("df_term")))
+             .groupBy("term").agg(F.sum("n").alias("df_term")).filter(F.col("df_term") <= most))
+    terms = stored(texts.select("key", F.explode("terms").alias("term")).join(terms, "term"), "terms")
+    # the term of one document discloses all of any value there
+    single = terms.filter("df_term = 1").join(values.select("key").distinct(), "key", "left_semi").select(
+        "key", "term", F.lit(1.0).alias("share"))
+    pairs = stored(terms.filter("df_term > 1").join(values, "key").filter(F.col("df_term") <= F.col("most")).select(
+        "key", "n", "value", "term", "df_value", "df_term"), "pairs")
+    both = pairs.groupBy("value", "term", "df_value", "df_term").agg(F.sum("n").alias("both"))
     disclosed = F.log(F.col("both") * total / (F.col("df_value") * F.col("df_term")))
     share = disclosed / F.log(F.lit(total) / F.col("df_value"))
-    telling = wanted.join(terms, "term").join(values, "value").filter(F.col("df_value") < total).select(
-        "value", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    told = pairs.join(telling, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    telling = both.select("value", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    told = pairs.join(telling, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")).unionAll(single)
     told = told.groupBy("key").agg(F.collect_list(F.struct(
         "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("__told"))
 

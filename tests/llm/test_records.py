@@ -304,6 +304,16 @@ def test_disclosing_terms(docs, words):
     assert pii.sanitise(docs([])).count() == 0
 
 
+def test_terms_disclose_at_any_distance(docs, words):
+    fill = [f"alpha bravo {words(30, s, 20)} charlie" for s in range(60)]
+    far = " alpha bravo charlie" * 20
+    texts = fill + [f"Miriam Quastel{far} m.q@mail.example.org", f"Orsolya Tamm 10.20.30.40{far}", f"10.20.30.40{far} Orsolya Tamm"]
+    for more in ([], texts[-1:] * 2):
+        out = [r.clean_text for r in pii.sanitise(docs(texts + more)).collect()]
+        assert sum("alpha" in t for t in out) == len(texts + more)
+        assert not any(name in t for t in out for name in ("Miriam", "Quastel", "Orsolya", "Tamm"))
+
+
 # --- benchmark leaks ---------------------------------------------------------------------------
 def brute_score(item, text):
     x, y = decontam.words_of(item), decontam.words_of(text or "")
