@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, packing, pii, rollup, sharding, suffix
+from . import ann, chat, decontam, jaccard, langid, mixing, packing, pii, repair, rollup, search, sharding, suffix
 from .common import shared_dir, stored
 
 QUERIES, SQL = {}, {}
@@ -153,3 +153,64 @@ def _(spark, sf):
     for name, changes in (("load", load), ("recount", recount), ("load", load), ("dedup", drop)):
         totals.commit(name, changes)
     return totals.totals()
+
+
+@query("op11_conversation_repair")
+def _(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    told = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    turns = turns.withColumn("damage", F.crc32(told) % 20)
+    text, role = (F.coalesce(c, F.lit(" ")) for c in ("text", "role"))
+    turns = turns.withColumns({
+        "text": F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text),
+        "role": F.when(F.col("damage") == 4, "user").otherwise(role),
+        "copy": F.explode(F.sequence(F.lit(1), F.when(F.col("damage") == 3, 2).otherwise(1)))})
+    return repair.repair(turns, gone=F.col("damage") == 0, texts=False)
+
+
+@query("op12_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS place
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END
+  AS weight FROM s),
+f AS (SELECT *, source_size * 3.0::DOUBLE AS most, row_number() OVER o AS turn,
+    ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(source_size * 3.0::DOUBLE) OVER b, 0))
+    / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS level FROM w
+  WINDOW o AS (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST),
+    b AS (ORDER BY source_size * 3.0::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(most, weight * (SELECT arg_min(level, turn) FROM f WHERE level * weight <= most)) AS target
+  FROM f),
+r AS (SELECT d.doc_id, d.size, d.place, t.source, t.source_size, t.target,
+    CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS rounds,
+    CAST(sum(d.size) OVER (PARTITION BY t.source ORDER BY d.place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+    - d.size AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, rounds * size + greatest(0, least(size,
+  CAST(floor(target) AS BIGINT) - rounds * source_size - before)) AS taken FROM r
+""")
+def _(spark, sf):
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS MATERIALIZED (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS length FROM n),
+w AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT total FROM a) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT)
+  AS w FROM tf GROUP BY term),
+c AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // length)) AS c
+  FROM tf JOIN n USING (doc_id), a),
+s AS (SELECT item_id, doc_id, CAST(sum(w * c) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN c USING (term)
+  GROUP BY item_id, doc_id HAVING sum(w * c) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""")
+def _(spark, sf):
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_decontamination": "doc_id item_id score first_word end_word",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12_mixing": "doc_id size source_size target taken",
+    "op13_lexical_search": "item_id rank doc_id score",
 }
 
 
