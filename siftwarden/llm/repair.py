@@ -38,6 +38,7 @@ KEPT = np.array([[1, -1, -1, -1], [2, 2, -1, 2], [-1, -1, 3, -1], [-1, -1, -1, -
 LETTERS = np.frombuffer(b"DIKR", np.uint8)
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 BLANK, REPEATED, CUT_OFF = 4, 8, 16
+CARRIED = ("conv", "at", "roles", "texts", "low", "high", "turns")
 END_COSTS, END_EDITS = (0, 2 * INSERT, INSERT, 0), (b"", b"II", b"I", b"")
 
 
@@ -248,7 +249,7 @@ def solve(batches):
         state = np.arange(len(stretch)) - np.repeat(np.cumsum(states) - states, states)
         cuts = np.concatenate([[0], np.cumsum(states)]).astype(np.int32)
         audits = pa.ListArray.from_arrays(pa.array(cuts), pa.array(graph.audits(stretch, state), pa.binary()))
-        kept = [n for n in batch.schema.names if n in ("conv", "at", "roles", "texts", "low", "high", "turns")]
+        kept = list(CARRIED)
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(codes, pa.binary()), audits],
                                          names=[*kept, "codes", "audits"])
 
@@ -382,7 +383,7 @@ def repair(turns, conv_col="conv_id", turn_col="turn", role_col="role", text_col
     parts = parts.join(exits, "at")
 
     def solved(rows):
-        kept = [f for f in pieces_schema(kind).fields if f.name in ("conv", "at", "roles", "texts", "low", "high", "turns")]
+        kept = [pieces_schema(kind)[n] for n in CARRIED]
         return rows.mapInArrow(solve, StructType([*kept, StructField("codes", BinaryType()), StructField("audits", ArrayType(BinaryType()))]))
 
     fields = [StructField("conv", kind), *[StructField(n, LongType()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
