@@ -155,7 +155,64 @@ def _(spark, sf):
     return totals.totals()
 
 
-@query("op11_conversation_repair")
+def _repair_sql():
+    """Forward over the rows: the least (cost, audit, lines) on the way to each state, in one row a conversation."""
+    def pack(x, cost, letter, line="''"):
+        return f"struct_pack(c := {x}.c + {cost}, w := {x}.w || '{letter}', o := {x}.o || {line})"
+
+    def kept(x, initial):
+        return f"CASE WHEN free AND role[1:1] = '{initial}' THEN {pack(x, 'more', 'K', line)} ELSE far END"
+
+    def reroled(x, role):
+        return f"CASE WHEN free THEN {pack(x, '1 + more', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} ELSE far END"
+
+    def inserted(x, role):
+        return pack(x, 5, "I", f"chr(10) || '{role}:'")
+
+    line = "chr(10) || role || ':' || text"
+    crc = ("list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: "
+           "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))")
+    white = "[\\x20\\x09-\\x0D]"
+    before = {"e": pack("e", 2, "D"), "s": f"least({pack('s', 2, 'D')}, {kept('e', 's')})",
+              "u": f"least({pack('u', 2, 'D')}, {', '.join(kept(x, 'u') for x in 'esa')}, {', '.join(reroled(x, 'user') for x in 'esa')})",
+              "a": f"least({pack('a', 2, 'D')}, {kept('u', 'a')}, {reroled('u', 'assistant')})"}
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor({crc}, 4294967295) % 20 AS hit FROM d),
+x AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN
+    regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(generate_series(1, CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE hit <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM x),
+r AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?]{white}*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair FROM n),
+c AS (SELECT conv_id, CAST(max(turn) - min(turn) + 1 - count(DISTINCT turn) AS BIGINT) AS gaps, count_if(fault = 'blank') AS blank,
+    count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM r GROUP BY conv_id),
+w(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, struct_pack(c := 0::BIGINT, w := '', o := ''), struct_pack(c := 1000000000::BIGINT, w := '', o := ''),
+    struct_pack(c := 5::BIGINT, w := 'I', o := chr(10) || 'user:'), struct_pack(c := 10::BIGINT, w := 'II', o := chr(10) || 'user:'
+    || chr(10) || 'assistant:') FROM c
+  UNION ALL
+  SELECT conv_id, i, e, s, least(u, {inserted('a', 'user')}) AS u, a FROM (
+    SELECT conv_id, i, e, s, u, least(a, {inserted('u', 'assistant')}) AS a FROM (
+      SELECT conv_id, i, e, s, least(u, {', '.join(inserted(x, 'user') for x in 'esa')}) AS u, a FROM (
+        SELECT conv_id, i, {', '.join(f'{sql} AS {name}' for name, sql in before.items())} FROM (
+          SELECT w.conv_id, r.i, e, s, u, a, role, text, fault NOT IN ('blank', 'duplicate') AS free,
+            CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, struct_pack(c := 1000000000::BIGINT, w := '', o := '') AS far
+          FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))))),
+z AS (SELECT w.conv_id, least(e, a) AS best FROM w JOIN c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.rows)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.w, '') AS audit,
+  sha256(coalesce(best.o[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN z ON o.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+@query("op11_conversation_repair", _repair_sql())
 def _(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     told = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
