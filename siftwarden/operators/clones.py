@@ -3,7 +3,7 @@
 A file is cut into blocks of 20 tokens with a stride of 10; names, numbers and strings are
 folded.  Two blocks are alike by the Jaccard similarity of their token sets, so only the
 *distinct* token sets of a file are compared, and the number of block pairs follows from how
-often each set occurs.  Sets are compared only when they share a token of their prefix, which
+often each set occurs.  Sets are compared only when they share tokens of their prefix, which
 every pair at or above the threshold does: exact, and neither a cross join nor a list of all pairs.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..session import spread
+from ..session import materialize, spread
 
 BLOCK = 20
 STRIDE = 10
@@ -50,67 +50,102 @@ def _folded(t):
             f"when {t} rlike '^\\\\p{{N}}' then 'NUM' else {t} end")
 
 
-def blocks(files, min_tokens=BLOCK, with_lines=True) -> DataFrame:
-    """(id, block, line, normalized, token_set) of every block."""
-    if min_tokens > BLOCK:
-        return files.select("id", F.lit(0).alias("block"), F.lit(1).alias("line"), F.lit("").alias("normalized"),
-                            F.array(F.lit("")).alias("token_set")).where("false")
+# SQL of the blocks of a file in order, as an array of (line, end, part)
+CUT = (f"if(size(tokens) > {BLOCK}, transform(sequence(0, size(tokens) - {BLOCK} - 1, {STRIDE}), i -> named_struct("
+       f"'line', tokens[i].line, 'end', tokens[i + {BLOCK - 1}].line, "
+       f"'part', transform(slice(tokens, i + 1, {BLOCK}), x -> x.t))), array())")
+
+
+def _tokens(files, min_tokens, with_lines):
+    """(id, tokens): the folded tokens of each file in order, as an array of (t, line)."""
     files = spread(files.select("id", "text").where("id is not null and text is not null"))
     found = files.withColumn("found", F.regexp_extract_all("text", F.lit(token_pattern()), F.lit(0)))
     if with_lines:
         found = found.withColumn("gaps", F.split("text", token_pattern(), -1))
         tokens = (f"if(size(found) > {BLOCK}, transform({text.spans('gaps', 'found')}, s -> named_struct("
-                  f"'t', {_folded('s.matched')}, 'line', s.line)), array())")
+                  f"'t', {_folded('s.matched')}, 'line', cast(s.line as int))), array())")
     else:
-        tokens = f"transform(found, t -> named_struct('t', {_folded('t')}, 'line', 0L))"
-    # a file without a block yields no row; a filter here would run the tokenizer a second time
-    cut = (f"if(size(tokens) > {BLOCK}, transform(sequence(0, size(tokens) - {BLOCK} - 1, {STRIDE}), i -> named_struct("
-           f"'line', tokens[i].line, 'part', transform(slice(tokens, i + 1, {BLOCK}), x -> x.t))), array())")
+        tokens = f"transform(found, t -> named_struct('t', {_folded('t')}, 'line', 0))"
+    found = found if min_tokens <= BLOCK else found.where("false")
+    return found.select("id", F.expr(tokens).alias("tokens"))
+
+
+def blocks(files, min_tokens=BLOCK, with_lines=True) -> DataFrame:
+    """(id, block, line, end, normalized, token_set) of every block; lines are those of its first and last token."""
     token_set = F.coalesce(F.sort_array(F.array_distinct("b.part")), F.array().cast("array<string>"))
-    return found.select("id", F.expr(tokens).alias("tokens")).select(
-        "id", F.posexplode(F.expr(cut)).alias("block", "b")).select(
-        "id", "block", F.col("b.line").cast("int").alias("line"),
-        F.array_join("b.part", " ").alias("normalized"), token_set.alias("token_set"))
+    # a file without a block yields no row; a filter here would run the tokenizer a second time
+    return _tokens(files, min_tokens, with_lines).select("id", F.posexplode(F.expr(CUT)).alias("block", "b")).select(
+        "id", "block", "b.line", "b.end", F.array_join("b.part", " ").alias("normalized"), token_set.alias("token_set"))
 
 
-def _similar_sets(sets, keys, threshold) -> DataFrame:
-    """Pairs of different token sets at or above the threshold, by their prefixes.
+# Fixed value: tokens that most blocks hold; they come last, so that they seldom fall into a prefix.
+COMMON = ["{", "}", "[", "]", ":", "=", '"', "-", ";", "(", ")", "STR", "NUM", ".", ",", "ID"]
 
-    ``sets`` has (keys, token_set, info).  The tokens are ordered by how rare they tend to be: folded
-    tokens and common punctuation come last, so that they seldom fall into a prefix.
-    """
-    common = "array('{', '}', '[', ']', ':', '=', '\"', '-', ';', '(', ')', 'STR', 'NUM', '.', ',', 'ID')"
-    ordered = f"concat(array_except(token_set, {common}), array_intersect({common}, token_set))"
-    length = f"size(token_set) - cast(ceil({threshold} * size(token_set) - 1e-9) as int) + 1"
-    prefixed = sets.withColumn("o", F.expr(ordered)).select(
-        *keys, "token_set", "o", "info", F.explode(F.expr(f"slice(o, 1, {length})")).alias("token"))
-    side = lambda k: prefixed.select(*keys, "token", F.col("token_set").alias(f"s{k}"), F.col("o").alias(f"o{k}"),
-                                     F.col("info").alias(f"i{k}"))
-    sizes = (f"least(size(s1), size(s2)) >= {threshold} * greatest(size(s1), size(s2)) - 1e-9")
-    shared = "array_intersect(o1, o2)"
-    similarity = f"size({shared}) / cast(size(s1) + size(s2) - size({shared}) as double)"
-    # a pair meets at each shared prefix token; it is kept at the first one only
-    return side(1).join(side(2), [*keys, "token"]).where("s1 < s2").where(sizes).where(f"token = {shared}[0]").withColumn(
-        "similarity", F.expr(similarity)).where(F.col("similarity") >= threshold).drop("token", "o1", "o2")
+
+def let(value, name, body):
+    """An SQL expression with a value computed once and bound to a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _runs(array, key):
+    """Array of runs (arrays) of a sorted array whose elements agree in ``key`` of ``x``."""
+    same = key.format("a[i]"), key.format("a[i - 1]")
+    starts = f"filter(sequence(0, size(a) - 1), i -> i = 0 or {same[0]} <> {same[1]})"
+    runs = "transform(starts, (s, k) -> slice(a, s + 1, coalesce(get(starts, k + 1), size(a)) - s))"
+    return let(array, "a", f"if(size(a) = 0, slice(array(a), 1, 0), {let(starts, 'starts', runs)})")
+
+
+def _prefix(ordered, threshold):
+    """The tokens of which two similar sets share at least one."""
+    return f"slice({ordered}, 1, size({ordered}) - cast(ceil({threshold} * size({ordered}) - 1e-9) as int) + 1)"
 
 
 def clone_pairs(files, min_similarity=MIN_SIMILARITY, min_tokens=BLOCK, with_lines=True) -> DataFrame:
     """Similar blocks of each file, one row per pair of token sets.
 
-    ``blocks1`` and ``blocks2`` list (block, line); equal sets have one row with ``blocks2`` null.
-    ``pairs`` is the number of block pairs the row stands for, ``token_count`` the block size.
+    ``blocks1`` and ``blocks2`` list (block, line, end); equal sets have one row with ``blocks2`` null.
+    ``pairs`` is the number of block pairs the row stands for, ``token_count`` the block size;
+    ``clone_locations`` lists the pairs.
+
+    A file is paired inside its row: blocks are sorted by token set, runs of equal sets numbered, and an
+    inverted index from prefix tokens to set numbers says which sets are compared.  Nothing is shuffled.
     """
-    grouped = blocks(files, min_tokens, with_lines).groupBy("id", "token_set").agg(
-        F.array_sort(F.collect_list(F.struct("block", "line"))).alias("info"))
-    same = grouped.where(F.size("info") > 1).select(
-        "id", F.col("info").alias("blocks1"), F.lit(None).cast(grouped.schema["info"].dataType).alias("blocks2"),
-        F.lit(1.0).alias("similarity"),
-        F.expr("cast(size(info) as bigint) * (size(info) - 1) div 2").alias("pairs"))
-    near = _similar_sets(grouped, ["id"], min_similarity).select(
-        "id", F.col("i1").alias("blocks1"), F.col("i2").alias("blocks2"), "similarity",
-        F.expr("cast(size(i1) as bigint) * size(i2)").alias("pairs"))
-    return same.unionByName(near).withColumns({
-        "clone_type": F.expr(scalars.clone_type("similarity")), "token_count": F.lit(BLOCK)})
+    common = "array(" + ", ".join(f"'{c}'" for c in COMMON) + ")"
+    block = ("named_struct('s', sort_array(array_distinct(b.part)), 'at', "
+             "named_struct('block', i, 'line', b.line, 'end', b.end))")
+    # sets: (o, at): tokens, rarest kinds first, and the blocks that have them
+    sets = (f"transform({_runs(f'array_sort(transform(bs, (b, i) -> {block}))', '{}.s')}, r -> named_struct("
+            f"'o', concat(array_except(r[0].s, {common}), array_intersect({common}, r[0].s)), 'at', transform(r, x -> x.at)))")
+    entries = f"array_sort(flatten(transform(sets, (v, i) -> transform({_prefix('v.o', min_similarity)}, t -> named_struct('t', t, 'i', i)))))"
+    index = let(_runs(entries, "{}.t"), "rs", "map_from_arrays(transform(rs, r -> r[0].t), transform(rs, r -> transform(r, e -> e.i)))")
+    shared = "size(array_intersect(v.o, sets[j].o))"
+    similarity = let(shared, "n", "n / cast(size(v.o) + size(sets[j].o) - n as double)")
+    met = f"filter(array_distinct(flatten(transform({_prefix('v.o', min_similarity)}, t -> index[t]))), j -> j > i)"
+    near = (f"flatten(transform(sets, (v, i) -> filter(transform({met}, j -> named_struct('blocks1', v.at, 'blocks2', sets[j].at, "
+            f"'similarity', {similarity})), p -> p.similarity >= {min_similarity})))")
+    same = ("transform(filter(sets, v -> size(v.at) > 1), v -> named_struct('blocks1', v.at, 'blocks2', "
+            "cast(null as array<struct<block:int,line:int,end:int>>), 'similarity', cast(1 as double)))")
+    rows = _tokens(files, min_tokens, with_lines).select("id", F.expr(CUT).alias("bs")).select("id", F.expr(sets).alias("sets"))
+    rows = rows.select("id", F.inline(F.expr(f"concat({same}, {let(index, 'index', near)})")))
+    pairs = "if(blocks2 is null, cast(size(blocks1) as bigint) * (size(blocks1) - 1) div 2, cast(size(blocks1) as bigint) * size(blocks2))"
+    return rows.withColumns({"pairs": F.expr(pairs), "clone_type": F.expr(scalars.clone_type("similarity")),
+                             "token_count": F.lit(BLOCK)})
+
+
+def clone_locations(pairs) -> DataFrame:
+    """(id, block1, line1, end1, block2, line2, end2, similarity, clone_type) of every pair of blocks, earlier block first.
+
+    There are as many rows as block pairs, as many as the square of a file's equal blocks.
+    """
+    first = pairs.select("id", "similarity", "clone_type", "blocks1", "blocks2", F.posexplode("blocks1").alias("i", "x"))
+    # of equal sets each pair once
+    other = F.expr("if(blocks2 is null, slice(blocks1, i + 2, size(blocks1)), blocks2)")
+    both = first.select("id", "similarity", "clone_type", "x", F.explode(other).alias("y"))
+    swap = F.col("x.block") > F.col("y.block")
+    one, two = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    return both.select("id", one.alias("one"), two.alias("two"), "similarity", "clone_type").select(
+        "id", *[F.col(f"{side}.{c}").alias(f"{c}{k}") for k, side in ((1, "one"), (2, "two")) for c in ("block", "line", "end")],
+        "similarity", "clone_type")
 
 
 def clone_findings(pairs) -> DataFrame:
@@ -131,13 +166,69 @@ def clone_groups_across(files, min_tokens=BLOCK) -> DataFrame:
         F.count("*").alias("blocks"), F.countDistinct("id").alias("files"), F.min("id").alias("first_id")).where("blocks > 1")
 
 
+# A key that more sets share is dealt over blocks of about so many.
+HOT_SETS = 1024
+
+
+def _banded(size, threshold):
+    """SQL of the number of the band of a set size: sets that are similar lie in one band or in neighbours."""
+    lows, low = [], 1
+    while low <= BLOCK:
+        lows.append(low)
+        low = int(low / threshold + 1e-9) + 1
+    return " + ".join(f"if({size} >= {x}, 1, 0)" for x in lows)
+
+
+def near_candidates(sets, threshold=MIN_SIMILARITY, hot=HOT_SETS) -> DataFrame:
+    """(x, y, band, a, b): pairs of sets (id, o, ...) that meet at a key, kept only if similar; each pair once.
+
+    ``o`` holds the tokens by measured frequency, rarest first.  Two different sets above a threshold of one half
+    have two tokens in common among their first ``n - ceil(threshold n) + 2``, so the key is two tokens and a band
+    of sizes; a set takes part in its band and in the next.  A key of more than ``hot`` sets is dealt over pairs of
+    blocks of them.  The join itself compares, so pairs that are not similar do not leave it.
+    """
+    prefix = f"slice(o, 1, size(o) - cast(ceil({threshold} * size(o) - 1e-9) as int) + 2)"
+    keys = let(prefix, "p", "flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), b -> named_struct('a', a, 'b', b))))")
+    keyed = sets.select("id", "o", F.explode(F.expr(f"array({_banded('size(o)', threshold)}, {_banded('size(o)', threshold)} + 1)")).alias("band"),
+                        F.expr(keys).alias("keys")).select("id", "o", "band", F.inline("keys"))
+    crowd = keyed.groupBy("band", "a", "b").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    blocks_of = F.expr(f"cast(ceil(crowd / {hot}) as int)")
+    dealt = keyed.join(crowd, ["band", "a", "b"]).withColumn("n", blocks_of).withColumn("own", F.expr("pmod(xxhash64(id), n)"))
+    dealt = dealt.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("with")).select(
+        "id", "o", "band", "a", "b", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    shared = "size(array_intersect(x.o, y.o))"
+    # a pair meets in the band of the larger set; of the keys it shares the first counts
+    larger = _banded("greatest(size(x.o), size(y.o))", threshold)
+    first = "array_intersect(x.o, y.o)[0] = x.a and array_intersect(x.o, y.o)[1] = x.b"
+    meet = ("x.band = y.band and x.a = y.a and x.b = y.b and x.low = y.low and x.high = y.high and x.id < y.id "
+            "and (x.low = x.high or x.own <> y.own)")
+    fits = (f"least(size(x.o), size(y.o)) >= {threshold} * greatest(size(x.o), size(y.o)) - 1e-9 and x.band = {larger} and {first} "
+            f"and {shared} >= {threshold} * (size(x.o) + size(y.o) - {shared}) - 1e-9")
+    return x.join(y, F.expr(f"{meet} and {fits}")).select(
+        F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.expr(f"{shared} / cast(size(x.o) + size(y.o) - {shared} as double)").alias("similarity"))
+
+
 def near_clones_across(files, min_similarity=MIN_SIMILARITY, min_tokens=BLOCK) -> DataFrame:
     """Similar token sets over the whole table, with the number of blocks on each side.
 
-    Only distinct token sets are compared, so copies of a file do not add pairs.
+    Only distinct token sets are compared, so copies of a file do not add pairs.  The tokens of a set are ordered by
+    how many sets hold them.  The threshold is above one half.
     """
-    sets = blocks(files, min_tokens, with_lines=False).groupBy("token_set").agg(
-        F.count("*").alias("info"))
-    return _similar_sets(sets, [], min_similarity).select(
-        F.col("s1").alias("set1"), F.col("s2").alias("set2"), F.col("i1").alias("blocks1"),
-        F.col("i2").alias("blocks2"), "similarity", F.expr(scalars.clone_type("similarity")).alias("clone_type"))
+    if min_similarity <= 0.5:
+        raise ValueError("near clones need a similarity above 0.5")
+    sets = blocks(files, min_tokens, with_lines=False).groupBy("token_set").agg(F.count("*").alias("blocks"))
+    # written, as the numbers have to be the same wherever they are read
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()))
+    # as many rows as kinds of tokens: keywords and single characters
+    held = sets.select("id", F.explode("token_set").alias("token"))
+    frequency = held.groupBy("token").agg(F.count("*").alias("sets"))
+    ordered = held.join(frequency, "token").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("sets", "token"))), lambda t: t.token).alias("o"))
+    pairs = near_candidates(materialize(ordered), min_similarity)
+    side = lambda k, name: sets.select(F.col("id").alias(name), F.col("token_set").alias(f"set{k}"), F.col("blocks").alias(f"blocks{k}"))
+    told = pairs.join(side(1, "x"), "x").join(side(2, "y"), "y")
+    swap = F.col("set1") > F.col("set2")
+    pick = lambda name, k: F.when(swap, F.col(f"{name}{3 - k}")).otherwise(F.col(f"{name}{k}")).alias(f"{name}{k}")
+    return told.select(pick("set", 1), pick("set", 2), pick("blocks", 1), pick("blocks", 2), "similarity",
+                       F.expr(scalars.clone_type("similarity")).alias("clone_type"))

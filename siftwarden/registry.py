@@ -941,7 +941,30 @@ _TYPE_SQL = "CASE WHEN similarity >= 0.98 THEN 1 WHEN similarity >= 0.85 THEN 2
 _IN_FILE = dict(keys="id,", left="id,", pair="x.id,", on="x.id = y.id AND")
 
 
-@query("clone_pairs", _blocks(source=PAGES, **_IN_FILE)
+_LINED = (f"WITH c AS ({DOCS}), m AS (SELECT id, regexp_extract_all(text, {O.q(clones.token_pattern(False))}) AS m, "
+          f"string_split_regex(text, {O.q(clones.token_pattern(False))}) AS g FROM c), "
+          "u AS (SELECT id, unnest(m) AS x, unnest(g[1:len(m)]) AS gap, unnest(generate_series(0, len(m) - 1)) AS k FROM m WHERE len(m) > 20), "
+          f"t AS MATERIALIZED (SELECT id, k, {_FOLD_SQL} AS x, CAST(1 + sum(length(gap) - length(replace(gap, chr(10), ''))) OVER o "
+          "+ coalesce(sum(length(x) - length(replace(x, chr(10), ''))) OVER p, 0) AS INTEGER) AS line FROM u WINDOW "
+          "o AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING), "
+          "p AS (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+          "l AS MATERIALIZED (SELECT id, list(x ORDER BY k) AS ts, list(line ORDER BY k) AS ls FROM t GROUP BY id), "
+          "b AS MATERIALIZED (SELECT id, CAST(k // 10 AS INTEGER) AS block, ls[k + 1] AS line, ls[k + 20] AS \"end\", "
+          "list_sort(list_distinct(ts[k + 1:k + 20])) AS s FROM (SELECT id, ts, ls, unnest(generate_series(0, len(ts) - 21, 10)) AS k FROM l)), "
+          "q AS MATERIALIZED (SELECT DISTINCT id, s FROM b), "
+          "v AS (SELECT *, len(list_intersect(s1, s2))::DOUBLE / (len(s1) + len(s2) - len(list_intersect(s1, s2))) AS similarity FROM ("
+          "SELECT x.id, x.s AS s1, y.s AS s2 FROM q x JOIN q y ON x.id = y.id)) ")
+
+
+@query("clone_pairs", f"{_LINED} SELECT x.id, x.block AS block1, x.line AS line1, x.\"end\" AS end1, y.block AS block2, "
+       f"y.line AS line2, y.\"end\" AS end2, round(similarity, 9) AS similarity, {_TYPE_SQL} AS clone_type "
+       "FROM v JOIN b x ON x.id = v.id AND x.s = v.s1 JOIN b y ON y.id = v.id AND y.s = v.s2 AND x.block < y.block WHERE similarity >= 0.75")
+def _(spark, sf):
+    found = clones.clone_locations(clones.clone_pairs(documents(spark, sf)))
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("clone_pairs_pages", _blocks(source=PAGES, **_IN_FILE)
        + "SELECT id, round(similarity, 9) AS similarity, CAST(sum(pairs) AS BIGINT) AS pairs, count(*) AS set_pairs FROM p "
        "WHERE similarity >= 0.75 GROUP BY id, round(similarity, 9)")
 def _(spark, sf):
@@ -963,13 +986,21 @@ def _(spark, sf):
     return clones.clone_groups_across(documents(spark, sf))
 
 
-@query("clone_pairs_near", _blocks(source=CHATS, keys="", left="", pair="", on="")
-       + "SELECT array_to_string(s1, ' ') AS set1, array_to_string(s2, ' ') AS set2, n1 AS blocks1, n2 AS blocks2, "
-       f"round(similarity, 9) AS similarity, {_TYPE_SQL} AS clone_type FROM p WHERE similarity >= 0.75 AND s1 <> s2")
-def _(spark, sf):
-    near = clones.near_clones_across(conversations(spark, sf))
-    return near.select(F.array_join("set1", " ").alias("set1"), F.array_join("set2", " ").alias("set2"), "blocks1", "blocks2",
-                       F.round("similarity", 9).alias("similarity"), "clone_type")
+def _near(read, source):
+    sql = (_blocks(source=source, keys="", left="", pair="", on="")
+           + "SELECT array_to_string(s1, ' ') AS set1, array_to_string(s2, ' ') AS set2, n1 AS blocks1, n2 AS blocks2, "
+           f"round(similarity, 9) AS similarity, {_TYPE_SQL} AS clone_type FROM p WHERE similarity >= 0.75 AND s1 <> s2")
+
+    def run(spark, sf):
+        near = clones.near_clones_across(read(spark, sf))
+        return near.select(F.array_join("set1", " ").alias("set1"), F.array_join("set2", " ").alias("set2"), "blocks1", "blocks2",
+                           F.round("similarity", 9).alias("similarity"), "clone_type")
+    return sql, run
+
+
+for _name, _read, _source in (("clone_pairs_near", documents, DOCS), ("clone_pairs_near_conversations", conversations, CHATS)):
+    _sql, _run = _near(_read, _source)
+    query(_name, _sql)(_run)
 
 
 @query("findings_union", f"{O.findings(PII, _CODE_SQL)}, lint AS ({_lint_sql('SELECT * FROM c', _COMMON).replace('WITH c AS (SELECT * FROM c), ', 'WITH ')}) "
