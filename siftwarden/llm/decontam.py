@@ -1,84 +1,95 @@
-"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare seeds of two words find passages, Smith-Waterman alignment scores them.
 
+With a match worth 1 and every error costing 1, a passage that scores s against an item of m words has at least
+``s - 1`` pairs of neighbouring matched words, so it misses at most ``m - s`` of the item's ``m - 1`` two-grams.  Hence
+one of the ``m - s + 1`` rarest is in it: these, by the number of documents that hold them, are the item's seeds, and
+joining on them loses nothing.  The passage also spans at most ``2 m - s`` words; only where so many words hold
+``s - 1`` of the item's two-grams is anything aligned.
+"""
+
+import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored
-from .fingerprints import pair
+from .common import slices, stored
 
 WORD = re.compile(r"\w+")
-SEED_WORDS = 3
 SCORE = 0.5
 BLOCK_WORDS = 1 << 20
-HITS = 1 << 20
 
 
 def words_of(text):
     return WORD.findall(text.lower())
 
 
-def hashed(text):
-    """A fingerprint for each word."""
-    from xxhash import xxh3_64_intdigest
-
-    return np.array([xxh3_64_intdigest(w) for w in words_of(text)], dtype=np.uint64)
-
-
-def grams_of(words, n):
-    """Fingerprint of the n-gram at each word (fingerprints)."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    gram = words[:len(words) - n + 1]
-    for i in range(1, n):
-        gram = pair(gram, words[i:len(words) - n + 1 + i])
-    return mix(gram)
-
-
 def item_words(batches):
     for batch in batches:
         for part in slices([batch], 1):
-            found = [hashed(t).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["item", "words"])
+            found = [words_of(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], names=["item", "words"])
 
 
 class Items:
-    """All n-grams of a block of items, by fingerprint, with their item and place."""
-
-    def __init__(self, table, n):
-        table = table.combine_chunks()
-        self.names, self.n = table.column("item").combine_chunks(), n
-        self.words = [np.asarray(w, dtype=np.int64).view(np.uint64) for w in table.column("words").to_pylist()]
-        grams = [grams_of(w, n) for w in self.words]
-        sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
-        owner = np.repeat(np.arange(len(grams)), sizes)
-        spot = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.owner, self.spot = gram[order], owner[order], spot[order]
-        self.longest = max(map(len, self.words), default=0)
-
-    def leads(self, words):
-        """(item, places where it would start by the n-grams it shares with the text) of each item that shares any."""
-        gram = grams_of(words, self.n)
-        first = np.searchsorted(self.gram, gram, "left")
-        number = np.searchsorted(self.gram, gram, "right") - first
-        at = np.flatnonzero(number)
-        if not len(at):
-            return
-        width, codes = len(words) + self.longest + 1, np.zeros(0, np.int64)
-        ends = np.cumsum(number[at])
-        group = ends // HITS
-        for part in np.split(at, np.flatnonzero(np.diff(group)) + 1):
-            count = number[part]
-            hit = np.repeat(first[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            lead = np.repeat(part, count) - self.spot[hit] + self.longest
-            codes = np.union1d(codes, self.owner[hit] * width + lead)
-        item = codes // width
-        for part in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(item)) + 1):
-            yield int(item[part[0]]), codes[part] % width - self.longest
+    """A block of items: their words as numbers, their two-grams, and, once these are counted, their seeds."""
+
+    def __init__(self, table, least):
+        words = table.column("words").to_pylist()
+        self.names = table.column("item").combine_chunks()
+        self.number = {w: i for i, w in enumerate(sorted({w for item in words for w in item}))}
+        self.words = [np.array([self.number[w] for w in item], dtype=np.int64) for item in words]
+        self.least = [math.ceil(least * len(w) - 1e-9) for w in self.words]
+        grams = [self.grams(w) for w in self.words]
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]))
+        self.codes = [np.searchsorted(self.known, g) for g in grams]
+
+    def grams(self, words):
+        """The two-gram at each word; negative where a word is of no item."""
+        return np.where((words[:-1] >= 0) & (words[1:] >= 0), words[:-1] * len(self.number) + words[1:], -1)
+
+    def numbers(self, text):
+        found = words_of(text)
+        return np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
+
+    def hits(self, words):
+        """Places of a text's two-grams that items have, and which these are."""
+        grams = self.grams(words)
+        at = np.flatnonzero(grams >= 0)
+        code = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+        same = self.known[code] == grams[at] if len(self.known) else np.zeros(len(at), dtype=bool)
+        return at[same], code[same]
+
+    def choose_seeds(self, df):
+        """The rarest two-grams of each item, as (two-gram, item) by two-gram."""
+        seeds = [np.unique(c[np.argsort(df[c], kind="stable")[:len(c) - s + 2]]) for c, s in zip(self.codes, self.least)]
+        code = np.concatenate([np.zeros(0, np.int64), *seeds])
+        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
+        order = np.argsort(code, kind="stable")
+        self.owner = owner[order]
+        self.first = np.searchsorted(code[order], np.arange(len(self.known) + 1))
+
+    def joined(self, codes):
+        """Items that share a seed with a text of these two-grams."""
+        codes = np.unique(codes)
+        size = self.first[codes + 1] - self.first[codes]
+        at = np.repeat(self.first[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.unique(self.owner[at]).tolist()
+
+
+def count_grams(items):
+    """Documents that hold each two-gram of the items, summed inside the task."""
+    def run(batches):
+        block = items.value
+        held = np.zeros(len(block.known), dtype=np.int64)
+        for part in slices(batches, 0):
+            for text in part.column(0).to_pylist():
+                held[np.unique(block.hits(block.numbers(text))[1])] += 1
+        at = np.flatnonzero(held)
+        yield pa.record_batch({"gram": pa.array(at, pa.int64()), "df": pa.array(held[at])})
+    return run
 
 
 def local_scores(item, passage):
@@ -93,40 +104,52 @@ def local_scores(item, passage):
     return best
 
 
-def align(item, words, leads, least):
-    """Score as a share of the item's words, and the aligned words of the text; None below ``least``.
+def passages(places, size, least):
+    """Stretches (start, end in words) in which an item of ``size`` words may score ``least``, by the places of its two-grams."""
+    span = 2 * size - least
+    if least < 2 or len(places) < least - 1:
+        return
+    # the places from which the next ``least - 1`` two-grams lie within the span
+    start = places[:len(places) - least + 2]
+    start = start[places[least - 2:] + 2 - start <= span]
+    if not len(start):
+        return
+    for group in np.split(start, np.flatnonzero(np.diff(start) > span) + 1):
+        # words before the first and behind the last two-gram belong to the passage too
+        yield int(group[0]) - span, int(group[-1]) + span
 
-    ``leads`` are the places, in order, where the item would start by its n-grams; each is looked at
-    with half an item's length to either side: an alignment that scores half cannot reach beyond.
-    """
-    size, margin = len(item), len(item) // 2 + 1
+
+def align(item, words, places, least):
+    """Score, and the aligned words of the text, of the best passage; None if none scores ``least``."""
     kinds, x = np.unique(item, return_inverse=True)
     top = None
-    for group in np.split(leads, np.flatnonzero(np.diff(leads) > margin) + 1):
-        a, b = max(0, int(group[0]) - margin), min(len(words), int(group[-1]) + size + margin)
+    for a, b in passages(places, len(item), least):
+        a, b = max(a, 0), min(b, len(words))
         place = np.minimum(np.searchsorted(kinds, words[a:b]), len(kinds) - 1)
         y = np.where(kinds[place] == words[a:b], place, -1)
-        # a score is at most the number of words in common, of the passage and of the item
-        if (y >= 0).sum() < least * size or np.isin(x, y).sum() < least * size:
-            continue
         ends = local_scores(x, y)
         end = int(np.argmax(ends))
-        if ends[end] >= least * size and (top is None or ends[end] > top[0]):
+        if ends[end] >= least and (top is None or ends[end] > top[0]):
             back = local_scores(x[::-1], y[:end][::-1])
             top = (int(ends[end]), a + end - int(np.argmax(back)), a + end)
-    return top and (top[0] / size, top[1], top[2])
+    return top and (top[0] / len(item), top[1], top[2])
 
 
-def find_items(items, least):
-    """The pairs of texts (second column) and items that score ``least`` or more."""
+def find_items(items):
+    """The pairs of texts (second column) and items that score enough."""
     def run(batches):
         block = items.value
+        wanted = np.zeros(len(block.known), dtype=bool)
         for part in slices(batches, 1):
             rows, found = [], []
             for i, text in enumerate(part.column(1).to_pylist()):
-                words = hashed(text)
-                for item, leads in block.leads(words):
-                    if score := align(block.words[item], words, leads, least):
+                words = block.numbers(text)
+                at, codes = block.hits(words)
+                for item in block.joined(codes):
+                    wanted[block.codes[item]] = True
+                    places = at[wanted[codes]]
+                    wanted[block.codes[item]] = False
+                    if score := align(block.words[item], words, places, block.least[item]):
                         rows.append(i)
                         found.append((item, *score))
             item, score, first, end = list(zip(*found)) or [[]] * 4
@@ -137,18 +160,17 @@ def find_items(items, least):
     return run
 
 
-def contaminated(docs, benchmark, n=SEED_WORDS, least=SCORE, id_col="doc_id", text_col="text",
-                 item_col="item_id", item_text_col="text"):
+def contaminated(docs, benchmark, least=SCORE, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text"):
     """(id, item, score, first_word, end_word) for documents that hold at least a share ``least`` of an item.
 
-    Words are runs of letters and digits, lower-cased, compared by 64-bit fingerprints.  Every document is
-    matched with every n-gram of the items, however many documents hold it, and each item that shares an
-    n-gram is aligned inside the task, unless it has too few words in common to reach ``least``.  A passage
-    that shares no n words in a row with the item is not found.  Null texts hold nothing; items of fewer
-    than n words are found nowhere; items of equal text are found each.  Repeated rows give one row per id
-    and item, that of the best score.  Other columns are ignored.
+    Words are runs of letters and digits, lower-cased.  Items are joined with the documents that hold one of their
+    seeds and aligned where enough of their two-grams are near each other; no passage of the score is lost, however
+    many documents hold it and whatever is inserted.  Null texts hold nothing.  An item has at least three words, and
+    enough that its least score is 2; others are found nowhere.  Items of equal text are found each.  Repeated rows
+    give one row per id and item, that of the best score.  Other columns are ignored.
 
-    The items are broadcast, in blocks of about ``BLOCK_WORDS`` words; the documents are read once a block.
+    The items are broadcast in blocks of about ``BLOCK_WORDS`` words (one, for the usual benchmarks); the documents are
+    read twice a block, once to count the documents of each two-gram.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
@@ -156,12 +178,18 @@ def contaminated(docs, benchmark, n=SEED_WORDS, least=SCORE, id_col="doc_id", te
         "item_text is not null").distinct()
     kind, item_kind = (d.schema[0].dataType.simpleString() for d in (docs.select("id"), items.select("item")))
 
-    items = stored(items.mapInArrow(item_words, f"item {item_kind}, words array<bigint>").filter(F.size("words") >= n), "items")
+    items = items.mapInArrow(item_words, f"item {item_kind}, words array<string>")
+    items = stored(items.filter((F.size("words") >= 3) & (F.size("words") * least > 1 + 1e-9)), "items")
     blocks = 1 + (items.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK_WORDS
     found = None
     for i in range(blocks):
-        block = Items(items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i).toArrow(), n)
-        part = docs.mapInArrow(find_items(spark.sparkContext.broadcast(block), least),
+        block = Items(items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i).toArrow(), least)
+        counts = docs.select("text").mapInArrow(count_grams(spark.sparkContext.broadcast(block)), "gram bigint, df bigint")
+        counts = counts.groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(block.known), dtype=np.int64)
+        df[counts.column("gram").to_numpy()] = counts.column("df").to_numpy()
+        block.choose_seeds(df)
+        part = docs.mapInArrow(find_items(spark.sparkContext.broadcast(block)),
                                f"id {kind}, item {item_kind}, score double, first_word bigint, end_word bigint")
         found = part if found is None else found.unionAll(part)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("best")

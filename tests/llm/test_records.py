@@ -365,6 +365,20 @@ def test_leaks_that_many_documents_hold_edited(spark, docs, words, monkeypatch):
         assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in got} == want and len(got) == len(want)
 
 
+def test_leaks_with_inserted_words(spark, docs, words):
+    """A foreign word after every two scores 21 of 40; short items over few words meet everywhere."""
+    rng, item = random.Random(5), words(40, 1, 3000)
+    spread = " ".join(w + (" foreign" if i % 2 else "") for i, w in enumerate(item.split()))
+    thrice = " ".join(w + (" foreign" if i % 3 == 2 else "") for i, w in enumerate(item.split()))
+    items = [item] + [words(rng.randrange(3, 14), 50 + i, 12) for i in range(25)] + ["w1x w1x w1x w1x", "w1x w2x w1x w2x w1x"]
+    texts = [spread, f"{words(30, 7)} {spread} {words(30, 8)}", thrice, item, "w1x " * 40, "w1x w2x " * 20]
+    texts += [words(rng.randrange(1, 60), 200 + i, 12) for i in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.contaminated(docs(texts), bench).collect()}
+    want = {(d, i): round(s, 9) for d, t in enumerate(texts) for i, x in enumerate(items) if (s := brute_score(x, t)) >= 0.5}
+    assert got == want and {(d, 0) for d in range(4)} <= set(got)
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 def test_pipeline_against_plain_loops(spark, library_tokens):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
