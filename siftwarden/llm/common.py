@@ -6,6 +6,7 @@ import types
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -63,15 +64,30 @@ def mix(x):
 def bit_table(rows, column):
     """A table of 2^24 bits with those of a long column's values set, broadcast.
 
-    Its size does not depend on the number of values; with very many it only lets more pass.
+    The bits are put together in Spark, 64 a row, so at most 2^18 numbers come to the driver.  The size of the
+    table does not depend on the number of values; with very many it only lets more pass.
     """
-    low = rows.select(F.col(column).bitwiseAND((1 << BITS) - 1).cast("int").alias("bit")).distinct()
-    table = np.zeros(1 << BITS, dtype=bool)
-    table[[r.bit for r in low.toLocalIterator()]] = True
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(table))
+    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+    words = rows.groupBy(F.shiftright(low, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
 
 def tested(values, bits):
     """Places of the values (unsigned) whose bit is set in the table."""
-    at = (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    return np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+    word = (values & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+    return np.flatnonzero(bits[word.astype(np.int64)] >> (values & np.uint64(63)) & np.uint64(1))
+
+
+def possible(rows, column, keys):
+    """A condition on ``rows``: the long column may be among the ``keys`` (a column of that name); it never misses one."""
+    bits = bit_table(keys, column)
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        out = np.zeros(len(values), dtype=bool)
+        out[tested(values.to_numpy().view(np.uint64), bits.value)] = True
+        return pd.Series(out)
+    return held(F.col(column))

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import mix, slices, stored
@@ -17,12 +18,17 @@ from .fingerprints import A
 LONGEST = 5
 PROFILE = 400
 SAMPLE_DOCS = 2000
-LANGUAGES = 10_000
-SAMPLE_WORDS = 200_000
+BROADCAST_LABELS = 10_000
 CHUNK_WORDS = 50_000
 FOLDS = 4
 LOW, SHARE, STEPS = 0.05, 2 / 3, 10_000
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text):
+    """The words of a text, lower-cased, of letters alone: ``[^\\W\\d_]`` also has numbers such as one half."""
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in WORD.findall(text.lower())
+            if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def gram_counts(words):
@@ -47,6 +53,14 @@ def gram_counts(words):
     return codes, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
+def code_of(gram):
+    """The code of one n-gram, pads included."""
+    code = np.zeros(1, dtype=np.uint64)
+    for letter in gram:
+        code = mix(code * A + np.uint64(ord(letter)) + np.uint64(1))
+    return int(code[0])
+
+
 def ranked(codes, counts):
     """The most frequent n-grams' codes, ties by code."""
     if len(codes) > PROFILE:
@@ -58,8 +72,9 @@ def ranked(codes, counts):
 def learn(docs, lang_col="lang", text_col="text", id_col="doc_id", sample_docs=SAMPLE_DOCS):
     """Profiles {language: n-grams}, from the texts with a non-null language.
 
-    The model is fitted on a bounded sample: of each language about ``sample_docs`` documents, those of
-    the smallest hashes, and of their words the first ``SAMPLE_WORDS``.  It is empty if nothing is labelled.
+    The model is fitted on a bounded sample: of each language about ``sample_docs`` documents, those of the
+    smallest hashes.  All their words count, summed by language and n-gram.  It is empty if nothing is labelled,
+    and has one profile a label, so it is as large as the labels are many.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
@@ -68,22 +83,28 @@ def learn(docs, lang_col="lang", text_col="text", id_col="doc_id", sample_docs=S
     share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
         "lang", (F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(sample_docs) / F.col("n"))).alias("below"))
     share = stored(share, "languages")
-    if share.count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} values of {lang_col}")
-    rows = rows.join(F.broadcast(share), "lang").filter(F.col("order") <= F.col("below")).dropDuplicates(["lang", "order"])
-
-    def count(group):
-        words = []
-        for text in group.sort_by("order").column("text"):
-            if len(words) >= SAMPLE_WORDS:
-                break
-            words += LETTERS.findall(text.as_py().lower())
-        words = words[:SAMPLE_WORDS]
-        best = ranked(*gram_counts(words)).view(np.int64).tolist() if words else []
-        return pa.table({"lang": group.column("lang").slice(0, 1), "grams": pa.array([best], pa.list_(pa.int64()))})
-
-    profiles = rows.select("lang", "order", "text").groupBy("lang").applyInArrow(count, "lang string, grams array<bigint>")
-    return {r.lang: r.grams for r in profiles.collect() if r.grams}
+    share = F.broadcast(share) if share.count() <= BROADCAST_LABELS else share
+    rows = rows.join(share, "lang").filter(F.col("order") <= F.col("below")).dropDuplicates(["lang", "order"])
+    grams = rows.select("lang", "text").mapInArrow(count_grams, "lang string, gram bigint, n bigint")
+    # ties by the code as an unsigned number
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    best = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("place", F.row_number().over(order))
+    profiles = best.filter(F.col("place") <= PROFILE).groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda g: g.gram).alias("grams"))
+    return {r.lang: r.grams for r in profiles.collect()}
+
+
+def count_grams(batches):
+    """Counts of the n-grams of each language, summed over about a slice of text."""
+    for part in slices(batches, 1):
+        words = {}
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            words.setdefault(lang, []).extend(letters_of(text))
+        for lang, found in words.items():
+            if found:
+                codes, counts = gram_counts(found)
+                yield pa.record_batch({"lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes.view(np.int64)),
+                                       "n": pa.array(counts)})
 
 
 class Identifier:
@@ -99,7 +120,7 @@ class Identifier:
 
     def score(self, text):
         """Language and a score from 0 to 1: how much nearer the best profile is than the farthest possible."""
-        words = LETTERS.findall(text.lower()) if text and self.languages else []
+        words = letters_of(text) if text and self.languages else []
         if not words:
             return "und", 0.0
         best = ranked(*gram_counts(words))
@@ -119,9 +140,10 @@ def identify(docs, profiles, text_col="text"):
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*kept)
     at = kept.index(text_col)
+    model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
-        judge = Identifier(profiles)
+        judge = Identifier(model.value)
         for part in slices(batches, at):
             found = [judge.score(t) for t in part.column(at).to_pylist()]
             columns = [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]

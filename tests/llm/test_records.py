@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,7 +95,7 @@ def test_languages_of_awkward_texts(docs):
     assert langid.learn(df.limit(0)) == {} and langid.learn(df.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
-def test_gram_counts_of_long_texts(monkeypatch):
+def test_code_of_long_texts(monkeypatch):
     words = [f"wort{'abc'[i % 3]}{'xyz'[i % 7 % 3]}" for i in range(1000)]
     whole = langid.gram_counts(words)
     monkeypatch.setattr(langid, "CHUNK_WORDS", 70)
@@ -425,10 +426,63 @@ def library_tokens():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_stages_keep_the_columns(spark, docs):
-    odd = docs(AWKWARD).unionAll(docs(AWKWARD[4:8])).unionAll(docs(["lost text of some words here"]).withColumn("doc_id", F.lit(None).cast("long")))
-    for df in (odd, docs([])):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, df, SF).columns == df.columns
-            stage(spark, df, SF).collect()
+CLASH = {"least": 1, "score": 2.5, "spans": "x", "__row": 3, "key": "k", "c0": 4, "component": "c", "lang_pred": "q", "n": 5, "goes": "g",
+         "clean_text": "t", "id": 6, "of": "o"}
+
+
+def clashing(spark, rows):
+    """Documents from (id, text) with columns of all names that stages use inside."""
+    kinds = ", ".join(f"{n} {({int: 'int', float: 'double', str: 'string'})[type(v)]}" for n, v in CLASH.items())
+    return spark.createDataFrame([(i, t, "en", "s", 0, *CLASH.values()) for i, t in rows],
+                                 f"doc_id long, text string, lang string, source string, n_chars int, {kinds}")
+
+
+def test_stages_keep_columns_values_and_types(spark, words):
+    odd = [*enumerate(AWKWARD), *enumerate(AWKWARD[4:8]), (None, "lost text of some words here"), (None, None)]
+    for df in (clashing(spark, odd), clashing(spark, [])):
+        texts = {r.text for r in df.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, SF)
+            assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in df.schema]
+            for r in out.collect():
+                assert {c: r[c] for c in CLASH} == CLASH and r.source == "s"
+                assert name == "personal_data" or r.text in texts
+                assert name == "language" or r.lang == "en"
         corpus_pipeline.STAGES[-1][1](spark, df, SF).collect()
+
+
+def test_near_duplicates_under_one_id_and_without_ids(spark, words):
+    """A third of the rows under one id, some without: no clean row goes, no copy stays, and the choice is fixed."""
+    clean = [words(30, i, 5000) for i in range(60)]
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, t) for i, t in enumerate(clean)]
+    copies = [(7, clean[0]), (7, clean[0]), (None, clean[1]), (None, clean[3]), (2, clean[4]), (500, clean[5]), (None, clean[6] + " end")]
+    kept = [sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, clashing(spark, x), SF).collect()), key=str)
+            for x in (rows + copies, copies[::-1] + rows[::-1])]
+    # the row without an id gives way to its copy that has one
+    assert kept[0] == kept[1] == sorted([(2 if t == clean[4] else i, t) for i, t in rows], key=str)
+
+
+def test_scores_against_a_plain_loop(spark, docs):
+    """Out-of-place distance, ties and score, counted n-gram by n-gram."""
+    def plain_ranks(text):
+        counts = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            w = f"_{''.join(c for c in w if c.isalpha())}_"
+            if w != "__":
+                counts.update(g for n in range(1, 6) for g in (w[k:k + n] for k in range(len(w) - n + 1)) if g != "_")
+        code = {g: langid.code_of(g) for g in counts}
+        return sorted(counts, key=lambda g: (-counts[g], code[g]))[:langid.PROFILE]
+
+    samples = {"a": "the cat and the hat " * 5, "b": "der hund und die katze " * 5, "c": "the cat and the hat " * 5}
+    df = docs(list(samples.values())).withColumn("lang", F.element_at(F.array(*map(F.lit, samples)), F.col("doc_id").cast("int") + 1))
+    model = langid.learn(df)
+    ranks = {lang: plain_ranks(t) for lang, t in samples.items()}
+    texts = [*AWKWARD, "½ ² ③", "½x", "the hund", "der hat", "x²y the", *samples.values()]
+    for r in langid.identify(docs(texts), model).collect():
+        own = plain_ranks(r.text or "")
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(i - p.index(g)) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in ranks.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        assert (r.lang_pred, round(r.score, 12)) == (best, round(1 - apart[best] / (langid.PROFILE * len(own)), 12))
