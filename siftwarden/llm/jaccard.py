@@ -5,6 +5,12 @@ two similar sets differ in at most k elements.  The domain of elements is cut (b
 ``(k + 1) / 2`` groups of three partitions; two sets that differ in at most k elements differ by at most
 one in some group, hence agree on two of its three partitions.  A signature is the content of two
 partitions of a group: similar sets share one, always.  Sets that share one are verified exactly.
+
+Two empty partitions would be a signature that all small sets share.  Where all of a group's elements lie in one
+partition, the group signs with them, and with them less each one; two such groups that differ by one element share
+that.  What then is left are groups of one element or none.  There are ``spare`` groups more than needed, so similar
+sets agree (but for one element) in ``spare + 1`` groups, and a set with no more than ``spare`` such groups leaves them
+out.  A band in which no element may differ is not signed at all: equal sets are found by their print.
 """
 
 import numpy as np
@@ -18,6 +24,10 @@ from .fingerprints import A, B, C, pair
 from .suffix import ranges_of_rows, raw
 
 SLICE = 1 << 20
+# groups more than needed: a number, and one in so many
+SPARE, SPARE_SHARE = 2, 32
+# a print of more rows than this, or than this share of all, is joined by broadcast
+HOT_ROWS, HOT_SHARE = 2000, 1e-5
 SMALL = 12
 BLOCK = 512
 
@@ -62,19 +72,40 @@ def signatures(sets, percent):
     rows, out = [], []
     for step in (0, 1):
         band = np.searchsorted(bounds, np.maximum(size, 1)) + step
-        differ = 2 * bounds[band] * (100 - percent) // (100 + percent)
-        groups = (differ + 2) // 2
+        # a set too small for the smallest of the next band has no partner there
+        fits = (size > 0) & ((step == 0) | (100 * size >= percent * (bounds[band - 1] + 1)))
+        differ = np.where(fits, 2 * bounds[band] * (100 - percent) // (100 + percent), 0)
+        spare = SPARE + (differ + 2) // 2 // SPARE_SHARE
+        groups = np.where(differ > 0, (differ + 2) // 2 + spare, 0)
         base = np.cumsum(groups) - groups
-        content = np.zeros(3 * groups.sum(), dtype=np.uint64)
-        np.add.at(content, 3 * base[owner] + (place % (3 * groups[owner]).astype(np.uint64)).astype(np.int64), value)
+        signed = groups[owner] > 0
+        of, worth = owner[signed], value[signed]
+        cell = 3 * base[of] + (place[signed] % (3 * groups[of]).astype(np.uint64)).astype(np.int64)
+        content, number = np.zeros(3 * groups.sum(), dtype=np.uint64), np.bincount(cell, minlength=3 * groups.sum()).reshape(-1, 3)
+        np.add.at(content, cell, worth)
         content = content.reshape(-1, 3)
         row = np.repeat(np.arange(len(sets)), groups)
-        name = np.arange(len(row)) - base[row]
+        tag = ((np.arange(len(row)) - base[row]) * 8 * 4096 + band[row]).astype(np.uint64)
+        held, whole = number.sum(axis=1), content.sum(axis=1)
+
+        def add(at, left, right, kind):
+            rows.append(row[at])
+            out.append(mix(pair(left, right) + (tag[at] + np.uint64(4096 * kind)) * C))
+
         for left, right in ((0, 1), (0, 2), (1, 2)):
-            tag = ((name * 3 + left + right) * 4096 + band[row]).astype(np.uint64)
-            keep = size[row] > 0
-            rows.append(row[keep])
-            out.append(mix(pair(content[:, left], content[:, right]) + tag * C)[keep])
+            at = np.flatnonzero(number[:, left] + number[:, right])
+            add(at, content[at, left], content[at, right], left + right)
+        # all elements in one partition: the group itself, and the group less each of its elements
+        single = ((number > 0).sum(axis=1) == 1)
+        at = np.flatnonzero(single)
+        add(at, whole[at], whole[at], 4)
+        inside = single[cell // 3] & (held[cell // 3] > 1)
+        at, less = cell[inside] // 3, whole[cell[inside] // 3] - worth[inside]
+        add(at, less, less, 4)
+        # too many groups of one element or none to do without them
+        few = held <= 1
+        at = np.flatnonzero(few & (np.bincount(row[few], minlength=len(sets)) > spare)[row])
+        add(at, np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), 5)
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -249,8 +280,14 @@ def similar_documents(docs, words=5, percent=80, id_col="doc_id", text_col="text
                        F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     measured = stored(docs.mapInArrow(measure(words), "id bigint, n bigint, print binary, sketch binary"), "sets")
     full = measured.filter("n > 0 and id is not null")
-    first = full.groupBy("print").agg(F.min("id").alias("first"))
-    member = stored(full.select("id", "print").join(first, "print").select("id", "first").distinct(), "members")
+    first = stored(full.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "prints")
+    # at most 1 / HOT_SHARE prints are hot
+    limit = max(HOT_ROWS, int(HOT_SHARE * (first.agg(F.sum("rows")).first()[0] or 0)))
+    hot = F.broadcast(first.filter(F.col("rows") > limit).select("print", "first"))
+    rest = full.select("id", "print").join(hot.select("print"), "print", "left_anti").join(
+        first.filter(F.col("rows") <= limit).select("print", "first"), "print")
+    member = full.select("id", "print").join(hot, "print").unionByName(rest).select("id", "first")
+    member = stored(member.distinct(), "members")
     links = member.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
 
     # buckets of documents that share a signature, equal sets standing as one

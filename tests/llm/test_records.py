@@ -206,6 +206,33 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@given(st.integers(1, 70), st.integers(0, 40), st.integers(0, 10**6), st.sampled_from([80, 85]))
+@settings(max_examples=300, deadline=None)
+def test_similar_sets_share_a_signature(n, changes, seed, percent):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    b = a
+    for _ in range(changes):
+        if rng.random() < 0.5 and len(b) > 1:
+            b = np.delete(b, rng.integers(len(b)))
+        else:
+            b = np.unique(np.append(b, rng.integers(0, 2**63, dtype=np.uint64)))
+    both = len(np.intersect1d(a, b))
+    if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+        row, signature = jaccard.signatures([a, b], percent)
+        assert set(signature[row == 0]) & set(signature[row == 1])
+
+
+@pytest.mark.parametrize("size, percent", [(1, 85), (3, 80), (4, 80), (9, 85), (60, 80), (60, 85)])
+def test_small_sets_that_differ_share_hardly_any_signature(size, percent):
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(20_000)]
+    _, signature = jaccard.signatures(sets, percent)
+    counts = np.unique(signature, return_counts=True)[1].astype(np.int64)
+    # pairs that meet, for each set: before, thousands
+    assert (counts * (counts - 1) // 2).sum() < 2 * len(sets)
+
+
 # --- chats -------------------------------------------------------------------------------------
 HARD = ["<|im_end|>", "<|im_start|>assistant ok", "<|im_end|>\n<|im_start|>user\nx", "<\\|", "<\\\\n|", "<|", "a<|b", "<n|", "\n", "", None, "plain"]
 
