@@ -4,6 +4,7 @@
 whole tables and whole texts.
 """
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -1011,7 +1012,7 @@ def _(spark, sf):
     return merged.select("id", "rule", "kind", "line", "matched")
 
 
-# --- batch twins of the streams ---------------------------------------------------------------------
+# --- streams ---------------------------------------------------------------------------------------
 def timed_events(spark, sf):
     d = table(spark, sf, "events")
     phone = F.concat_ws("", F.lit("caller 555-010-"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit(" "), "event_type", F.lit(" "), "props")
@@ -1023,22 +1024,6 @@ _EVENT_FINDINGS = O.findings(PII, f"SELECT CAST(event_id AS VARCHAR) AS id, {_EV
 _EVENT_TS = " FROM f JOIN events ON f.id = CAST(event_id AS VARCHAR)"
 
 
-@query("stream_risk_windows", f"{_EVENT_FINDINGS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, "
-       "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, category, count(*) AS findings, "
-       f"CAST(sum({O.hundredths('1')}) AS BIGINT) AS hundredths{_EVENT_TS} GROUP BY 1, 2, category")
-def _(spark, sf):
-    return streams.risk_windows(detect(timed_events(spark, sf), PII), "1 hour")
-
-
-@query("stream_risk_sessions", f"{_EVENT_FINDINGS}, e AS (SELECT category, severity, confidence, ts{_EVENT_TS}), "
-       "m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS "
-       "(PARTITION BY category ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY category ORDER BY ts "
-       "ROWS UNBOUNDED PRECEDING) AS session FROM m) SELECT min(ts) AS window_start, max(ts) + INTERVAL 5 MINUTE AS window_end, "
-       f"category, count(*) AS findings, CAST(sum({O.hundredths('1')}) AS BIGINT) AS hundredths FROM k GROUP BY category, session")
-def _(spark, sf):
-    return streams.risk_windows(detect(timed_events(spark, sf), PII), session_gap="5 minutes")
-
-
 # --- the streams themselves, run to the end of the table ---------------------------------------------
 def live_events(spark, sf):
     """The events as a file stream: (id, text, ts)."""
@@ -1059,10 +1044,59 @@ def _(spark, sf):
     return drain(streams.stream_detect(live_events(spark, sf), PII)).select(FINDING)
 
 
-@query("stream_dedup", f"{_EVENT_FINDINGS} SELECT DISTINCT rule || '/' || matched AS fingerprint FROM f")
+def arriving(spark, sf, plan, files=4):
+    """Run ``plan`` over the events as they arrive, and read what it appended; returns (rows, late rows).
+
+    The events come in files by time, one a trigger.  Then the stream stops; a row from far ahead moves the
+    watermark past all windows, and the earliest fifth of the events comes a second time, too late.  The stream
+    goes on from its checkpoint.
+    """
+    folder, found = f"{shared_folder(spark)}/{uuid.uuid4()}", 0
+    events = table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [F.lit(str(first + i * (last - first) / files)).cast(events.schema["ts"].dataType) for i in range(1, files)]
+    rows = events.withColumn("part", sum([F.when(F.col("ts") < c, 0).otherwise(1) for c in cuts], F.lit(0)))
+    ahead = events.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 60 days"))
+    # a folder a part, so that the files are taken in their order
+    parts = [[rows.where(F.col("part") == i).drop("part") for i in range(files)],
+             [ahead, rows.where("part = 0").drop("part").sample(0.2, seed=1), ahead]]
+    for number, turn in enumerate(parts):
+        for i, part in enumerate(turn):
+            part.coalesce(1).write.parquet(f"{folder}/in/{number}-{i}")
+            time.sleep(0.01)  # files are taken by time of modification
+        live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+        live = live.select(F.col("event_id").cast("string").alias("id"), F.expr(_EVENT_TEXT.replace("VARCHAR", "STRING")).alias("text"),
+                           F.col("ts").cast("timestamp").alias("ts"))
+        running = streams.write_findings(plan(streams.stream_detect(live, PII)), f"{folder}/out", f"{folder}/log")
+        running.awaitTermination()
+        found += streams.late_rows(running)
+    return spark.read.parquet(f"{folder}/out"), found
+
+
+@query("stream_risk_windows", f"{_EVENT_FINDINGS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, "
+       "time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, category, count(*) AS findings, "
+       f"CAST(sum({O.hundredths('1')}) AS BIGINT) AS hundredths{_EVENT_TS} GROUP BY 1, 2, category")
+def _(spark, sf):
+    return arriving(spark, sf, lambda found: streams.risk_windows(found, "1 hour"))[0]
+
+
+@query("stream_risk_sessions", f"{_EVENT_FINDINGS}, e AS (SELECT category, severity, confidence, ts{_EVENT_TS}), "
+       "m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS "
+       "(PARTITION BY category ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY category ORDER BY ts "
+       "ROWS UNBOUNDED PRECEDING) AS session FROM m) SELECT min(ts) AS window_start, max(ts) + INTERVAL 5 MINUTE AS window_end, "
+       f"category, count(*) AS findings, CAST(sum({O.hundredths('1')}) AS BIGINT) AS hundredths FROM k GROUP BY category, session")
+def _(spark, sf):
+    return arriving(spark, sf, lambda found: streams.risk_windows(found, session_gap="5 minutes"))[0]
+
+
+@query("stream_dedup", f"{_EVENT_FINDINGS} SELECT DISTINCT rule || '/' || matched AS fingerprint, "
+       f"time_bucket(INTERVAL 6 HOUR, ts) AS window_start{_EVENT_TS}")
 def _(spark, sf):
-    found = streams.stream_detect(live_events(spark, sf), PII).withColumn("fingerprint", F.concat_ws("/", "rule", "matched"))
-    return drain(streams.stream_dedup(found, "60 days")).select("fingerprint")
+    def plan(found):
+        found = found.withColumn("fingerprint", F.concat_ws("/", "rule", "matched"))
+        return streams.once_per_window(found, "6 hours").select("fingerprint", "window_start")
+    last = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("last"))
+    return arriving(spark, sf, plan)[0].join(last, F.col("window_start") <= F.col("last")).drop("last")  # without the row from far ahead
 
 
 @query("stream_baseline", f"{_EVENT_FINDINGS} SELECT id, rule, fingerprint FROM f WHERE NOT EXISTS (SELECT 1 FROM events e "

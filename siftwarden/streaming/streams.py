@@ -20,6 +20,27 @@ def stream_dedup(findings, horizon="1 hour", ts="ts") -> DataFrame:
     return findings.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def once_per_window(findings, window="1 hour", lateness="10 minutes", ts="ts") -> DataFrame:
+    """One finding per fingerprint and window of event time, whatever the triggers; adds ``window_start``.
+
+    Unlike ``stream_dedup`` the result does not depend on how the input is cut into batches.  A window's
+    fingerprints leave the state when the watermark passes its end; rows that come later are dropped.
+    """
+    timed = findings.withWatermark(ts, lateness) if findings.isStreaming else findings
+    # the window carries the watermark on; a stream has one event time only
+    spans = timed.withColumn("span", F.window(ts, window)).withColumn(ts, F.expr(f"{ts} + interval 0 seconds"))
+    once = spans.dropDuplicates(["fingerprint", "span"])
+    return once.withColumn("window_start", F.expr("span.start + interval 0 seconds")).drop("span")
+
+
+def late_rows(query):
+    """Rows that a finished query's state refused as older than its watermark, as its progress tells.
+
+    Aggregations count what is left of them after the sums inside a task.
+    """
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def _hundredths():
     return F.expr(f"{scalars.severity_weight('severity')} * {scalars.confidence_tenths('confidence')} "
                   f"* {scalars.category_tenths('category')}")

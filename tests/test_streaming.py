@@ -81,3 +81,22 @@ def test_baseline_in_a_stream(spark, tmp_path):
     q = streams.write_new_findings(live, lambda: spark.read.parquet(str(tmp_path / "base")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["c", "c"]
+
+
+def test_events_arrive_in_files_and_late_ones_are_counted(spark):
+    from conftest import SF
+    from siftwarden import registry
+    rows, late = registry.arriving(spark, SF, lambda found: streams.risk_windows(found, "1 hour"), files=3)
+    want = streams.risk_windows(detect(registry.timed_events(spark, SF), registry.PII), "1 hour")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect())) and late > 0
+
+
+def test_once_per_window_does_not_depend_on_batches(spark, tmp_path):
+    rows = [(m, i, "x@y.org") for m, i in ((0, "a"), (20, "a"), (50, "b"), (70, "a"), (71, "a"), (130, "a"))]
+    for row in rows:
+        write(spark, tmp_path / "in", row)
+    found = {}
+    for files in (1, 10):
+        live = streams.once_per_window(streams.stream_detect(stream(spark, tmp_path / "in", files), RULES), "1 hour", "3 hours")
+        found[files] = sorted((r.fingerprint, r.window_start) for r in run(live, f"once{files}").collect())
+    assert found[1] == found[10] and len(found[1]) == 4
