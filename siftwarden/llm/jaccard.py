@@ -2,11 +2,12 @@
 
 Sets are put in bands of size, so that two similar sets are in one band or in neighbours.  In a band
 two similar sets differ in at most k elements.  The domain of elements is cut (by a hash) into
-``(k + 1) / 2`` groups of three partitions; two sets that differ in at most k elements differ by at most
-one in some group, hence agree on two of its three partitions.  A signature is the content of two
-partitions of a group: similar sets share one, always.  Sets that share one are verified exactly.
+``(k + 2) / 2`` groups of two partitions; two sets that differ in at most k elements differ by at most
+one in some group, hence agree on one of its two partitions.  The subsets that are enumerated are single
+partitions of a group, and their content is the signature: similar sets share one, always.  (Two of three
+partitions would be half as many signatures again.)  Sets that share one are verified exactly.
 
-Two empty partitions would be a signature that all small sets share.  Where all of a group's elements lie in one
+An empty partition would be a signature that all small sets share.  Where all of a group's elements lie in one
 partition, the group signs with them, and with them less each one; two such groups that differ by one element share
 that.  What then is left are groups of one element or none.  There are ``spare`` groups more than needed, so similar
 sets agree (but for one element) in ``spare + 1`` groups, and a set with no more than ``spare`` such groups leaves them
@@ -80,32 +81,32 @@ def signatures(sets, percent):
         base = np.cumsum(groups) - groups
         signed = groups[owner] > 0
         of, worth = owner[signed], value[signed]
-        cell = 3 * base[of] + (place[signed] % (3 * groups[of]).astype(np.uint64)).astype(np.int64)
-        content, number = np.zeros(3 * groups.sum(), dtype=np.uint64), np.bincount(cell, minlength=3 * groups.sum()).reshape(-1, 3)
+        cell = 2 * base[of] + (place[signed] % (2 * groups[of]).astype(np.uint64)).astype(np.int64)
+        content, number = np.zeros(2 * groups.sum(), dtype=np.uint64), np.bincount(cell, minlength=2 * groups.sum()).reshape(-1, 2)
         np.add.at(content, cell, worth)
-        content = content.reshape(-1, 3)
+        content = content.reshape(-1, 2)
         row = np.repeat(np.arange(len(sets)), groups)
         tag = ((np.arange(len(row)) - base[row]) * 8 * 4096 + band[row]).astype(np.uint64)
         held, whole = number.sum(axis=1), content.sum(axis=1)
 
-        def add(at, left, right, kind):
+        def add(at, what, kind):
             rows.append(row[at])
-            out.append(mix(pair(left, right) + (tag[at] + np.uint64(4096 * kind)) * C))
+            out.append(mix(what * A + (tag[at] + np.uint64(4096 * kind)) * C))
 
-        for left, right in ((0, 1), (0, 2), (1, 2)):
-            at = np.flatnonzero(number[:, left] + number[:, right])
-            add(at, content[at, left], content[at, right], left + right)
+        for side in (0, 1):
+            at = np.flatnonzero(number[:, side])
+            add(at, content[at, side], side)
         # all elements in one partition: the group itself, and the group less each of its elements
         single = ((number > 0).sum(axis=1) == 1)
         at = np.flatnonzero(single)
-        add(at, whole[at], whole[at], 4)
-        inside = single[cell // 3] & (held[cell // 3] > 1)
-        at, less = cell[inside] // 3, whole[cell[inside] // 3] - worth[inside]
-        add(at, less, less, 4)
+        add(at, whole[at], 2)
+        inside = single[cell // 2] & (held[cell // 2] > 1)
+        at = cell[inside] // 2
+        add(at, whole[at] - worth[inside], 2)
         # too many groups of one element or none to do without them
         few = held <= 1
         at = np.flatnonzero(few & (np.bincount(row[few], minlength=len(sets)) > spare)[row])
-        add(at, np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64), 5)
+        add(at, np.zeros(len(at), np.uint64), 3)
     return np.concatenate(rows), np.concatenate(out)
 
 
