@@ -60,12 +60,16 @@ def ignore_globs(text):
     return [line for line in lines if line and not line.startswith(("#", "!"))]
 
 
+def not_ignored(path, globs=()):
+    """Condition on a path column: no fixed directory and no glob excludes it."""
+    kept = ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_DIRECTORIES)))
+    any_glob = "|".join(f"(?:{glob_to_regex(glob)})" for glob in globs)
+    return kept & ~path.rlike(any_glob) if globs else kept
+
+
 def filter_ignored(files, globs, path="path") -> DataFrame:
     """Keep paths that no glob and no fixed directory excludes."""
-    parts = F.split(F.col(path), "/")
-    kept = files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRECTORIES))))
-    any_glob = "|".join(f"(?:{glob_to_regex(glob)})" for glob in globs)
-    return kept.where(~F.col(path).rlike(any_glob)) if globs else kept
+    return files.where(not_ignored(F.col(path), globs))
 
 
 def gate_passes(findings, threshold="low", sources=None) -> DataFrame:

@@ -198,14 +198,18 @@ def scan_stats(content, counts, rules, size_limit=None) -> DataFrame:
         F.expr(f"coalesce(sum(if({skipped}, 0, octet_length(text))), 0)").alias("bytes_scanned"))
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).cast("bigint").alias("value"))
                       for c in ("rows_total", "rows_scanned", "rows_skipped", "bytes_scanned")])
+    return base.select(F.inline(pairs)).unionByName(finding_stats(counts, rules))
+
+
+def finding_stats(counts, rules) -> DataFrame:
+    """(metric, key, value) rows of match counts: in all, by severity, by category."""
     rows = graded_counts(counts, rules)
     sets = F.array(
         F.struct(F.lit("findings").alias("metric"), F.lit("").alias("key")),
         F.struct(F.lit("findings_by_severity").alias("metric"), F.col("severity").alias("key")),
         F.struct(F.lit("findings_by_category").alias("metric"), F.col("category").alias("key")))
-    found = rows.groupBy("severity", "category").agg(F.sum("n").alias("n")).select(
+    return rows.groupBy("severity", "category").agg(F.sum("n").alias("n")).select(
         F.inline(sets), "n").groupBy("metric", "key").agg(F.sum("n").alias("value"))
-    return base.select(F.inline(pairs)).unionByName(found)
 
 
 def stats_merge(*parts) -> DataFrame:

@@ -1,6 +1,9 @@
 """Whole scans, put together from the operators."""
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -9,7 +12,7 @@ from ..operators.catalog import collect_rules
 from ..operators.detect import active_rules, candidates, detect, match_counts
 from ..operators.suppress import suppress_baseline, suppress_inline
 from ..plans.rule_index import build_index
-from ..sources.tables import diff_files, read_tree
+from ..sources.tables import IGNORE_FILES, diff_files, read_ignore_files, read_tree
 
 
 def scan_table(content, rules, profile=None, baseline=None, scope=None, **options) -> DataFrame:
@@ -28,13 +31,20 @@ def scan_rule_table(content, rules, **options) -> DataFrame:
 
 
 def scan_files(spark, path, rules, size_limit=filters.DEFAULT_SIZE_LIMIT, globs=(), skip_binary=True,
-               use_ignore_files=True, **options):
-    """(findings, stats) of a file tree.
+               use_ignore_files=True, ignore_files=IGNORE_FILES, **options):
+    """(findings, stats) of a file tree, or of several (a list of roots).
 
-    Paths and sizes are decided on the listing alone; content is read for the files that remain.
+    Paths and sizes are decided on the listing alone; content is read for the files that remain.  With
+    ``use_ignore_files`` the fixed directories, the globs and those in the ignore files of each root exclude
+    files; a root's own globs act on its own files, on their whole paths.
     """
-    listing = read_tree(spark, path)
-    kept = filters.filter_ignored(listing, globs) if use_ignore_files else listing
+    listing = kept = None
+    for root in [path] if isinstance(path, str) else path:
+        own = (*globs, *read_ignore_files(spark, root, ignore_files)) if use_ignore_files else ()
+        keep = (lambda p, own=own: filters.not_ignored(p, own)) if use_ignore_files else None
+        every, some = read_tree(spark, root), read_tree(spark, root, keep=keep)
+        listing = every if listing is None else listing.unionByName(every)
+        kept = some if kept is None else kept.unionByName(some)
     small = kept.where(F.col("length") <= size_limit)
     binary = F.expr(filters.is_binary_bytes("content"))
     readable = small.where(~binary) if skip_binary else small
@@ -53,6 +63,44 @@ def scan_files(spark, path, rules, size_limit=filters.DEFAULT_SIZE_LIMIT, globs=
     return detect(content, rules, **options), stats.groupBy("metric", "key").agg(F.sum("n").alias("value"))
 
 
+RUN_SCHEMA = "name string, started timestamp, duration_ms bigint, files bigint, bytes bigint, skipped bigint, findings bigint"
+
+
+def run_scan(content, rules, folder, name="scan", size_limit=filters.DEFAULT_SIZE_LIMIT):
+    """Count the matches of a content table, as one run: (counts, stats), and a row more in ``folder/scan_runs``.
+
+    The text is read once: what is scanned and skipped is observed on the way, matches are written as (id, ordinal,
+    matches), and statistics by severity and category are summed from these.  ``stats`` has (metric, key, value).
+    """
+    spark, index = content.sparkSession, build_index(active_rules(rules))
+    skipped = f"(octet_length(text) > {size_limit} or {filters.is_binary()})"
+    seen = Observation()
+    started = dt.datetime.now()
+    observed = content.where("text is not null").observe(
+        seen, F.count(F.lit(1)).alias("rows_total"), F.expr(f"count_if(not {skipped})").alias("rows_scanned"),
+        F.expr(f"count_if({skipped})").alias("rows_skipped"),
+        F.expr(f"coalesce(sum(if({skipped}, 0, octet_length(text))), 0)").alias("bytes_scanned"))
+    path = f"{folder}/counts/{uuid.uuid4()}"
+    match_counts(observed.where(f"not {skipped}"), index).write.parquet(path)
+    took = dt.datetime.now() - started
+    counts = spark.read.parquet(path)
+    metrics = seen.get
+    totals = spark.createDataFrame([(k, "", metrics[k]) for k in ("rows_total", "rows_scanned", "rows_skipped", "bytes_scanned")],
+                                   "metric string, key string, value bigint")
+    found = risk.finding_stats(counts, index)
+    run = found.where("metric = 'findings'").groupBy().agg(F.coalesce(F.sum("value"), F.lit(0)).alias("findings")).select(
+        F.lit(name).alias("name"), F.lit(started).alias("started"), F.lit(took // dt.timedelta(milliseconds=1)).cast("bigint").alias("duration_ms"),
+        F.lit(metrics["rows_scanned"]).alias("files"), F.lit(metrics["bytes_scanned"]).alias("bytes"),
+        F.lit(metrics["rows_skipped"]).alias("skipped"), "findings")
+    run.write.mode("append").parquet(f"{folder}/scan_runs")
+    return counts, totals.unionByName(found)
+
+
+def read_runs(spark, folder) -> DataFrame:
+    """The runs written by ``run_scan``, one row each."""
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{folder}/scan_runs")
+
+
 def scan_diff(diffs, rules, **options) -> DataFrame:
     """Findings in the added lines of (diff_id, diff) rows; ``id`` is the file."""
     return detect(diff_files(diffs), rules, **options)

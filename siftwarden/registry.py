@@ -372,8 +372,21 @@ _STATS = ("SELECT 'findings' AS metric, '' AS key, CAST(sum(n) AS BIGINT) AS val
 
 @query("scan_stats", f"{_TEXT_GRADED} {_STATS}")
 def _(spark, sf):
-    index, content = build_index(TEXT), documents(spark, sf)
-    return risk.scan_stats(content, match_counts(content, index), index)
+    return scan.run_scan(documents(spark, sf), TEXT, f"{shared_folder(spark)}/{uuid.uuid4()}")[1]
+
+
+@query("scan_runs", f"{O.counts(PII, DOCS)} SELECT name, count(*) AS runs, CAST(sum(files) AS BIGINT) AS files, "
+       "CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(findings) AS BIGINT) AS findings, TRUE AS rated FROM ("
+       "SELECT unnest(['first', 'again', 'again']) AS name, (SELECT count(*) FROM c) AS files, "
+       "(SELECT sum(strlen(text)) FROM c) AS bytes, (SELECT sum(n) FROM graded) AS findings) GROUP BY name")
+def _(spark, sf):
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    for name in ("first", "again", "again"):
+        scan.run_scan(documents(spark, sf), PII, folder, name)
+    runs = scan.read_runs(spark, folder)
+    totals = runs.groupBy("name").agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "findings")])
+    rated = risk.throughput(runs).withColumn("rated", (F.col("files_per_second") > 0) & (F.col("mb_per_second") > 0))
+    return totals.join(rated.select("name", "runs", "rated"), "name").select("name", "runs", "files", "bytes", "findings", "rated")
 
 
 @query("stats_merge", f"{O.counts(TEXT, DOCS + ' UNION ALL ' + CHATS)}, g0 AS (SELECT * FROM graded) {_STATS}")
@@ -473,14 +486,35 @@ def _(spark, sf):
 @query("detect_files", f"{O.findings(PII, 'SELECT CAST(doc_id AS VARCHAR) AS id, text || chr(10) AS text FROM documents')} "
        "SELECT rule, line, start_byte, end_byte, matched, count(*) AS files FROM f GROUP BY ALL")
 def _(spark, sf):
-    findings, _ = scan.scan_files(spark, document_files(spark, sf), PII)
+    findings, _ = scan.scan_files(spark, document_files(spark, sf), PII, size_limit=2**40, skip_binary=False)
     return findings.groupBy("rule", "line", "start_byte", "end_byte", "matched").agg(F.count("*").alias("files"))
 
 
 @query("detect_files_stats", "SELECT unnest(['files_total', 'files_scanned', 'files_by_extension']) AS metric, "
        "unnest(['', '', 'txt']) AS key, count(*) AS value FROM documents")
 def _(spark, sf):
-    return scan.scan_files(spark, document_files(spark, sf), PII)[1]
+    return scan.scan_files(spark, document_files(spark, sf), PII, size_limit=2**40, skip_binary=False)[1]
+
+
+def put_file(spark, path, text):
+    """Write a small file, hidden ones too, through Spark's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+@query("detect_files_ignored", O.findings(PII, "SELECT CAST(doc_id AS VARCHAR) AS id, text || chr(10) AS text FROM documents "
+                                     "WHERE lang IS NULL OR lang NOT IN ('de', 'es')")
+       + " SELECT rule, line, start_byte, end_byte, matched, count(*) AS files FROM f GROUP BY ALL")
+def _(spark, sf):
+    """A tree with a folder a language and both ignore files."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    table(spark, sf, "documents").select("text", "lang").write.partitionBy("lang").option("maxRecordsPerFile", 1).text(path)
+    put_file(spark, f"{path}/.scanignore", "# German is scanned elsewhere\n*/lang=de/*\n\n!*/lang=de/keep*\n")
+    put_file(spark, f"{path}/.gitignore", "*/lang=e[!a-rt-z]/part-*\n")
+    findings, _ = scan.scan_files(spark, path, PII, size_limit=2**40, skip_binary=False)
+    return findings.groupBy("rule", "line", "start_byte", "end_byte", "matched").agg(F.count("*").alias("files"))
 
 
 @query("sarif_documents")

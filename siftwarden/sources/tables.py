@@ -12,17 +12,50 @@ from ..schema import RULE_SCHEMA
 __all__ = ["content_table", "read_tree", "kv_from_json", "diff_lines", "diff_files", "read_rules", "read_rule_lists"]
 
 
-def read_tree(spark, path, size_limit=None, glob=None) -> DataFrame:
+def read_tree(spark, path, size_limit=None, glob=None, keep=None) -> DataFrame:
     """Regular files below ``path``: (path, length, content).
 
-    The size limit is pushed into the source, so larger files are never read.
+    The size limit is pushed into the source, so larger files are never read.  ``keep`` is a function from a
+    column with the path to a condition; it is asked of the listing, so the others are never read either.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    files = reader.load(path).select("path", "length", "content")
+    files = reader.load(path)
+    files = files.where(keep(F.col("_metadata.file_path"))) if keep is not None else files
+    files = files.select("path", "length", "content")
     return files.where(F.col("length") <= size_limit) if size_limit is not None else files
 
 
+# Names of ignore files at the root of a tree; our own, and that of version control.
+IGNORE_FILES = (".scanignore", ".gitignore")
+IGNORE_FILE_LIMIT = 1 << 20
+
+
+def read_ignore_files(spark, root, names=IGNORE_FILES):
+    """Globs in the ignore files of a root, one list; files that are not there count as empty.
+
+    Spark's readers pass over hidden files, so these few small ones are opened through the file system; one of more
+    than a megabyte is refused.
+    """
+    from ..operators.filters import ignore_globs
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    globs = []
+    for name in names:
+        path = hadoop.Path(root, name)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            continue
+        if system.getFileStatus(path).getLen() > IGNORE_FILE_LIMIT:
+            raise ValueError(f"{path.toString()} is larger than {IGNORE_FILE_LIMIT} bytes")
+        stream = system.open(path)
+        try:
+            globs += ignore_globs(bytes(stream.readAllBytes()).decode("utf-8", "replace"))
+        finally:
+            stream.close()
+    return globs
+
+
 def kv_from_json(df, source, props) -> DataFrame:
     """(source, key, value) rows of a JSON object column."""
     parsed = F.from_json(F.col(props), "map<string,string>")

@@ -126,3 +126,42 @@ def test_scan_table(spark, content):
     rows = content("mail a@b.org // scan:ignore:email-address\nmail c@d.org", "x@y.org\0")
     found = scan.scan_table(rows, load_catalogue(), profiles.preset("production"), scope="trailing")
     assert [r.matched for r in found.where("rule = 'email-address'").collect()] == ["c@d.org"]
+
+
+def test_ignore_files_of_several_roots(spark, tmp_path):
+    """Each root has its own globs; what they exclude is not read, even if it is gone by then."""
+    for root in ("one", "two"):
+        (tmp_path / root / "src").mkdir(parents=True)
+        for name in ("a.txt", "b.log", "src/c.txt", "src/d.tmp"):
+            (tmp_path / root / name).write_text(f"mail {name.replace('/', '.')}@{root}.org\n")
+    (tmp_path / "one" / ".scanignore").write_text("# logs\n*.log\n\n!b.log\n")
+    (tmp_path / "one" / ".gitignore").write_text("*/src/*.tmp\n")
+    (tmp_path / "two" / ".gitignore").write_text("*/src/*\n")
+    roots = [str(tmp_path / r) for r in ("one", "two")]
+    findings, stats = scan.scan_files(spark, roots, load_catalogue(["pii"]))
+    for gone in ("one/b.log", "one/src/d.tmp", "two/src/c.txt", "two/src/d.tmp"):
+        (tmp_path / gone).unlink()
+    found = {r.matched for r in findings.where("rule = 'email-address'").collect()}
+    assert found == {"a.txt@one.org", "src.c.txt@one.org", "a.txt@two.org", "b.log@two.org"}
+    assert scan.scan_files(spark, roots, load_catalogue(["pii"]), use_ignore_files=False)[1].where(
+        "metric = 'files_scanned'").first().value == 4
+    (tmp_path / "one" / ".scanignore").write_text("x" * (2 << 20))
+    try:
+        scan.scan_files(spark, roots, load_catalogue(["pii"]))
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a large ignore file is refused")
+
+
+def test_runs_are_recorded_and_rated(spark, tmp_path):
+    from siftwarden.operators import risk
+    content = spark.createDataFrame([("a", "x@y.org 123-45-6789"), ("b", "\0binary"), ("c", "z" * 200), ("d", None)], "id string, text string")
+    for _ in range(2):
+        counts, stats = scan.run_scan(content, load_catalogue(["pii"]), str(tmp_path), "pii", size_limit=100)
+    rows = {(r.metric, r.key): r.value for r in stats.collect()}
+    assert (rows["rows_total", ""], rows["rows_scanned", ""], rows["rows_skipped", ""], rows["bytes_scanned", ""]) == (3, 1, 2, 19)
+    assert rows["findings", ""] == sum(r.matches for r in counts.collect()) > 0
+    runs = scan.read_runs(spark, str(tmp_path))
+    assert [(r.runs, r.findings) for r in risk.throughput(runs).collect()] == [(2, 2 * rows["findings", ""])]
+    assert {(r.files, r.bytes, r.skipped) for r in runs.collect()} == {(1, 19, 2)}
