@@ -5,9 +5,14 @@ documents, at any distance, discloses ``log(both * N / (df_value * df_term))`` o
 numbers of documents.  Where the share reaches a threshold the term is generalised in all documents that
 hold the value, and above a higher one it is removed, as otherwise it would still point to what was
 taken out.  Terms are words of three letters or more.
+
+One text is no estimate: every word that stands only there would disclose all of any value in it.  So a share counts
+if the term and the value meet in two different texts, or if the term stands within ``NEAR_WORDS`` words of the value
+in one.
 """
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -18,6 +23,7 @@ from .common import slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_LENGTH = 3
+NEAR_WORDS = 6
 GENERALISE, REMOVE = 0.9, 0.97
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -69,38 +75,40 @@ def base_spans(text):
 
 
 def held(text, spans):
-    """The protected values of a text, and its words outside them."""
+    """The protected values of a text, its words outside them, and the (value, word) pairs that stand near each other."""
     covered = sorted((a, b) for _, a, b in spans)
-    terms, i = set(), 0
+    words, i = [], 0
     for m in WORD.finditer(text):
         while i < len(covered) and covered[i][1] <= m.start():
             i += 1
         if len(m[0]) >= LEAST_LENGTH and (i == len(covered) or m.end() <= covered[i][0]):
-            terms.add(m[0].lower())
-    values = set()
+            words.append((m.start(), m.end(), m[0].lower()))
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    values, near = set(), set()
     for kind, a, b in spans:
-        value = text[a:b].lower() if kind in ("email", "ip") else NOT_DIGIT.sub("", text[a:b])
-        values.add(f"{kind}:{value}")
-    return values, terms
-
-
-def near(text, spans):
-    """(value, term) for each value and each word of a text; the empty term stands for the value itself."""
-    values, terms = held(text, spans)
-    return {(v, t) for v in values for t in (*terms, "")}
+        value = f"{kind}:{text[a:b].lower() if kind in ('email', 'ip') else NOT_DIGIT.sub('', text[a:b])}"
+        values.add(value)
+        before, behind = bisect_right(ends, a), bisect_left(starts, b)
+        for _, _, word in (*words[max(0, before - NEAR_WORDS):before], *words[behind:behind + NEAR_WORDS]):
+            near.add((value, word))
+    return values, {w for _, _, w in words}, near
 
 
 def held_of(batches):
-    """Values and terms of each document that has values."""
-    for part in slices(batches, 1):
-        keys, values, terms = [], [], []
-        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+    """Values, terms and near pairs of each document that has values."""
+    for part in slices(batches, 2):
+        keys, prints, found = [], [], ([], [], [])
+        for key, own, text in zip(*(part.column(i).to_pylist() for i in range(3))):
             if spans := base_spans(text):
                 keys.append(key)
-                for out, found in zip((values, terms), held(text, spans)):
-                    out.append(sorted(found))
+                prints.append(own)
+                for out, rows in zip(found, held(text, spans)):
+                    out.append(sorted(rows))
         kind = pa.list_(pa.string())
-        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "values": pa.array(values, kind), "terms": pa.array(terms, kind)})
+        pairs = pa.list_(pa.struct([("value", pa.string()), ("term", pa.string())]))
+        near = [[{"value": v, "term": t} for v, t in rows] for rows in found[2]]
+        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "print": pa.array(prints, pa.int64()), "values": pa.array(found[0], kind),
+                               "terms": pa.array(found[1], kind), "near": pa.array(near, pairs)})
 
 
 def terms_of(batches):
@@ -139,30 +147,37 @@ def sanitise(docs, id_col="doc_id", text_col="text", generalise=GENERALISE, remo
     may = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
     rows = docs.filter(may)
 
-    texts = rows.select("__key", text_col).mapInArrow(held_of, "key bigint, values array<string>, terms array<string>")
+    texts = rows.select("__key", F.xxhash64(text_col), text_col).mapInArrow(
+        held_of, "key bigint, print bigint, values array<string>, terms array<string>, near array<struct<value:string,term:string>>")
     # rows of one key have one text
-    texts = stored(texts.groupBy("key").agg(F.any_value("values").alias("values"), F.any_value("terms").alias("terms"),
+    texts = stored(texts.groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("print", "values", "terms", "near")],
                                             F.count(F.lit(1)).alias("n")), "held")
     total = float(docs.count())
-    values = texts.select("key", "n", F.explode("values").alias("value"))
-    counts = values.groupBy("value").agg(F.sum("n").alias("df_value")).filter(F.col("df_value") < total)
-    values = values.join(counts, "value")
+    values = texts.select("key", "print", "n", F.explode("values").alias("value"))
+    counts = values.groupBy("value").agg(F.sum("n").alias("df_value"), (F.min("print") < F.max("print")).alias("several")).filter(
+        F.col("df_value") < total)
     # no term of more documents can reach the share, as it cannot be with the value in more than its own
-    values = stored(values.withColumn("most", F.pow("df_value", F.lit(generalise)) * total ** (1 - generalise) * (1 + 1e-9)), "values")
-    most = values.agg(F.max("most")).first()[0] or 0.0
+    counts = stored(counts.withColumn("most", F.pow("df_value", F.lit(generalise)) * total ** (1 - generalise) * (1 + 1e-9)), "values")
+    most = counts.agg(F.max("most")).first()[0] or 0.0
     terms = (docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(terms_of, "term string, n bigint")
              .groupBy("term").agg(F.sum("n").alias("df_term")).filter(F.col("df_term") <= most))
     terms = stored(texts.select("key", F.explode("terms").alias("term")).join(terms, "term"), "terms")
-    # the term of one document discloses all of any value there
-    single = terms.filter("df_term = 1").join(values.select("key").distinct(), "key", "left_semi").select(
-        "key", "term", F.lit(1.0).alias("share"))
-    pairs = stored(terms.filter("df_term > 1").join(values, "key").filter(F.col("df_term") <= F.col("most")).select(
-        "key", "n", "value", "term", "df_value", "df_term"), "pairs")
-    both = pairs.groupBy("value", "term", "df_value", "df_term").agg(F.sum("n").alias("both"))
+    near = texts.select("key", F.inline("near"))
     disclosed = F.log(F.col("both") * total / (F.col("df_value") * F.col("df_term")))
-    share = disclosed / F.log(F.lit(total) / F.col("df_value"))
-    telling = both.select("value", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    told = pairs.join(telling, ["value", "term"]).groupBy("key", "term").agg(F.max("share").alias("share")).unionAll(single)
+    share = (disclosed / F.log(F.lit(total) / F.col("df_value"))).alias("share")
+
+    # a value of one text meets a term in all its documents; only what stands near it counts
+    single = near.join(counts.filter("not several"), "value").join(terms, ["key", "term"]).withColumn("both", F.col("df_value"))
+    single = single.select("key", "term", share)
+    # other values meet all rare terms of their documents
+    pairs = stored(values.join(counts.filter("several"), "value").join(terms, "key").filter("df_term <= most").select(
+        "key", "print", "n", "value", "term", "df_value", "df_term"), "pairs")
+    both = pairs.groupBy("value", "term", "df_value", "df_term").agg(F.sum("n").alias("both"), (F.min("print") < F.max("print")).alias("met"))
+    telling = both.select("value", "term", "met", share).filter(F.col("share") >= generalise)
+    beside = near.join(counts.filter("several").select("value"), "value").select("value", "term").distinct()
+    telling = telling.filter("met").unionByName(telling.filter("not met").join(beside, ["value", "term"], "left_semi")).select("value", "term", "share")
+    told = pairs.join(telling, ["value", "term"]).select("key", "term", "share").unionAll(single.filter(F.col("share") >= generalise))
+    told = told.groupBy("key", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("key").agg(F.collect_list(F.struct(
         "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))).alias("__told"))
 

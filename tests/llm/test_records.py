@@ -294,25 +294,27 @@ def test_spans_are_linear():
 
 def brute_terms(rows):
     """Disclosing terms by document, counted with plain dicts."""
-    docs, words = [], {}
+    docs, words, df, both, met, near = [], {}, {}, {}, {}, set()
     for t in rows:
-        spans = plain_spans(t or "")
-        docs.append(pii.near(t, spans) if spans else set())
-        for w in {m.lower() for m in pii.WORD.findall(t or "") if len(m) >= 3}:
+        spans, text = plain_spans(t or ""), t or ""
+        found = [(m.start(), m.end(), m[0].lower()) for m in pii.WORD.finditer(text) if len(m[0]) >= 3]
+        for w in {w for _, _, w in found}:
             words[w] = words.get(w, 0) + 1
-    both = {}
-    for pairs in docs:
-        for p in pairs:
-            both[p] = both.get(p, 0) + 1
+        free = [w for w in found if all(w[1] <= a or w[0] >= b for _, a, b in spans)]
+        named = {(k, a, b): k + ":" + (text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])) for k, a, b in spans}
+        values, terms = set(named.values()), {w for _, _, w in free}
+        docs.append((values, terms))
+        for v in values:
+            df[v] = df.get(v, 0) + 1
+            for w in terms:
+                both[v, w] = both.get((v, w), 0) + 1
+                met.setdefault((v, w), set()).add(t)
+        for (_, a, b), v in named.items():
+            near |= {(v, w) for _, _, w in [x for x in free if x[1] <= a][-6:] + [x for x in free if x[0] >= b][:6]}
     n, out = len(rows), []
-    for pairs in docs:
-        told = set()
-        for v, t in pairs:
-            if t and both[v, ""] < n:
-                share = np.log(both[v, t] * n / (both[v, ""] * words[t])) / np.log(n / both[v, ""])
-                if share >= pii.GENERALISE - 1e-12:
-                    told.add(t)
-        out.append(told)
+    for values, terms in docs:
+        out.append({w for v in values for w in terms if df[v] < n and (len(met[v, w]) > 1 or (v, w) in near)
+                    and np.log(both[v, w] * n / (df[v] * words[w])) / np.log(n / df[v]) >= pii.GENERALISE - 1e-12})
     return out
 
 
@@ -334,13 +336,30 @@ def test_disclosing_terms(docs, words):
 
 
 def test_terms_disclose_at_any_distance(docs, words):
+    """Names that meet a value in two texts go at any distance; in one text only those near it do."""
     fill = [f"alpha bravo {words(30, s, 20)} charlie" for s in range(60)]
     far = " alpha bravo charlie" * 20
-    texts = fill + [f"Miriam Quastel{far} m.q@mail.example.org", f"Orsolya Tamm 10.20.30.40{far}", f"10.20.30.40{far} Orsolya Tamm"]
+    texts = fill + [f"Miriam Quastel{far} m.q@mail.example.org", f"m.q@mail.example.org{far} by Miriam Quastel",
+                    f"Orsolya Tamm 10.20.30.40{far}", f"10.20.30.40{far} Orsolya Tamm", f"Alma Vesk 10.20.30.41{far} unrelated"]
     for more in ([], texts[-1:] * 2):
         out = [r.clean_text for r in pii.sanitise(docs(texts + more)).collect()]
         assert sum("alpha" in t for t in out) == len(texts + more)
-        assert not any(name in t for t in out for name in ("Miriam", "Quastel", "Orsolya", "Tamm"))
+        assert not any(name in t for t in out for name in ("Miriam", "Quastel", "Orsolya", "Tamm", "Alma", "Vesk"))
+        assert sum("unrelated" in t for t in out) == 1 + len(more)
+
+
+def test_little_text_is_lost_and_many_values_are_linear(spark, docs):
+    """Words taken out for each value, and the share of text that stays; a document of 10^4 values and 10^4 rare words."""
+    found = pii.sanitise(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    values = sum(s.kind != "term" for r in found for s in r.spans)
+    terms = sum(s.kind == "term" for r in found for s in r.spans)
+    assert 0 < values and terms <= 12 * values
+    lost = sum(s.end - s.start for r in found for s in r.spans if s.kind == "term")
+    assert lost < 0.005 * sum(len(r.text or "") for r in found)
+    log = " ".join(f"10.{i // 250}.{i % 250}.7 rare{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760)}x"
+                   for i in range(10_000))
+    out = pii.sanitise(docs([log, "other text", "and more of it"])).orderBy("doc_id").collect()
+    assert sum(s.kind == "ip" for s in out[0].spans) == 10_000
 
 
 # --- benchmark leaks ---------------------------------------------------------------------------
