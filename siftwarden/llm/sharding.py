@@ -4,7 +4,8 @@ A key belongs to the next virtual node clockwise.  Keys come in the order of a s
 shard is full goes on clockwise to the next shard with room.  The outcome depends on when each shard
 gets full, so only these few moments are searched for: counts by arc and order bucket are summed in
 Spark and walked on the driver, and a bucket in which a shard fills is looked at more closely, down to
-single keys.  What comes to the driver is bounded (arcs times buckets, or ``ROWS`` keys).
+single keys.  Where many rows share one key, their row numbers are cut into buckets in the same way.  What
+comes to the driver at a time is bounded (arcs times buckets, or ``ROWS`` keys), whatever one key holds.
 """
 
 import numpy as np
@@ -16,7 +17,7 @@ from .common import stored
 
 DIGIT, DIGITS = 9, 7  # the order is a number of 63 bits
 ROWS = 4096
-SLOT_BITS = 12
+STRETCH_BITS = 20
 
 
 def ring(shards, virtual):
@@ -66,8 +67,12 @@ def fill(keyed, filling, low=0, digit=0):
     width = 63 - DIGIT * digit
     part = keyed.filter((F.col("order") >= low) & (F.col("order") <= low + (1 << width) - 1))
     if digit == DIGITS:
-        # one order value for many rows: told apart by their row numbers
-        walk_rows(part, filling)
+        # one order value: its rows are told apart by their numbers
+        first, last, number = part.agg(F.min("row"), F.max("row"), F.count(F.lit(1))).first()
+        if number <= ROWS:
+            walk_rows(part, filling)
+        else:
+            fill_rows(part, filling, low, first, last)
         return
     step = width - DIGIT
     counts = part.groupBy("arc", F.shiftright(F.col("order") - low, step).cast("int").alias("bucket")).count().toPandas()
@@ -84,6 +89,19 @@ def fill(keyed, filling, low=0, digit=0):
             fill(keyed, filling, start, digit + 1)
 
 
+def fill_rows(rows, filling, order, first, last):
+    """Walk the rows of one order value whose numbers lie between ``first`` and ``last``."""
+    step = (last - first) // (1 << DIGIT) + 1
+    part = rows.filter((F.col("row") >= first) & (F.col("row") <= last))
+    counts = part.groupBy("arc", F.expr(f"cast((row - {first}) div {step} as int)").alias("bucket")).count().toPandas()
+    table = np.zeros((1 << DIGIT, len(filling.walks)), dtype=np.int64)
+    table[counts["bucket"], counts["arc"]] = counts["count"]
+    for bucket in np.flatnonzero(table.sum(axis=1)).tolist():
+        start = first + bucket * step
+        if not filling.take(table[bucket], (order, start + step)):
+            fill_rows(rows, filling, order, start, start + step - 1)
+
+
 def walk_rows(rows, filling):
     one = np.zeros(len(filling.walks), dtype=np.int64)
     for r in rows.select("arc", "order", "row").orderBy("order", "row").toLocalIterator():
@@ -132,8 +150,9 @@ def place(docs, shards=16, slack=0.0, virtual=32, id_col="doc_id", text_col="tex
                 shard[later] = target[arc[later]]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shard)], names=[*names, "shard"])
 
-    placed = keyed.mapInArrow(assign, schema + ", shard int").withColumn("stretch", F.shiftright("order", 63 - SLOT_BITS))
-    inside = F.row_number().over(Window.partitionBy("shard", "stretch").orderBy("order", "row")) - 1
+    # rows of a task have numbers in a row, so a stretch is a million of them at most, whatever their ids
+    placed = keyed.mapInArrow(assign, schema + ", shard int").withColumn("stretch", F.shiftright("row", STRETCH_BITS))
+    inside = F.row_number().over(Window.partitionBy("shard", "stretch").orderBy("row")) - 1
     sizes = placed.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     placed = placed.withColumn("inside", inside).join(sizes.select("shard", "stretch", before.alias("before")), ["shard", "stretch"])

@@ -172,6 +172,34 @@ def test_sharding_is_the_ring(spark, docs, slack, monkeypatch):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_sharding_of_a_hot_id(docs, monkeypatch):
+    """A third of the rows under one id: its row numbers are cut by counts, no more than ``ROWS`` rows come one by one."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(sharding, "ROWS", 20)
+    monkeypatch.setattr(sharding, "STRETCH_BITS", 4)
+    walked, walk = [], sharding.walk_rows
+
+    def counted(rows, filling):
+        walked.append(rows.count())
+        walk(rows, filling)
+
+    monkeypatch.setattr(sharding, "walk_rows", counted)
+    hot = docs([f"copy {i}" for i in range(600)]).withColumn("doc_id", F.lit(7).cast("long")).repartition(3)
+    df = docs([f"text {i}" for i in range(900)]).coalesce(1).unionAll(hot)
+    got = sharding.place(df, shards=5, virtual=8).collect()
+    sizes = [sum(r.shard == s for r in got) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 1500 and max(walked, default=0) <= 20
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    # keys before the hot one sit where the plain ring has them
+    keys = df.select(F.xxhash64(F.lit("place"), F.col("doc_id").cast("string")),
+                     F.shiftrightunsigned(F.xxhash64(F.lit("order"), F.col("doc_id").cast("string")), 1),
+                     F.monotonically_increasing_id(), "doc_id").collect()
+    want = plain_ring([tuple(k[:3]) for k in keys], 5, 8, sharding.capacities(len(keys), 5, 0.0))
+    ids = {k[2]: k[3] for k in keys}
+    assert sorted((r.doc_id, r.shard) for r in got) == sorted((ids[row], shard) for row, shard in want)
+
+
 def test_sharding_of_awkward_rows(docs):
     rows = sharding.place(docs(AWKWARD)).collect()
     assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == {
