@@ -47,24 +47,41 @@ def normalize(rules) -> DataFrame:
 
 
 def validate(rules, version=BUNDLE_VERSION) -> DataFrame:
-    """(rule, problem) rows: bundle version, duplicate names, empty patterns."""
+    """(rule, problem) rows: bundle version, duplicate names, empty patterns, patterns that do not compile."""
     copies = rules.groupBy("name").count().where("count > 1").select(
         F.col("name").alias("rule"), F.lit("duplicate name").alias("problem"))
     empty = rules.where("match is null or match = ''").select(
         F.col("name").alias("rule"), F.lit("empty pattern").alias("problem"))
-    problems = copies.unionByName(empty)
-    if version != BUNDLE_VERSION:
-        problems = problems.unionByName(rules.sparkSession.createDataFrame(
-            [("*", f"bundle version {version}")], "rule string, problem string"))
-    return problems
+    return copies.unionByName(empty).unionByName(_compile_problems(rules)).unionByName(
+        _problems(rules.sparkSession, [("*", f"bundle version {version}")] if version != BUNDLE_VERSION else []))
+
+
+def _problems(spark, rows):
+    return spark.createDataFrame(rows, "rule string, problem string")
+
+
+def _compile_problems(rules):
+    """Distinct patterns are compiled on the driver, as detection does."""
+    told = {r["match"]: patterns.compile_error(r["match"]) for r in rules.where("match <> ''").select("match").distinct().toLocalIterator()}
+    bad = rules.sparkSession.createDataFrame([(m, f"does not compile: {p}") for m, p in told.items() if p], "match string, problem string")
+    return rules.join(F.broadcast(bad), "match").select(F.col("name").alias("rule"), "problem")
 
 
 def split_compilable(rules) -> tuple:
-    """(usable, refused) rule dictionaries; a refused rule carries its ``problem``."""
-    usable, refused = [], []
+    """(usable, refused) rule dictionaries; a refused rule carries its ``problem``.
+
+    Refused are rules without a pattern, with one that does not compile, and, of rules of one name, all but the first.
+    """
+    usable, refused, names = [], [], set()
     for rule in rules:
-        problem = patterns.compile_error(rule["match"])
-        usable.append(rule) if problem is None else refused.append({**rule, "problem": problem})
+        problem = "empty pattern" if not rule["match"] else patterns.compile_error(rule["match"])
+        if problem is None and rule["name"] in names:
+            problem = "duplicate name"
+        if problem is None:
+            names.add(rule["name"])
+            usable.append(rule)
+        else:
+            refused.append({**rule, "problem": problem})
     return usable, refused
 
 

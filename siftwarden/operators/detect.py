@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, text
 from ..plans.patterns import FOLD_FROM, FOLD_TO, to_java
 from ..plans.rule_index import RuleIndex, build_index
-from ..session import spread
+from ..session import materialize, spread
 
 
 def active_rules(rules, include_disabled=False, env=False):
@@ -136,11 +136,31 @@ def _with_lines(content, extra):
         F.col("start_byte").alias("line_start"))
 
 
+def attribution_tries(matched, index) -> DataFrame:
+    """(text, ordinal, pattern, ...): which rules are tried on which of the distinct matched texts.
+
+    The matched texts go through the gate again, so only rules whose literal they hold come up.
+    """
+    return candidates(matched.select(F.col("matched").alias("text")).distinct(), index)
+
+
 def attribute_first(spans, index) -> DataFrame:
     """Rename each match after the first rule (by ordinal) of its category that matches it.
 
-    The rules of a category travel as one small array, so this stays a broadcast join.
+    Each distinct matched text is looked at once, by the rules that can match it, and the result is joined back.
+    In a stream, where rows cannot be gathered, the rules of the category are tried on each match.
     """
+    if spans.isStreaming:
+        return _attribute_rowwise(spans, index)
+    spans = materialize(spans)
+    owner = index.metadata(spans.sparkSession).select("ordinal", "category")
+    hits = attribution_tries(spans, index).where(F.expr("text rlike pattern")).select("text", "ordinal")
+    first = hits.join(F.broadcast(owner), "ordinal").groupBy("text", "category").agg(F.min("ordinal").alias("first"))
+    named = spans.join(F.broadcast(owner), "ordinal").join(first.withColumnRenamed("text", "matched"), ["matched", "category"], "left")
+    return named.withColumn("ordinal", F.coalesce("first", "ordinal")).select(*spans.columns)
+
+
+def _attribute_rowwise(spans, index):
     spark = spans.sparkSession
     owner = {r["ordinal"]: r["category"] for r in index.rules}
     rules = spark.createDataFrame(

@@ -71,6 +71,32 @@ def suppress_baseline(findings, baseline) -> DataFrame:
     return findings.join(baseline.select("fingerprint"), "fingerprint", "left_anti").select(*findings.columns)
 
 
+BASELINE_BUCKETS = 64
+
+
+def baseline_table(spark, name, buckets=BASELINE_BUCKETS) -> DataFrame:
+    """A baseline kept as a table bucketed by fingerprint: (fingerprint, batch); made if it is not there."""
+    if not spark.catalog.tableExists(name):
+        empty = spark.createDataFrame([], "fingerprint string, batch bigint")
+        empty.write.bucketBy(buckets, "fingerprint").sortBy("fingerprint").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def suppress_known(findings, name, batch) -> DataFrame:
+    """Findings that are in no *other* batch of a bucketed baseline; only the findings are shuffled."""
+    known = baseline_table(findings.sparkSession, name).where(F.col("batch") != batch).select("fingerprint")
+    return findings.join(known.hint("merge"), "fingerprint", "left_anti").select(*findings.columns)
+
+
+def extend_baseline(findings, name, batch, buckets=BASELINE_BUCKETS):
+    """Append the fingerprints of a batch that the baseline does not have; a repeated batch adds nothing."""
+    known = baseline_table(findings.sparkSession, name, buckets)
+    fresh = findings.select("fingerprint").distinct().join(known.select("fingerprint").hint("merge"), "fingerprint", "left_anti")
+    fresh = fresh.withColumn("batch", F.lit(batch).cast("bigint"))
+    fresh.write.mode("append").bucketBy(buckets, "fingerprint").sortBy("fingerprint").format("parquet").saveAsTable(name)
+    findings.sparkSession.catalog.refreshTable(name)
+
+
 def create_baseline(findings) -> DataFrame:
     return findings.select("fingerprint").distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import filters, risk
-from ..operators.catalog import collect_rules
+from ..operators.catalog import collect_rules, split_compilable
 from ..operators.detect import active_rules, candidates, detect, match_counts
 from ..operators.suppress import suppress_baseline, suppress_inline
 from ..plans.rule_index import build_index
@@ -25,9 +25,16 @@ def scan_table(content, rules, profile=None, baseline=None, scope=None, **option
     return suppress_baseline(findings, baseline) if baseline is not None else findings
 
 
-def scan_rule_table(content, rules, **options) -> DataFrame:
-    """Findings for a rule *table*, whatever its size, in one pass over the content."""
-    return detect(content, collect_rules(rules), **options)
+def scan_rule_table(content, rules, refused=None, **options) -> DataFrame:
+    """Findings for a rule *table* in one pass over the content; the table has to fit on the driver.
+
+    A rule that cannot be used does not stop the scan: it is left out, and ``refused``, a list, gets its
+    (name, problem).
+    """
+    usable, bad = split_compilable(collect_rules(rules))
+    if refused is not None:
+        refused += [(r["name"], r["problem"]) for r in bad]
+    return detect(content, usable, **options)
 
 
 def scan_files(spark, path, rules, size_limit=filters.DEFAULT_SIZE_LIMIT, globs=(), skip_binary=True,

@@ -454,6 +454,32 @@ _LEVEL = ("CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity
           "WHEN severity = 'low' THEN 'note' ELSE 'none' END")
 
 
+@query("findings_documents", f"{O.findings(PII, DOCS)}, n AS (SELECT id, CAST(to_json(map_from_entries(list(struct_pack(k := severity, v := n) "
+       "ORDER BY severity))) AS VARCHAR) AS by_severity FROM (SELECT id, severity, count(*) AS n FROM f GROUP BY id, severity) GROUP BY id), "
+       "k AS (SELECT id, CAST(to_json(map_from_entries(list(struct_pack(k := category, v := n) ORDER BY category))) AS VARCHAR) AS by_category "
+       "FROM (SELECT id, category, count(*) AS n FROM f GROUP BY id, category) GROUP BY id), "
+       f"t AS (VALUES {', '.join('(' + str(r['ordinal']) + ', ' + '[' + ', '.join(O.q(x) for x in r['tags']) + '])' for r in PII)}), "
+       "r AS (SELECT f.id, start_byte, end_byte, rule, CAST(to_json(struct_pack(id := f.id, rule := rule, category := category, severity := severity, "
+       "confidence := confidence, line := line, start_byte := start_byte, end_byte := end_byte, matched := matched, matched_len := matched_len, "
+       "description := description, tags := t.col1, kind := kind, fingerprint := fingerprint)) AS VARCHAR) AS j "
+       "FROM f JOIN t ON f.ordinal = t.col0), "
+       "x AS (SELECT id, string_agg(j, ',' ORDER BY start_byte, end_byte, rule) AS js, count(*) AS n FROM r GROUP BY id) "
+       "SELECT x.id, 0 AS part, '{\"findings\":[' || js || '],\"stats\":{\"findings\":' || n || ',\"by_severity\":' || by_severity || "
+       "',\"by_category\":' || by_category || '}}' AS document FROM x JOIN n ON x.id = n.id JOIN k ON x.id = k.id")
+def _(spark, sf):
+    return sinks.findings_documents(detect(documents(spark, sf), PII))
+
+
+@query("findings_sink_runs", f"{O.findings(PII, DOCS)} SELECT run, id, rule, category, line, start_byte FROM f, "
+       "(SELECT unnest(['a', 'b']) AS run) WHERE run = 'a' OR severity = 'high'")
+def _(spark, sf):
+    """Two runs, the second written twice: first with all findings, then with the severe ones only."""
+    path, found = f"{shared_folder(spark)}/{uuid.uuid4()}", detect(documents(spark, sf), PII)
+    for run, rows in (("a", found), ("b", found), ("b", found.where("severity = 'high'"))):
+        sinks.write_findings(rows, path, run=run)
+    return spark.read.parquet(path).select("run", "id", "rule", "category", "line", "start_byte")
+
+
 @query("findings_sarif", f"{O.findings(PII, DOCS)} SELECT id, fingerprint, CAST(json_object('ruleId', rule, 'level', {_LEVEL}, "
        "'message', json_object('text', description), 'locations', json_array(json_object('physicalLocation', "
        "json_object('artifactLocation', json_object('uri', id), 'region', json_object('startLine', line, "
@@ -661,6 +687,34 @@ def _(spark, sf):
     return catalog.validate(part_rules(spark, sf).withColumn("match", F.expr("if(enabled, match, '')")))
 
 
+_BROKEN = "CASE WHEN ordinal % 7 = 3 THEN pattern || '(' WHEN ordinal % 11 = 5 THEN '' ELSE pattern END"
+
+
+@query("rules_refused", f"WITH p AS (SELECT ordinal, name, {_BROKEN} AS m FROM ({_PART_SQL})), g AS (SELECT *, CASE WHEN m = '' "
+       "THEN 'empty pattern' WHEN suffix(m, '(') THEN 'does not compile' END AS problem FROM p), "
+       "u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) AS k FROM g WHERE problem IS NULL) "
+       "SELECT name AS rule, problem FROM g WHERE problem IS NOT NULL UNION ALL SELECT name, 'duplicate name' FROM u WHERE k > 1")
+def _(spark, sf):
+    """Rules that a scan leaves out, and why, from a scan of the documents by rules of which some are broken."""
+    rules, refused = part_rules(spark, sf).withColumn("match", F.expr(_BROKEN.replace("pattern", "match"))), []
+    scan.scan_rule_table(documents(spark, sf), rules, refused)
+    told = spark.createDataFrame(refused, "rule string, why string")
+    return told.select("rule", F.when(F.col("why").isin("empty pattern", "duplicate name"), F.col("why")).otherwise(
+        "does not compile").alias("problem"))
+
+
+@query("catalog_rule_listing", f"{O.counts(ALL, DOCS)}, h AS (SELECT rule, count(DISTINCT id) AS rows, CAST(sum(n) AS BIGINT) AS matches "
+       "FROM graded GROUP BY rule) SELECT m.rule AS name, category, severity, confidence, coalesce(rows, 0) AS rows, "
+       "coalesce(matches, 0) AS matches FROM meta m LEFT JOIN h ON m.rule = h.rule")
+def _(spark, sf):
+    """Every rule of the catalogue, with what it finds in the documents."""
+    index = build_index(ALL)
+    hits = risk.rule_hits(match_counts(documents(spark, sf), index), index).withColumnRenamed("rule", "name")
+    rules = catalog.listing(catalog.rules_frame(spark, ALL)).select("name", "category", "severity", "confidence")
+    return rules.join(hits, "name", "left").select(*rules.columns, F.coalesce("rows", F.lit(0)).alias("rows"),
+                                                   F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
 @query("rules_merge", f"WITH p AS ({_PART_SQL}), s AS (SELECT CAST(s_suppkey AS INTEGER) AS ordinal, s_name AS name FROM supplier) "
        "SELECT name, ordinal FROM s UNION ALL SELECT name, ordinal + (SELECT max(ordinal) + 1 FROM s) FROM p")
 def _(spark, sf):

@@ -28,13 +28,20 @@ def write_bundle(rules, path, created_at=None):
     bundle.coalesce(1).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
-def write_findings(findings, path, mode="overwrite"):
+def write_findings(findings, path, mode="overwrite", run=None):
     """Findings as Parquet, one directory per category.
 
     Rows are gathered by category, and partitions are split and joined by size at run time, so a
-    category with most of the findings is written by as many tasks as its size asks for.
+    category with most of the findings is written by as many tasks as its size asks for.  With a ``run``
+    the rows go below a directory of that run, which a second write of the run replaces as a whole; other
+    runs stay, and reading ``path`` gives all of them with a column ``run``.
     """
-    findings.hint("rebalance", "category").write.mode(mode).partitionBy("category").parquet(path)
+    target = path if run is None else f"{path}/run={run}"
+    findings.hint("rebalance", "category").write.mode(mode).partitionBy("category").parquet(target)
+
+
+FINDING_FIELDS = ["id", "rule", "category", "severity", "confidence", "line", "start_byte", "end_byte", "matched", "matched_len",
+                  "description", "reference", "tags", "kind", "fingerprint"]
 
 
 def findings_json(findings) -> DataFrame:
@@ -43,6 +50,27 @@ def findings_json(findings) -> DataFrame:
     return findings.select("id", F.to_json(F.struct(*columns)).alias("json"))
 
 
+def findings_documents(findings, per_document=RESULTS_PER_DOCUMENT) -> DataFrame:
+    """(id, part, document): ``{findings, stats}`` as one JSON document per source, of about so many findings each.
+
+    ``stats`` counts the document's findings, in all and by severity and category; parts come from a hash of the
+    fingerprint, as in ``sarif_documents``, and their statistics can be added up.
+    """
+    findings = materialize(findings.select(*FINDING_FIELDS))
+    parts = findings.groupBy("id").agg(F.ceil(F.count("*") / per_document).alias("parts"))
+    placed = findings.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+
+    def by(column):
+        counts = placed.groupBy("id", "part", column).agg(F.count("*").alias("n"))
+        return counts.groupBy("id", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}"))
+
+    rows = placed.groupBy("id", "part").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "rule", F.struct(*FINDING_FIELDS).alias("f")))), lambda r: r.f).alias("findings"))
+    told = rows.join(by("severity"), ["id", "part"]).join(by("category"), ["id", "part"])
+    stats = F.struct(F.size("findings").cast("long").alias("findings"), "by_severity", "by_category")
+    return told.select("id", "part", F.to_json(F.struct("findings", stats.alias("stats"))).alias("document"))
+
+
 def stats_json(stats) -> DataFrame:
     """One JSON object of the (metric, key, value) rows; the rows are few."""
     rows = F.array_sort(F.collect_list(F.struct("metric", "key", "value")))

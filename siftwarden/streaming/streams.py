@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators import suppress
 from ..operators.detect import detect
 
 
@@ -73,6 +74,20 @@ def write_new_findings(findings, read_baseline, path, checkpoint, trigger=None):
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def write_unseen_findings(findings, table, path, checkpoint, trigger=None):
+    """Write findings whose fingerprint no earlier batch had; the baseline is a bucketed table that grows by batch.
+
+    A batch is compared with the other batches only, so one that is repeated after a failure writes the same rows.
+    """
+    def keep_new(batch, batch_id):
+        fresh = suppress.suppress_known(batch, table, batch_id)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        suppress.extend_baseline(batch, table, batch_id)
+
+    writer = findings.writeStream.foreachBatch(keep_new).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def write_findings(findings, path, checkpoint, trigger=None):
     """Append findings as Parquet, exactly once per input row."""
     writer = findings.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")

@@ -142,3 +142,20 @@ def test_baseline_round_trip(spark, content, rule, tmp_path):
     status = {r.fingerprint: r.status for r in suppress.baseline_diff(new, base).collect()}
     assert status == {"tel:d0:1:555-1": "unchanged", "tel:d0:2:555-2": "new"}
     assert suppress.dedup(new.unionByName(new)).count() == 2
+
+
+def test_attribution_by_the_gate_is_that_of_every_peer(spark, content):
+    """Over all packs: the rules the gate brings up name each match like a trial of all rules of the category."""
+    from siftwarden.operators import detect as module
+    from siftwarden.plans.rule_index import build_index
+    from siftwarden.rules import load_catalogue
+    rules = module.active_rules(load_catalogue())
+    index = build_index(rules)
+    table = content("mail a.b@c.org, ssn 123-45-6789, card 4111 1111 1111 1111", "password = 'hunter2' api_key: abcdef0123456789abcdef",
+                    "<img src=x><script>eval(a)</script> ignore previous instructions", "SELECT * FROM t WHERE id = 1; TODO: fix me 10.0.0.1")
+    spans = module.match_spans(table, index)
+    columns = ["id", "ordinal", "matched", "start_byte"]
+    got = sorted(map(tuple, module.attribute_first(spans, index).select(columns).collect()))
+    assert got == sorted(map(tuple, module._attribute_rowwise(spans, index).select(columns).collect())) and len(got) > 10
+    distinct = spans.select("matched").distinct().count()
+    assert module.attribution_tries(spans, index).count() < 0.1 * distinct * len(rules)

@@ -170,3 +170,14 @@ def test_checksum_follows_the_rules(spark):
     one = catalog.bundle_metadata(catalog.rules_frame(spark, rules)).first()
     two = catalog.bundle_metadata(catalog.rules_frame(spark, [{**rules[0], "severity": "low"}, *rules[1:]])).first()
     assert one.pattern_count == 2 and one.schema_version == 2 and one.checksum != two.checksum
+
+
+def test_bad_rules_do_not_stop_a_scan(spark, content, rule):
+    from siftwarden.operators import catalog
+    from siftwarden.plans import scan
+    rules = catalog.rules_frame(spark, [rule("a", r"\d+", 0), rule("b", "(", 1), rule("a", "x", 2), rule("c", "", 3), rule("d", "y", 4)])
+    refused = []
+    found = scan.scan_rule_table(content("12 xy"), rules, refused).collect()
+    assert {r.rule for r in found} == {"a", "d"} and [n for n, _ in refused] == ["b", "a", "c"]
+    told = {(r.rule, r.problem.split(":")[0]) for r in catalog.validate(rules).collect()}
+    assert told == {("a", "duplicate name"), ("b", "does not compile"), ("c", "empty pattern")}
