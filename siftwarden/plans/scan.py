@@ -12,7 +12,7 @@ from ..operators.catalog import collect_rules, split_compilable
 from ..operators.detect import active_rules, candidates, detect, match_counts
 from ..operators.suppress import suppress_baseline, suppress_inline
 from ..plans.rule_index import build_index
-from ..sources.tables import IGNORE_FILES, diff_files, read_ignore_files, read_tree
+from ..sources.tables import IGNORE_FILES, diff_files, diff_files_of, read_diff_lines, read_ignore_files, read_tree
 
 
 def scan_table(content, rules, profile=None, baseline=None, scope=None, **options) -> DataFrame:
@@ -113,6 +113,11 @@ def scan_diff(diffs, rules, **options) -> DataFrame:
     return detect(diff_files(diffs), rules, **options)
 
 
+def scan_diff_files(spark, path, rules, **options) -> DataFrame:
+    """Findings in the added lines of diff files, which may be larger than a row; ``id`` is the file."""
+    return detect(diff_files_of(read_diff_lines(spark, path)), rules, **options)
+
+
 def scan_kv(settings, rules, **options) -> DataFrame:
     """Findings in (source, key, value) settings.
 

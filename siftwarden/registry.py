@@ -41,8 +41,6 @@ TEXT = active_rules(load_catalogue(
     ["secrets", "pii", "compliance", "security_hardening", "ai_safety", "llm_guardrails", "healthcare", "finance"]))
 PAGE = active_rules(load_catalogue(["web_security", "ai_detection", "accessibility", "web_development", "pwa"]))
 CHAT = active_rules(load_catalogue(["ai_safety", "llm_guardrails", "pii", "secrets"]))
-FIRST = [r for r in PII if r["name"] in (
-    "ssn", "email-address", "phone-number", "international-phone", "credit-card-visa", "credit-card-number-generic")]
 
 
 # --- tables ----------------------------------------------------------------------------------
@@ -122,14 +120,14 @@ def _(spark, sf):
     return found.select("id", "line", "start_byte", "matched", "rule")
 
 
-@query("line_numbers", f"{O.findings(FIRST, DOCS)} SELECT rule, line, count(*) AS findings FROM f GROUP BY rule, line")
+@query("line_numbers", f"{O.findings(PII, DOCS)} SELECT rule, line, count(*) AS findings FROM f GROUP BY rule, line")
 def _(spark, sf):
-    return detect(documents(spark, sf), FIRST).groupBy("rule", "line").agg(F.count("*").alias("findings"))
+    return detect(documents(spark, sf), PII).groupBy("rule", "line").agg(F.count("*").alias("findings"))
 
 
-@query("match_offsets", f"{O.findings(FIRST, PAGES)} SELECT id, ordinal, start_byte, end_byte FROM f")
+@query("match_offsets", f"{O.findings(PII, PAGES)} SELECT id, ordinal, start_byte, end_byte FROM f")
 def _(spark, sf):
-    return match_spans(pages(spark, sf), FIRST).select("id", "ordinal", "start_byte", "end_byte")
+    return match_spans(pages(spark, sf), PII).select("id", "ordinal", "start_byte", "end_byte")
 
 
 _GROUPED = next(r for r in PII if r["name"] == "phone-number")
@@ -170,9 +168,17 @@ def _(spark, sf):
     return tables.diff_files(diffs(spark, sf)).select(F.col("id").alias("file"), "text")
 
 
-@query("detect_diff", f"{O.findings(FIRST, DIFF_C)} SELECT id, rule, line, start_byte, matched FROM f")
+@query("detect_diff", f"{O.findings(PII, DIFF_C)} SELECT id, rule, line, start_byte, matched FROM f")
 def _(spark, sf):
-    return scan.scan_diff(diffs(spark, sf), FIRST).select("id", "rule", "line", "start_byte", "matched")
+    return scan.scan_diff(diffs(spark, sf), PII).select("id", "rule", "line", "start_byte", "matched")
+
+
+@query("detect_diff_files", f"{O.findings(PII, DIFF_C)} SELECT id, rule, line, start_byte, matched FROM f")
+def _(spark, sf):
+    """All documents as the files of one diff, which is read as lines."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    diffs(spark, sf).select("diff").coalesce(1).write.text(path)
+    return scan.scan_diff_files(spark, path, PII).select("id", "rule", "line", "start_byte", "matched")
 
 
 @query("kv_source", "SELECT CAST(event_id AS VARCHAR) AS source, k AS key, json_extract_string(props, '$.\"' || k || '\"') "
@@ -245,11 +251,11 @@ _SCOPES = {
 }
 for _scope, _condition in _SCOPES.items():
     @query("suppress_inline" if _scope == "trailing" else f"suppress_inline_{_scope}",
-           f"{O.findings(FIRST, MARKED)}, {_DIRECTIVES} SELECT id, rule, line, start_byte, matched FROM f "
+           f"{O.findings(PII, MARKED)}, {_DIRECTIVES} SELECT id, rule, line, start_byte, matched FROM f "
            f"WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = f.id AND {_condition})")
     def _(spark, sf, scope=_scope):
         content = marked(spark, sf)
-        kept = suppress.suppress_inline(detect(content, FIRST), content, scope)
+        kept = suppress.suppress_inline(detect(content, PII), content, scope)
         return kept.select("id", "rule", "line", "start_byte", "matched")
 
 
@@ -323,10 +329,10 @@ def _(spark, sf):
     return broken_down(risk.risk_by_source(counted(content, TEXT), content))
 
 
-@query("top_risk_sources", f"{O.counts(FIRST, DOCS)}, g0 AS (SELECT * FROM graded) "
+@query("top_risk_sources", f"{O.counts(PII, DOCS)}, g0 AS (SELECT * FROM graded) "
        f"SELECT * FROM ({O.risk_rows()}) ORDER BY score DESC, id LIMIT 20")
 def top_risk(spark, sf):
-    return risk.top_risk_sources(risk.risk_by_source(counted(documents(spark, sf), FIRST)).drop("by_category", "by_severity"), 20)
+    return risk.top_risk_sources(risk.risk_by_source(counted(documents(spark, sf), PII)).drop("by_category", "by_severity"), 20)
 
 
 @query("risk_by_category", f"{_TEXT_GRADED} SELECT category, round(sum({O.hundredths()}) / 100.0, 6) AS score, "

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -98,6 +98,34 @@ def diff_files(diffs) -> DataFrame:
     return rows.where("size(added) > 0").select("diff_id", "id", F.array_join("added", "\n").alias("text"))
 
 
+def read_diff_lines(spark, path) -> DataFrame:
+    """(diff_id, split, at, file, line): the added lines of diff files of any size, read as split text.
+
+    ``diff_id`` is the diff's path; (split, at) orders its lines.  A header is in force until the next one, which may
+    lie splits away: inside a split it is filled forward, and the last header of each split is carried over a table of
+    one row a split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("diff_id"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    header = F.when(F.col("value").startswith("+++ "), F.regexp_replace(F.expr("substring(value, 5)"), "^[ab]/", ""))
+    lines = lines.withColumn("header", header)
+    last = lines.groupBy("diff_id", "split").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("at"))).alias("last"))
+    before = Window.partitionBy("diff_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("diff_id", "split", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    here = Window.partitionBy("diff_id", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = lines.withColumn("own", F.last("header", ignorenulls=True).over(here)).join(carried, ["diff_id", "split"])
+    filled = filled.withColumn("file", F.coalesce("own", "carried"))
+    added = "startswith(value, '+') and header is null and file not in ('', '/dev/null')"
+    return filled.where(added).select("diff_id", "split", "at", "file", F.expr("substring(value, 2)").alias("line"))
+
+
+def diff_files_of(lines) -> DataFrame:
+    """(diff_id, id, text): the added lines of each file of each diff, joined in order; one file's fit one row."""
+    rows = lines.groupBy("diff_id", F.col("file").alias("id")).agg(F.array_sort(F.collect_list(F.struct("split", "at", "line"))).alias("rows"))
+    return rows.select("diff_id", "id", F.array_join(F.transform("rows", lambda r: r.line), "\n").alias("text"))
+
+
 _PATTERN_FIELDS = ("name string, category string, match string, match_pattern string, enabled boolean, severity string, "
                    "confidence string, min_entropy double, minEntropy double, description string, reference string, "
                    "tags array<string>, env_var boolean, binary boolean")

@@ -165,3 +165,23 @@ def test_runs_are_recorded_and_rated(spark, tmp_path):
     runs = scan.read_runs(spark, str(tmp_path))
     assert [(r.runs, r.findings) for r in risk.throughput(runs).collect()] == [(2, 2 * rows["findings", ""])]
     assert {(r.files, r.bytes, r.skipped) for r in runs.collect()} == {(1, 19, 2)}
+
+
+def test_diffs_larger_than_a_split(spark, tmp_path):
+    """Headers are carried over splits of 64 bytes; the rows are those of the diff as one row."""
+    import random
+    from siftwarden.sources import tables
+    rng = random.Random(3)
+    parts = ["--- a/x", "+++ b/one.py", "+++ b/two.py\r", "+++ /dev/null", "+added line of some length here", "+", "-removed", " kept", "+++ a/three.py", "+é 日本\r"]
+    for i in range(3):
+        (tmp_path / f"d{i}.diff").write_bytes("\n".join(rng.choices(parts, k=200)).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        lines = tables.read_diff_lines(spark, str(tmp_path))
+        got = {(r.diff_id[-7:], r.id, r.text) for r in tables.diff_files_of(lines).collect()}
+        assert lines.select("split").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = spark.createDataFrame([(f"d{i}.diff", (tmp_path / f"d{i}.diff").read_bytes().decode()) for i in range(3)], "diff_id string, diff string")
+    assert got == {(r.diff_id, r.id, r.text) for r in tables.diff_files(whole).collect()} and len(got) == 9
