@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..plans.patterns import FOLD_FROM, FOLD_TO, to_java
+from ..plans.patterns import FOLD_FROM, FOLD_TO, group_probe, to_java
 from ..plans.rule_index import RuleIndex, build_index
 from ..session import materialize, spread
 
@@ -68,11 +68,34 @@ def match_counts(content, rules, unicode=False, spread_input=True) -> DataFrame:
     return candidates(content, index).select("id", "ordinal", F.explode(some).alias("matches"))
 
 
-def match_spans(content, rules, unicode=False, spread_input=True) -> DataFrame:
-    """(id, ordinal, matched, line, start_byte, end_byte), one row per match."""
+def _with_groups(hits, index):
+    """Matches by the probing pattern of each rule: adds ``gaps``, ``found`` and, by group and match, ``caught`` and ``told``."""
+    rows = [(r["ordinal"], *group_probe(to_java(r["match"], index.unicode))) for r in index.rules]
+    probes = hits.sparkSession.createDataFrame(rows, "ordinal int, probe string, numbers array<int>, probes array<int>")
+    every = "transform({}, k -> regexp_extract_all(text, probe, k))"
+    return hits.join(F.broadcast(probes), "ordinal").select("*", F.explode(F.expr(
+        "filter(array(regexp_extract_all(text, probe, 0)), m -> size(m) > 0)")).alias("found")).withColumns({
+            "gaps": F.expr("split(text, probe, -1)"), "caught": F.expr(every.format("numbers")), "told": F.expr(every.format("probes"))})
+
+
+def match_spans(content, rules, unicode=False, spread_input=True, groups=False) -> DataFrame:
+    """(id, ordinal, matched, line, start_byte, end_byte), one row per match.
+
+    With ``groups`` also ``groups``, the capturing groups of the match in order: null where a group took no part, and
+    the empty string where it matched nothing.
+    """
     index = _index(rules, unicode)
     keep = [c for c in content.columns if c != "text"]
     content = spread(content) if spread_input else content
+    if groups:
+        hits = _with_groups(candidates(content, index), index)
+        placed = F.posexplode(F.expr(text.spans("gaps", "found"))).alias("at", "span")
+        own = F.expr("transform(caught, (g, k) -> if(told[k][at] = '', null, g[at]))").alias("groups")
+        rows = hits.select(*keep, "ordinal", "min_entropy", "caught", "told", placed).select(
+            *keep, "ordinal", "min_entropy", "span.*", own)
+        if index.has_entropy:
+            rows = rows.where(f"min_entropy is null or {scalars.shannon_entropy('matched')} >= min_entropy")
+        return rows.drop("min_entropy")
     hits = (
         candidates(content, index)
         .select("*", F.explode(F.expr("filter(array(regexp_extract_all(text, pattern, 0)), m -> size(m) > 0)")).alias("found"))
@@ -104,8 +127,8 @@ def _finish(rows, metadata, kind, extra=()):
     )
 
 
-def detect(content, rules, unicode=False, per_line=False, attribution="producer", spread_input=True) -> DataFrame:
-    """All non-overlapping matches of every active rule in every row, as findings.
+def detect(content, rules, unicode=False, per_line=False, attribution="producer", spread_input=True, groups=False) -> DataFrame:
+    """All non-overlapping matches of every active rule in every row, as findings; with ``groups``, a column of that name.
 
     ``per_line`` lets ``^`` and ``$`` see single lines; ``attribution="first"`` names a finding
     after the first rule of its category that matches the matched text.
@@ -114,12 +137,13 @@ def detect(content, rules, unicode=False, per_line=False, attribution="producer"
     extra = [c for c in content.columns if c not in ("id", "text")]
     if per_line:
         lined = _with_lines(content, extra)
-        spans = match_spans(lined, index, unicode, spread_input).select(
-            "id", *extra, "ordinal", "matched", F.col("line_no").alias("line"),
+        spans = match_spans(lined, index, unicode, spread_input, groups).select(
+            "id", *extra, *(["groups"] if groups else []), "ordinal", "matched", F.col("line_no").alias("line"),
             (F.col("start_byte") + F.col("line_start")).alias("start_byte"),
             (F.col("end_byte") + F.col("line_start")).alias("end_byte"))
     else:
-        spans = match_spans(content, index, unicode, spread_input)
+        spans = match_spans(content, index, unicode, spread_input, groups)
+    extra = [*extra, "groups"] if groups else extra
     if attribution == "first":
         spans = attribute_first(spans, index)
     elif attribution != "producer":

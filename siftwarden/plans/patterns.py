@@ -120,6 +120,49 @@ def to_java(pattern, unicode=False):
     return ("(?dU)" if unicode else "(?d)") + folded + "".join(out)
 
 
+@lru_cache(maxsize=4096)
+def group_probe(java):
+    """(pattern, groups, probes): a Java pattern that also tells whether each of its groups took part in a match.
+
+    The body of every group is followed by an empty group, which is set exactly if the group is.  Behind the whole
+    pattern a reference to that empty group matches, and a probe then takes the character before; a reference to an
+    unset group does not match, so its probe stays empty.  ``groups`` and ``probes`` are group numbers.
+    """
+    tokens = [t for t, _ in _tokens(java)]
+    in_class = [c for _, c in _tokens(java)]
+    out, stack, number, groups, marks = [], [], 0, [], []
+    for i, token in enumerate(tokens):
+        if token == "(" and not in_class[i]:
+            rest = "".join(tokens[i + 1:i + 4])
+            named = rest.startswith("?<") and rest[2:3] not in ("=", "!")
+            if rest.startswith("?") and not named:
+                stack.append(None)
+                out.append(token)
+                continue
+            number += 1
+            groups.append(number)
+            marks.append(None)
+            stack.append(len(groups) - 1)
+            out.append("(" if named else "((?:")
+            if named:
+                raise ValueError("named groups are not probed")
+        elif token == ")" and not in_class[i]:
+            own = stack.pop()
+            if own is None:
+                out.append(token)
+            else:
+                number += 1
+                marks[own] = number
+                out.append(")())")
+        elif not in_class[i] and re.fullmatch(r"\\[1-9]", token):
+            out.append(f"(?:\\{groups[int(token[1:]) - 1]})")
+        else:
+            out.append(token)
+    probes = [number + 1 + k for k in range(len(marks))]
+    tests = "".join(rf"(?:(?:\{m})(?<=([\s\S]))|)" for m in marks)
+    return f"(?:{''.join(out)}){tests}", tuple(groups), tuple(probes)
+
+
 def to_re2(pattern):
     """The same pattern for an RE2 engine."""
     return "".join(r"\z" if t == "$" and not c else t for t, c in _tokens(pattern))

@@ -23,6 +23,7 @@ class RuleIndex:
     has_entropy: bool
     has_many_keys: bool
     has_always: bool
+    unicode: bool = False
 
     def frame(self, spark) -> DataFrame:
         """(gate_key, ordinal, pattern, ...) as a local relation."""
@@ -75,4 +76,5 @@ def build_index(rules, unicode=False) -> RuleIndex:
         has_entropy=any(r["min_entropy"] is not None for r in rules),
         has_many_keys=many,
         has_always=any(not g for g in gates.values()),
+        unicode=unicode,
     )

@@ -4,6 +4,7 @@
 whole tables and whole texts.
 """
 
+import re
 import time
 import uuid
 
@@ -142,6 +143,26 @@ def _(spark, sf):
     return rows.select("id", "match_index", "matched", F.col("groups")[0].alias("group1"))
 
 
+def _groups_sql(rules):
+    parts = []
+    for r in rules:
+        n = re.compile(r["match"]).groups
+        columns = ", ".join(f"regexp_extract_all(text, {O.q(to_re2(r['match']))}, {k}) AS g{k}" for k in range(n + 1))
+        own = ", ".join(f"coalesce(g{k}[i], '')" for k in range(1, n + 1))
+        parts.append(f"SELECT id, {O.q(r['name'])} AS rule, CAST(i - 1 AS INTEGER) AS match_index, g0[i] AS matched, "
+                     f"CAST(array_to_string([{own}], '|') AS VARCHAR) AS groups, min_entropy FROM (SELECT *, unnest(generate_series(1, len(g0))) AS i "
+                     f"FROM (SELECT id, CAST({O.q(r['min_entropy'])} AS DOUBLE) AS min_entropy, {columns} FROM c))")
+    return f"WITH c AS ({DOCS}) SELECT id, rule, matched, groups FROM (" + " UNION ALL ".join(parts) + (
+        f") WHERE min_entropy IS NULL OR {O.entropy('matched')} >= min_entropy")
+
+
+# RE2 does not tell an unset group from an empty one
+@query("capture_groups_all", _groups_sql(PII))
+def _(spark, sf):
+    found = detect(documents(spark, sf), PII, groups=True)
+    return found.select("id", "rule", "matched", F.array_join(F.transform("groups", lambda g: F.coalesce(g, F.lit(""))), "|").alias("groups"))
+
+
 GATED = [{**r, "min_entropy": 2.5} for r in PII]
 
 

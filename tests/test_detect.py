@@ -159,3 +159,17 @@ def test_attribution_by_the_gate_is_that_of_every_peer(spark, content):
     assert got == sorted(map(tuple, module._attribute_rowwise(spans, index).select(columns).collect())) and len(got) > 10
     distinct = spans.select("matched").distinct().count()
     assert module.attribution_tries(spans, index).count() < 0.1 * distinct * len(rules)
+
+
+def test_groups_of_every_rule_unset_or_empty(content, rule):
+    import re
+    patterns = [r"k=(\d+)?", r"(a|b(c)?)(x*)", r"((\d)(\d)?)-(y?)", r"(?:q(r)?)+", r"z[(]([^)]*)[)]", r"w(?i:(E)|(f))", r"plain"]
+    texts = ["k=1 k= k=22", "ax bcx b a bcxx", "1- 12-y 3-", "qrq q qr", "z() z(in)", "wE we wf wF", "plain", ""]
+    rules = [rule(f"r{i}", p, i) for i, p in enumerate(patterns)]
+    got = sorted((r.id, r.rule, r.start_byte, tuple(r.groups)) for r in detect(content(*texts), rules, groups=True).collect())
+    want = sorted((f"d{i}", f"r{k}", m.start(), m.groups()) for i, t in enumerate(texts) for k, p in enumerate(patterns) for m in re.finditer(p, t))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == [w[3] for w in want]
+    assert {g[3] for g in got if g[1] == "r0"} == {("1",), (None,), ("22",)}
+    plain = detect(content(*texts), rules).drop("ordinal")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, detect(content(*texts), rules, groups=True).select(plain.columns).collect()))
