@@ -1,6 +1,7 @@
 """Source-code analysis over a table of (path, content): lints, complexity, flow, resources.
 
-Each file is one row, and its lines are an array inside the row: nothing here shuffles.
+Each file is one row, and its lines are an array inside the row: nothing here shuffles but ``resource_pairs``,
+whose events meet by row.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -9,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars, text
 from ..session import spread
 
+# Words the lints look for.
 DEBUG_OUTPUT = ("console.log", "console.error", "System.out.println", "print(")
 LOCAL_HOSTS = ("localhost", "127.0.0.1")
 DYNAMIC_CODE = ("eval(", "exec(", "Runtime.getRuntime().exec")
 SECRET_WORDS = ("password", "secret", "api_key")
 TODO_WORDS = ("TODO", "FIXME", "HACK")
 
-# Substrings whose count makes up the complexity of a language.
+# Substrings whose count makes up the complexity of a language.
 BRANCH_WORDS = {
     "go": ("if", "for", "case", "&&", "||"),
     "rust": ("if", "match", "for", "while", "||", "&&"),
@@ -153,6 +155,7 @@ def unreachable(files) -> DataFrame:
         "id", F.expr(f"cast({text.line_count('text')} as int)").alias("line"))
 
 
+# Words that acquire and release files, locks and transactions.
 OPEN_FILE = ("fopen", "open(", "File::open")
 CLOSE_FILE = ("fclose", "close(", "drop(")
 OPEN_LOCK = ("Mutex::new", "Lock::new", "pthread_mutex_init")
@@ -175,23 +178,23 @@ def _events():
 
 
 def resource_pairs(files) -> DataFrame:
-    """(id, name, acquire_line, release_line): one stack per file across kinds.
+    """(id, name, acquire_line, release_line): one stack per row, even where rows share an id, across kinds.
 
     A closing word releases whatever is on top of the stack; what stays open has no release line.
     No stack is built: the height of the stack after each event is a running sum that never falls
     below zero, and what opens at a height is released by the next event at that height.
     """
-    events = files.where(any_of("text", RESOURCE_WORDS)).select("id", F.posexplode(F.expr(_events())).alias("pos", "e"))
-    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = events.select("id", "pos", "e.*").withColumn("opens", F.col("op") == "open").withColumn(
+    events = files.where(any_of("text", RESOURCE_WORDS)).withColumn("row", F.monotonically_increasing_id()).select("row", "id", F.posexplode(F.expr(_events())).alias("pos", "e"))
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select("row", "id", "pos", "e.*").withColumn("opens", F.col("op") == "open").withColumn(
         "sum", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(so_far))
     # closing words that find the stack empty only lower the running minimum
     lowest = F.least(F.lit(0), F.min("sum").over(so_far))
     level = summed.withColumn("lowest", lowest).withColumn(
         "idle", ~F.col("opens") & (F.col("sum") == F.col("lowest")) & (F.coalesce(
-            F.lag("lowest").over(Window.partitionBy("id").orderBy("pos")), F.lit(0)) > F.col("lowest")))
+            F.lag("lowest").over(Window.partitionBy("row").orderBy("pos")), F.lit(0)) > F.col("lowest")))
     level = level.where("not idle").withColumn("level", F.expr("sum - lowest + if(opens, 0, 1)"))
-    after = F.lead("line").over(Window.partitionBy("id", "level").orderBy("pos"))
+    after = F.lead("line").over(Window.partitionBy("row", "level").orderBy("pos"))
     return level.withColumn("release_line", after).where("opens").select(
         "id", "name", F.col("line").alias("acquire_line"), "release_line")
 
