@@ -570,7 +570,15 @@ def _(spark, sf):
     return findings.groupBy("rule", "line", "start_byte", "end_byte", "matched").agg(F.count("*").alias("files"))
 
 
-@query("sarif_documents")
+@query("sarif_documents", f"{O.findings(PII, DOCS)}, r AS (SELECT id, fingerprint, start_byte, rule, {_LEVEL} AS level, CAST(json_object('ruleId', rule, "
+       f"'level', {_LEVEL}, 'message', json_object('text', description), 'locations', json_array(json_object('physicalLocation', "
+       "json_object('artifactLocation', json_object('uri', id), 'region', json_object('startLine', line, "
+       "'startColumn', start_byte + 1))))) AS VARCHAR) AS result FROM f), "
+       "x AS (SELECT id, string_agg(result, ',' ORDER BY fingerprint, start_byte) AS results FROM r GROUP BY id), "
+       "y AS (SELECT id, string_agg('{\"id\":\"' || rule || '\",\"name\":\"' || rule || '\",\"defaultConfiguration\":{\"level\":\"' || level || '\"}}', ',' "
+       "ORDER BY rule) AS rules FROM (SELECT DISTINCT id, rule, level FROM r) GROUP BY id) "
+       f"SELECT x.id, 0 AS part, '{{\"version\":\"{sinks.SARIF_VERSION}\",\"runs\":[{{\"tool\":{{\"driver\":{{\"name\":\"{sinks.TOOL_NAME}\",\"version\":\"{sinks.TOOL_VERSION}\","
+       "\"rules\":[' || rules || ']}},\"results\":[' || results || ']}]}' AS document FROM x JOIN y ON x.id = y.id")
 def _(spark, sf):
     return sinks.sarif_documents(detect(documents(spark, sf), PII))
 
