@@ -995,6 +995,31 @@ def _(spark, sf):
     return code.code_complexity(documents(spark, sf), "'go'").select("id", "language", "cyclomatic", "loc", "has_todo")
 
 
+# page markup with function heads, branches and comments on lines of their own
+_RUST = ("replace(replace(replace(html, '<p>', chr(10) || 'fn go(a: i32, b: i32) { if x || y {' || chr(10)), '</p>', chr(10) || "
+         "'  // fn no(a, b, c, d) if for TODO' || chr(10) || 'for x in y { match z' || chr(10)), '<h1>', chr(10) || 'fn none() {}' || chr(10) || "
+         "'pub fn wide(a, b, c, d, e) { // FIXME' || chr(10) || 'fn three(a, b, c)' || chr(10))")
+
+
+def _rust_sql():
+    count = " + ".join(O.occurrences("body", w) for w in code.BRANCH_WORDS["rust"])
+    trimmed = "regexp_replace(l, '^\\s+|\\s+$', '', 'g')"
+    kept = f"array_to_string(list_filter({O.lines('text')}, lambda l: NOT (starts_with({trimmed}, '//') OR starts_with({trimmed}, '/*'))), chr(10))"
+    inside = "split_part(substr(l, instr(l, '(') + 1), ')', 1)"
+    width = (f"CASE WHEN contains(l, 'fn ') AND NOT contains(l, '//') AND instr(l, '(') > 0 AND instr(l, ')') > instr(l, '(') + 1 "
+             f"THEN {O.occurrences(inside, ',')} + 1 ELSE 0 END")
+    return (f"WITH c AS ({O.content('pages', 'page_id', _RUST)}), b AS (SELECT *, {kept} AS body FROM c) SELECT id, 'rust' AS language, "
+            f"CAST({count} AS INTEGER) AS cyclomatic, 0 AS cognitive, CAST({O.line_count('text')} AS INTEGER) AS loc, "
+            f"CAST(list_max(list_transform(string_split(body, chr(10)), lambda l: {width})) AS INTEGER) AS param_count, 0 AS max_nesting, "
+            f"FALSE AS has_early_return, {_contains('body', code.TODO_WORDS)} AS has_todo FROM b")
+
+
+@query("code_complexity_rust", _rust_sql())
+def _(spark, sf):
+    rows = table(spark, sf, "pages").withColumn("html", F.expr(_RUST.replace("chr(10)", "'\n'")))
+    return code.code_complexity(content_table(rows, "page_id", "html"), "'rust'")
+
+
 _FLOW = (f"WITH c AS ({_CODE_SQL}), ls AS (SELECT id, i AS line, regexp_replace(a[i], '^\\s+|\\s+$', '', 'g') AS t FROM ("
          f"SELECT id, a, unnest(generate_series(1, len(a))) AS i FROM (SELECT id, {O.lines('text')} AS a FROM c))), "
          "s AS (SELECT id, line, t, row_number() OVER (PARTITION BY id ORDER BY line) AS k FROM ls "
