@@ -115,7 +115,7 @@ def test_requests(spark, content):
 
 
 def test_large_rule_table(spark, content, rule):
-    rules = catalog.rules_frame(spark, [rule("same", f"w{i}x", i) for i in range(3000)])
+    rules = catalog.rules_frame(spark, [rule(f"r{i}", f"w{i}x", i) for i in range(3000)])
     rows = content(" ".join(f"w{i}x" for i in range(0, 3000, 7)))
     found = scan.scan_rule_table(rows, rules)
     assert sorted(r.matched for r in found.collect()) == sorted(f"w{i}x" for i in range(0, 3000, 7))
