@@ -123,3 +123,16 @@ def test_bucketed_baseline_grows_by_batch(spark, tmp_path):
     baseline = [line for line in side.splitlines() if "known_" in line or "Exchange" in line]
     assert sum("Exchange hashpartitioning(fingerprint" in line for line in baseline) <= 1
     spark.sql(f"drop table {name}")
+
+
+def test_parts_of_events_are_dealt_over_files(spark, tmp_path, monkeypatch):
+    """A trigger's events come in as many files as their number asks for, and none of them is late."""
+    from conftest import SF
+    from siftwarden import registry
+    monkeypatch.setattr(registry, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(registry, "EVENTS_A_FILE", 25)
+    rows, _ = registry.arriving(spark, SF, lambda found: streams.risk_windows(found, "6 hours"), files=2)
+    want = streams.risk_windows(detect(registry.timed_events(spark, SF), registry.PII), "6 hours")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.collect()))
+    parts = [len(list(p.glob("*.parquet"))) for p in sorted(next(tmp_path.iterdir()).joinpath("in").iterdir())]
+    assert parts[:2] == [spark.read.parquet(f"{SF}/events.parquet").count() // 2 // 25] * 2 and len(parts) == 5
