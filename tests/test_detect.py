@@ -173,3 +173,15 @@ def test_groups_of_every_rule_unset_or_empty(content, rule):
     assert {g[3] for g in got if g[1] == "r0"} == {("1",), (None,), ("22",)}
     plain = detect(content(*texts), rules).drop("ordinal")
     assert sorted(map(str, plain.collect())) == sorted(map(str, detect(content(*texts), rules, groups=True).select(plain.columns).collect()))
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A large file of one row group is dealt over tasks of bounded size, not left to one."""
+    from siftwarden import session
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id as string) id", "text")
+    monkeypatch.setattr(session, "SMALL_PER_CORE", 1)
+    monkeypatch.setattr(session, "BYTES_A_TASK", 4096)
+    size = session.read_bytes(df)
+    assert size > 100_000 and session.spread(df).rdd.getNumPartitions() == size // 4096
+    assert session.spread(df.crossJoin(spark.range(1000))).rdd.getNumPartitions() == size // 4096
