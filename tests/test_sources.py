@@ -199,3 +199,13 @@ def test_tree_sink_writes_a_file_a_row_without_processes(spark, tmp_path):
     assert not list((tmp_path / "flat").rglob("*.crc"))
     assert {p.name for p in (tmp_path / "by").iterdir()} == {"lang=l1", "lang=l2", "lang=__HIVE_DEFAULT_PARTITION__"}
     assert sum(1 for _ in (tmp_path / "by" / "lang=l1").rglob("*.txt")) == 200
+
+
+def test_diffs_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The diffs of all documents do not pass one task."""
+    from conftest import SF
+    from siftwarden import registry
+    monkeypatch.setattr(registry, "shared_folder", lambda spark: str(tmp_path))
+    found = registry.QUERIES["detect_diff_files"](spark, SF).count()
+    want = registry.QUERIES["detect_diff"](spark, SF).count()
+    assert found == want > 0 and len(list(tmp_path.rglob("part-*.txt"))) > 1
