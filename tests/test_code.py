@@ -154,6 +154,20 @@ def test_clones(spark):
     assert sorted(r.similarity for r in strict) == sorted(r.similarity for r in rows if r.similarity >= 0.9)
 
 
+def test_lines_of_blocks_without_a_running_total(spark):
+    rng = random.Random(8)
+    parts = ["let", "x", "'a\nb'", '"q\n\n"', "\n", " ", "\r\n", "\t", "1.5", "'", '"', "\\", "{", "}", ";", "a_b", "if", "STR", "(", ")"]
+    texts = {f"m{i}": " ".join(rng.choices(parts, k=rng.choice([5, 30, 300]))) for i in range(40)} | {"empty": "", "breaks": "\n" * 3000}
+    rows = clones.blocks(files(spark, **texts))
+    want = []
+    for k, t in texts.items():
+        tokens = brute_tokens(t)
+        want += [(k, i // 10, tokens[i][1], tokens[i + 19][1], " ".join(x for x, _ in tokens[i:i + 20])) for i in range(0, len(tokens) - 20, 10)]
+    assert sorted((r.id, r.block, r.line, r.end, r.normalized) for r in rows.collect()) == sorted(want)
+    plan = clones.clone_pairs(files(spark, **texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan, "lines of tokens summed token by token"
+
+
 def test_near_equal_functions(spark):
     body = "fn {n}(items: Vec<i32>) -> i32 {{ let mut total = 0; for item in items {{ if item > 0 {{ total = total + item; }} }} return total; }}\n"
     df = files(spark, a_rs=body.format(n="add") + body.format(n="sum"))
