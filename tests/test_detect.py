@@ -185,3 +185,34 @@ def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
     size = session.read_bytes(df)
     assert size > 100_000 and session.spread(df).rdd.getNumPartitions() == size // 4096
     assert session.spread(df.crossJoin(spark.range(1000))).rdd.getNumPartitions() == size // 4096
+
+
+def test_gate_folds_without_a_pass_by_letter(spark, content, rule):
+    """The text is folded by native ``lower`` and ``replace``; spellings of i, k and s, and upper-case letters, lose nothing."""
+    from siftwarden.operators.detect import candidates
+    from siftwarden.plans.rule_index import build_index
+
+    patterns = ["(?iu)kiss", "\u00dcberweisung", "\u00fcberweisung", "Stra\u00dfe", "(?i)token", "id=\\d+", "\u03a3\u03a3", "\u20ac9"]
+    rules = [rule(f"r{i}", p, i) for i, p in enumerate(patterns)]
+    texts = ["KISS k\u0130\u017fs \u212a\u0131\u017f\u017f kiss", "\u00dcberweisung \u00fcberweisung \u00dcBERWEISUNG", "Stra\u00dfe STRA\u00dfE", "ToKeN \u00c9 TOKEN",
+             "id=12 ID=3 \u20ac9", "\u03a3\u03a3", "x\u03a3\u03a3 y", ""]
+    index = build_index(rules)
+    got = {(r.id, r.rule): r.n for r in detect(content(*texts), rules).groupBy("id", "rule").count().withColumnRenamed("count", "n").collect()}
+    assert got == {("d0", "r0"): 4, ("d1", "r1"): 1, ("d1", "r2"): 1, ("d2", "r3"): 1, ("d3", "r4"): 2, ("d4", "r5"): 1, ("d4", "r7"): 1,
+                   ("d5", "r6"): 1, ("d6", "r6"): 1}
+    assert "translate(text" not in candidates(content(*texts), index)._jdf.queryExecution().toString()
+
+
+def test_gate_leads_to_every_literal():
+    import re
+    from siftwarden.plans import patterns
+    from siftwarden.rules import load_catalogue
+
+    literals = sorted({lit for r in load_catalogue() for lit in patterns.required_literals(r["match"])})
+    gate = re.compile(patterns.gate_pattern(literals))
+    for literal in literals:
+        found = gate.match(literal)
+        assert found and found[1] == literal
+    # most positions of a text without a literal end at the first characters
+    lead = re.compile(patterns._lead(["token", "key", "=", "ac"]))
+    assert [lead.match(x) is not None for x in ("token", "kok", "toast", "ac", "=", "zoo", "kk", "")] == [True, True, False, True, True, False, False, False]
