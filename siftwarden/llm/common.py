@@ -1,5 +1,6 @@
 """Helpers of the training-data operators: shared storage, process-wide caches, batch slicing, hashes."""
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -35,6 +36,22 @@ def stored(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark, limit=SLICE_BYTES):
+    """While this holds, rows go to Python in Arrow batches of about ``limit`` bytes (a longer row alone).
+
+    By default batches have 10,000 rows, so their buffers, in the JVM and in Python, are as large as the texts are long.
+    Only what runs meanwhile is affected; a limit of the session that is smaller stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own, most = spark.conf.get(name), spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(name, str(min(limit, most) if most > 0 else limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def process_cache():
     """A dict that lives as long as the Python worker, for models that are costly to load."""
     return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, mix, stored, tested
+from .common import bit_table, mix, small_batches, stored, tested
 from .components import components
 from .fingerprints import A, B, C, pair
 from .suffix import ranges_of_rows, raw
@@ -31,6 +31,8 @@ SPARE, SPARE_SHARE = 2, 32
 HOT_ROWS, HOT_SHARE = 2000, 1e-5
 SMALL = 12
 BLOCK = 512
+# prints or pairs that a task remembers
+SEEN = 200_000
 
 
 def shingle_set(text, words):
@@ -194,7 +196,7 @@ def compare_blocks(percent):
 
         def take(rows):
             new = set(likely_of(rows)) - seen
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
             seen.update(new)
             return new
@@ -220,10 +222,13 @@ def compare_blocks(percent):
 
 
 def sign(words, percent):
-    """Signatures; of equal sets in a batch only the first is signed."""
+    """Signatures; of equal sets in a task only the first is signed, as long as the prints fit ``SEEN``."""
     def run(batches):
+        seen = set()
         for batch in batches:
-            ids, seen = batch.column("id").to_numpy(zero_copy_only=False), set()
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            if len(seen) > SEEN:
+                seen.clear()
             for a, sets in sets_of(batch, words):
                 for i, s in enumerate(sets):
                     key = print_of(s)
@@ -246,22 +251,22 @@ def only_in(bits):
 
 
 def verify(words, percent):
-    """Pairs whose sets are similar enough; sets met again in a batch are kept."""
+    """Pairs whose sets are similar enough; sets met again in a task are kept."""
     def run(batches):
-        for batch in batches:
-            sets = {}
+        sets = {}
 
-            def of(name, i):
-                key = batch.column(name)[i].as_py()
-                if key not in sets:
-                    if len(sets) > 256:
-                        sets.clear()
-                    sets[key] = shingle_set(batch.column("text_" + name)[i].as_py(), words)
-                return sets[key]
+        def of(batch, name, i):
+            key = batch.column(name)[i].as_py()
+            if key not in sets:
+                if len(sets) > 256:
+                    sets.clear()
+                sets[key] = shingle_set(batch.column("text_" + name)[i].as_py(), words)
+            return sets[key]
 
+        for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                x, y = of("a", i), of("b", i)
+                x, y = of(batch, "a", i), of(batch, "b", i)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({n: batch.column(n).filter(pa.array(keep)) for n in ("a", "b")})
@@ -277,6 +282,12 @@ def similar_documents(docs, words=5, percent=80, id_col="doc_id", text_col="text
     rows that share an id are one document and link with each other; rows without an id are measured
     but take no part (null component).  Other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return linked(docs, words, percent, id_col, text_col)
+
+
+def linked(docs, words, percent, id_col, text_col):
+    """What ``similar_documents`` returns; all that goes through Python is stored, none is left to the plan returned."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
     measured = stored(docs.mapInArrow(measure(words), "id bigint, n bigint, print binary, sketch binary"), "sets")

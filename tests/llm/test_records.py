@@ -14,6 +14,7 @@ import corpus_pipeline
 from conftest import SF
 from .conftest import AWKWARD
 from siftwarden.llm import ann, chat, decontam, jaccard, langid, pii
+from siftwarden.llm.common import SLICE_BYTES
 from siftwarden.llm.components import components
 
 SEPARATE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,6 +151,26 @@ def similar(df, **more):
     return sorted(tuple(r) for r in jaccard.similar_documents(df, **more).collect())
 
 
+def test_similar_documents_in_small_batches(spark, monkeypatch):
+    """Texts reach Python in batches of bounded size, however long they are; the session's own limit is back afterwards."""
+    def bounded(words, real=jaccard.measure, most=SLICE_BYTES + 100_000):
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    if batch.nbytes > most:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+            return real(words)(checked())
+        return run
+
+    monkeypatch.setattr(jaccard, "measure", bounded)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "concat(id div 2, ' ', repeat('x', 6000)) as text")
+    found = jaccard.similar_documents(df).collect()
+    assert sorted(r.component_id for r in found) == sorted(i - i % 2 for i in range(2000))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 @pytest.mark.parametrize(("words_", "percent"), [(4, 85), (5, 80)])
 def test_similar_documents_against_all_pairs(docs, words, words_, percent):
     rng = random.Random(4)
