@@ -209,3 +209,44 @@ def test_diffs_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
     found = registry.QUERIES["detect_diff_files"](spark, SF).count()
     want = registry.QUERIES["detect_diff"](spark, SF).count()
     assert found == want > 0 and len(list(tmp_path.rglob("part-*.txt"))) > 1
+
+
+def small_tree(root, folders=40, files=50):
+    for i in range(folders):
+        (root / f"d{i % 7}" / f"e{i}").mkdir(parents=True)
+        for j in range(files):
+            (root / f"d{i % 7}" / f"e{i}" / f"{j}.txt").write_text(f"{i * files + j}\n")
+
+
+def test_a_tree_is_listed_and_dealt_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no file of a tree, and tasks go by what is read: before, all 2,000 files were inputs of the plan, in 63 tasks."""
+    small_tree(tmp_path)
+    monkeypatch.setattr(tables, "ENTRIES_A_TASK", 5, raising=False)
+    files = tables.list_tree(spark, str(tmp_path))
+    assert len(files.inputFiles()) < 200
+    read = tables.read_tree(spark, str(tmp_path), files=files)
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    rows = read.collect()
+    assert sorted(int(r.content) for r in rows) == list(range(2000))
+    for r in rows:
+        assert r.path.startswith(f"file:{tmp_path}/d") and r.length == len(r.content)
+    monkeypatch.setattr(tables, "BYTES_A_TASK", 200)
+    assert tables.read_tree(spark, str(tmp_path), files=files).rdd.getNumPartitions() == sum(r.length for r in rows) // 200
+
+
+def test_odd_trees_are_listed_as_by_spark(spark, tmp_path):
+    """Hidden and empty files, links, blanks, globs; a name that is no UTF-8 was passed over before."""
+    for name in ("a b/f.txt", "a b/_h/z.txt", ".hid/x.txt", "_k=1/p.md", "x=é/1%20.txt", "_under.txt", "empty.txt", "y._COPYING_"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.txt" else name)
+    (tmp_path / "link").symlink_to(tmp_path / "a b")
+    (tmp_path / "broken").symlink_to(tmp_path / "none")
+    (tmp_path / "loop").symlink_to(tmp_path / "loop")
+    for place, glob in ((tmp_path, None), (tmp_path, "*.{md,csv}"), (tmp_path / "a*", None), (tmp_path / "a b" / "f.txt", None), (tmp_path / "empty.txt", None)):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        want = (reader.option("pathGlobFilter", glob) if glob else reader).load(str(place)).select("path", "length", "content")
+        assert sorted(tables.read_tree(spark, str(place), glob=glob).collect()) == sorted(want.collect())
+    (tmp_path / "only").mkdir()
+    with open(bytes(tmp_path / "only") + b"/\xff.txt", "wb") as file:
+        file.write(b"odd")
+    assert [bytes(r.content) for r in tables.read_tree(spark, str(tmp_path / "only")).collect()] == [b"odd"]
