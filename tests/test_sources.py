@@ -250,3 +250,23 @@ def test_odd_trees_are_listed_as_by_spark(spark, tmp_path):
     with open(bytes(tmp_path / "only") + b"/\xff.txt", "wb") as file:
         file.write(b"odd")
     assert [bytes(r.content) for r in tables.read_tree(spark, str(tmp_path / "only")).collect()] == [b"odd"]
+
+
+def test_file_statistics_do_not_read_contents(spark, tmp_path):
+    """Without the binary check the listing is enough; before, the plan scanned the files themselves, in tasks of 32."""
+    small_tree(tmp_path, 3, 5)
+    stats = scan.scan_files(spark, str(tmp_path), load_catalogue(["pii"]), skip_binary=False)[1]
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "MapInArrow" not in plan
+    for path in tmp_path.rglob("*.txt"):
+        path.unlink()
+    assert {(r.metric, r.key): r.value for r in stats.collect()} == {
+        ("files_total", ""): 15, ("files_scanned", ""): 15, ("files_by_extension", "txt"): 15}
+
+
+def test_binary_files_are_told_by_their_first_bytes(spark, tmp_path):
+    for name, at in (("in.a", 8191), ("out.b", 8192), ("none.c", None)):
+        (tmp_path / name).write_bytes(b"x" * 9000 if at is None else b"x" * at + b"\0" + b"x" * 800)
+    got = scan.scan_files(spark, str(tmp_path), load_catalogue(["pii"]), size_limit=9000)[1]
+    assert {(r.metric, r.key): r.value for r in got.collect()} == {
+        ("files_total", ""): 3, ("files_scanned", ""): 2, ("skipped_binary", ""): 1, ("files_by_extension", "b"): 1, ("files_by_extension", "c"): 1}
