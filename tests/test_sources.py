@@ -270,3 +270,15 @@ def test_binary_files_are_told_by_their_first_bytes(spark, tmp_path):
     got = scan.scan_files(spark, str(tmp_path), load_catalogue(["pii"]), size_limit=9000)[1]
     assert {(r.metric, r.key): r.value for r in got.collect()} == {
         ("files_total", ""): 3, ("files_scanned", ""): 2, ("skipped_binary", ""): 1, ("files_by_extension", "b"): 1, ("files_by_extension", "c"): 1}
+
+
+def test_files_meet_the_patterns_where_they_are_read(spark, tmp_path):
+    """Paths are dealt over the tasks, not contents: before, the contents were shuffled."""
+    small_tree(tmp_path, 3, 5)
+    (tmp_path / ".scanignore").write_text("*/d1/*\n")
+    (tmp_path / "d0" / "e0" / "0.txt").write_text("mail a@b.org")
+    (tmp_path / "d1" / "e1" / "0.txt").write_text("mail c@d.org")
+    findings, _ = scan.scan_files(spark, str(tmp_path), load_catalogue(["pii"]), skip_binary=False)
+    plan = findings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange RoundRobin") == 1 and "MapInArrow" in plan[:plan.index("Exchange RoundRobin")]
+    assert [r.matched for r in findings.where("rule = 'email-address'").collect()] == ["a@b.org"]
