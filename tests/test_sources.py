@@ -275,7 +275,9 @@ def test_binary_files_are_told_by_their_first_bytes(spark, tmp_path):
 def test_files_meet_the_patterns_where_they_are_read(spark, tmp_path):
     """Paths are dealt over the tasks, not contents: before, the contents were shuffled."""
     small_tree(tmp_path, 3, 5)
-    (tmp_path / ".scanignore").write_text("*/d1/*\n")
+    (tmp_path / ".scanignore").write_text("*/d1/*\n*/a +%20b/*\n")
+    (tmp_path / "a +%20b").mkdir()
+    (tmp_path / "a +%20b" / "0.txt").write_text("mail e@f.org")
     (tmp_path / "d0" / "e0" / "0.txt").write_text("mail a@b.org")
     (tmp_path / "d1" / "e1" / "0.txt").write_text("mail c@d.org")
     findings, _ = scan.scan_files(spark, str(tmp_path), load_catalogue(["pii"]), skip_binary=False)
